@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from batchloom.llm import exact_dedup
+from batchloom.llm import exact_dedup, minhash, url_filter
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.op6,
+    "op7_minhash": minhash.op7,
+    "op10_url_filter": url_filter.op10,
 }
 
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op10_url_filter": url_filter.ORACLE,
 }
 
 
