@@ -20,7 +20,8 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, sprea
     ``facts[count]`` is how many rows have the key. Keys with more than a
     thousandth of the counted rows number under a thousand whatever the data,
     so their facts are broadcast; the rows that found theirs so are dealt by
-    ``spread`` instead of their key in the join that serves the others.
+    ``spread`` instead of their key in the join that serves the others. That
+    is a merge join at every size, so what it moves grows with the rows.
     """
     total = facts.agg(F.sum(count).alias("n")).first()["n"] or 0
     line = max(total // HOT_KEYS, 64)
@@ -33,7 +34,7 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, sprea
     on = (F.col("_spread") == F.col("_cold_spread"))
     for k in keys:
         on = on & (F.col(k) == F.col(f"_cold_{k}"))
-    joined = found.join(cold, on, "left").withColumn("_fact", F.coalesce("_hot", "_cold"))
+    joined = found.join(cold.hint("merge"), on, "left").withColumn("_fact", F.coalesce("_hot", "_cold"))
     if how == "inner":
         joined = joined.filter(F.col("_fact").isNotNull())
     return joined.select(*rows.columns, *[F.col(f"_fact.{v}").alias(v) for v in values])
