@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from batchloom.llm import exact_dedup, minhash, url_filter
+from batchloom.llm import exact_dedup, langid, minhash, pieces, url_filter
 
 QUERIES = {
+    "op1_language_id": langid.op1,
+    "op5_pieces": pieces.op5,
     "op6_exact_dedup": exact_dedup.op6,
     "op7_minhash": minhash.op7,
     "op10_url_filter": url_filter.op10,
