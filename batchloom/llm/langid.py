@@ -202,6 +202,23 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
     return source.mapInArrow(_predict(network), schema)
 
 
+def drop_unknown(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text gets a language, all columns; ``und`` goes."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+            keep = [False] * len(texts)
+            for at in range(0, len(known), 512):
+                part = known[at : at + 512]
+                for i, p in zip(part, network.pooled([texts[i].encode("utf-8", "replace").lower() for i in part]) if network else ()):
+                    keep[i] = bool(p.max() > 0)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> F.Column:
     """Whether crc32 of the id as text leaves 1 when divided by 3; false for null."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
