@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: list = []
+from batchloom.functions import digest
+from batchloom.operators import aggregates, chunking, fault, processors
+from batchloom.plans import flow, ledger, operations
+from batchloom.sources import queries as sources
+from batchloom.streaming import telemetry
+
+_MODULES = (sources, processors, aggregates, chunking, fault, digest, flow, ledger, operations, telemetry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
