@@ -10,4 +10,4 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from batchloom.session import local_session
 
-    return local_session("4", 4)
+    return local_session("2", 4)
