@@ -32,7 +32,7 @@ def test_chunks_equal_the_library(spark, tmp_path, chunk):
     texts = ["", None, "a", " " * 300, "aaaa" * 200, "the " * 100, "no_space_at_all" * 50, "中文①\n" * 40]
     texts += ["".join(random.choice("ab the\n é") for _ in range(300)) for _ in range(5)]
     rows = [(i if i else None, t, "clash", "clash") for i, t in enumerate(texts)] + [(2, "a", None, None)]
-    found = encode_decode(stored(spark, tmp_path, rows), chunk=chunk).collect()
+    found = encode_decode(stored(spark, tmp_path, rows), giant=chunk, chunk=chunk).collect()
     assert sorted((r.doc_id or 0, tuple(r.ids)) for r in found) == sorted((i or 0, tuple(LIBRARY.encode(t or ""))) for i, t, *_ in rows)
     assert all(r.round_trip for r in found)
 
