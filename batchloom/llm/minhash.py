@@ -21,9 +21,9 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 #: Low bits kept of each minimum, and the standard deviations below a similarity of PERCENT at which an estimate still passes.
-BITS, SIGMAS = 2, 6
+BITS, SIGMAS = 2, 5
 #: Members of a band that one task compares with as many others.
-BLOCK = 256
+BLOCK = 512
 
 _SEED = np.random.default_rng(7)
 _A = _SEED.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -136,36 +136,116 @@ def _matches(x: Column, y: Column) -> Column:
     return total
 
 
-def _across(width: int):
-    """Pairs of a block pair in other components that may be similar, the width likeliest of each member."""
-    import pandas as pd
+_CELL = ("i", "band", "p", "q")
 
-    least = least_matches()
-    words = HASHES // 64
 
-    def of(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if right.empty and not left.empty and left["same"].iloc[0]:
-            right = left
-        if left.empty or right.empty:
-            return pd.DataFrame({"x": [], "y": [], "more": []}).astype({"x": "int64", "y": "int64", "more": "bool"})
-        a, b = (np.array(side["sig"].tolist(), np.int64).view(np.uint64) for side in (left, right))
-        equal = np.zeros((len(a), len(b)), np.int64)
-        for w in range(words):
-            differ = np.zeros((len(a), len(b)), np.uint64)
-            for bit in range(BITS):
-                differ |= a[:, None, bit * words + w] ^ b[None, :, bit * words + w]
-            equal += 64 - np.bitwise_count(differ).astype(np.int64)
-        equal[left["label"].to_numpy()[:, None] == right["label"].to_numpy()[None, :]] = -1
-        more = bool(((equal >= least).sum(axis=1) > width).any())
-        best = np.argsort(-equal, axis=1, kind="stable")[:, :width]
-        i = np.repeat(np.arange(len(a)), best.shape[1])
-        j = best.ravel()
-        ok = equal[i, j] >= least
-        x, y = left["cid"].to_numpy()[i[ok]], right["cid"].to_numpy()[j[ok]]
-        return pd.DataFrame({"x": np.maximum(x, y), "y": np.minimum(x, y), "more": more})
-
-    return of
+def _possible(c: dict) -> np.ndarray:
+    """Which pairs of a cell's two sides may be linked, are in different components, and meet in no earlier band."""
+    left = np.flatnonzero(c["side"] == 0)
+    right = left if c["same"][0] else np.flatnonzero(c["side"] == 1)
+    overlap = np.minimum(c["inside"][left][:, None], c["inside"][right][None, :])
+    ok = (c["label"][left][:, None] != c["label"][right][None, :]) & ((100 + PERCENT) * overlap >= PERCENT * (c["n"][left][:, None] + c["n"][right][None, :]))
+    if c["same"][0]:
+        ok &= np.tri(len(left), dtype=bool).T
+    x, y = np.nonzero(ok)
+    if not len(x):
+        return np.empty((0, 2), np.int64)
+    x, y = left[x], right[y]
+    words, differ = HASHES // 64, 0
+    for w in range(words):
+        apart = np.zeros(len(x), np.uint64)
+        for bit in range(BITS):
+            apart |= c["sig"][x, bit * words + w] ^ c["sig"][y, bit * words + w]
+        differ = differ + np.bitwise_count(apart).astype(np.int64)
+    ok = HASHES - differ >= least_matches()
+    x, y = x[ok], y[ok]
+    ok = (c["bands"][x] == c["bands"][y]).argmax(axis=1) == c["i"][0]
+    return np.stack([x[ok], y[ok]], axis=1)
+
+
+def _linked(c: dict) -> list[tuple[int, int]]:
+    """Links of a cell's possible pairs, by their full sets; none between classes that its links already connect."""
+    pairs = _possible(c)
+    above: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while k in above:
+            k = above[k]
+        return k
+
+    links = []
+    sets = [np.frombuffer(m, np.uint64) for m in c["members"]]
+    for x in np.unique(pairs[:, 0]):
+        own, rest = sets[x], pairs[pairs[:, 0] == x, 1]
+        while len(rest := np.array([y for y in rest if root(c["label"][y]) != root(c["label"][x])], np.int64)):
+            some, rest = rest[:64], rest[64:]
+            flat = np.concatenate([sets[y] for y in some])
+            sizes = np.array([len(sets[y]) for y in some])
+            hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            for y in some[100 * both >= PERCENT * (len(own) + sizes - both)]:
+                if (i := root(c["label"][x])) != (j := root(c["label"][y])):
+                    above[i] = j
+                    links.append((c["cid"][x], c["cid"][y]))
+    return links
+
+
+def _cells(each):
+    """Runs ``each`` over the cells of whole partitions that are sorted by cell; it gets columns and their table."""
+
+    def columns(table) -> dict:
+        out = {}
+        for name in table.column_names:
+            column = table.column(name).combine_chunks()
+            if name in ("sig", "bands"):
+                out[name] = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(table), -1)
+            else:
+                out[name] = column.to_pylist() if name == "members" else column.to_numpy(zero_copy_only=False)
+        return out
+
+    def told(table, last: bool):
+        c = columns(table)
+        change = np.zeros(len(table) - 1, bool)
+        for name in _CELL:
+            change |= c[name][1:] != c[name][:-1]
+        starts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(table)]])
+        whole = len(starts) - 1 if last else len(starts) - 2
+        for lo, hi in zip(starts[:whole].tolist(), starts[1:].tolist()):
+            if hi - lo > 1:
+                yield from each({k: v[lo:hi] for k, v in c.items()}, table.slice(lo, hi - lo))
+        return None if last else table.slice(int(starts[-2]))
+
+    def run(batches):
+        waiting = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                waiting = yield from told(table if waiting is None else pa.concat_tables([waiting, table]), False)
+        if waiting is not None:
+            yield from told(waiting, True)
+
+    return run
+
+
+def _involved(c: dict, table):
+    """The cell's rows that stand in a possible pair."""
+    pairs = _possible(c)
+    if len(pairs):
+        yield from table.take(pa.array(np.unique(pairs))).to_batches()
+
+
+def _confirmed_links(c: dict, table):
+    if links := _linked(c):
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
+
+
+def _exploded(batches):
+    for batch in batches:
+        sets = batch.column("members").to_pylist()
+        sizes = [len(s) // 8 for s in sets]
+        flat = pa.array(np.frombuffer(b"".join(sets), np.int64))
+        of = np.repeat(np.arange(len(sets)), sizes)
+        yield pa.RecordBatch.from_arrays([batch.column("cid").take(pa.array(of)), batch.column("label").take(pa.array(of)), flat], names=["cid", "label", "shingle"])
 
 
 def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -176,10 +256,12 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     First every class is held against the least class of each of its bands;
     the b-bit estimate drops what can't reach the threshold, and the full sets
     confirm. Then bands that still hold classes of several components are
-    compared in blocks, on signatures, across components only; the likeliest
-    partners of each class are confirmed first and ever more are taken until
-    none that might be linked is left. So components are those of all links
-    between candidates, while a group of k copies costs about k confirmations.
+    compared in cells of two blocks each, across components only: on how much
+    of a class any other component has in common with it, on signatures, and
+    where these allow a link, on the full sets, within the cell. Each pair is
+    looked at in the first band that it shares, and a cell gives at most one
+    link for each two components it connects. So components are those of all
+    links between candidates, and no pair that is not linked becomes a row.
 
     Columns: ``row``, ``doc_id``, ``n_shingles``, ``component_id``, ``kept``
     and ``first`` (true for one row of each component). Null texts and texts
@@ -201,25 +283,17 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     pairs = members.filter("cid <> least").select(F.col("cid").alias("x"), F.col("least").alias("y")).distinct()
     sig = classes.select("cid", "sig")
     tested = scratch.keep(pairs, "pairs")
-    links = scratch.keep(_verified(_alike(tested, sig, scratch), classes, source, scratch), "links")
-    width = 1
-    while True:
-        labels = components(links, scratch)
-        labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        mixed = scratch.keep(labelled.groupBy("i", "band").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("i", "band", "size"), "mixed")
-        if mixed.isEmpty():
-            break
-        found = scratch.keep(_residual(labelled.select("i", "band", "cid", "label"), mixed, sig, width), "across")
-        fresh = scratch.keep(found.select("x", "y").distinct().join(tested, ["x", "y"], "left_anti"), "fresh")
-        if not fresh.isEmpty():
-            links = scratch.keep(links.unionByName(_verified(fresh, classes, source, scratch)), "links")
-            tested = scratch.keep(tested.unionByName(fresh), "pairs")
-        elif found.filter("more").isEmpty():
-            break
-        if found.filter("more").isEmpty():
-            labels = components(links, scratch)
-            break
-        width *= 8
+    rows = members.select("cid").distinct().join(classes.select("cid", F.col("best.row").alias("row")), "cid")
+    sets = scratch.keep(source.select("row", "text").join(rows, "row").select("cid", "text").mapInArrow(_sets, "cid long, members binary"), "sets")
+    links = scratch.keep(_verified(_alike(tested, sig), sets, scratch), "links")
+    labels = components(links, scratch)
+    labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    mixed = scratch.keep(labelled.groupBy("i", "band").agg(F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("i", "band", "size"), "mixed")
+    if not mixed.isEmpty():
+        rest = scratch.keep(attach(labelled.select("i", "band", "cid", "label"), mixed, ["i", "band"], "size", F.col("cid")), "rest")
+        more = scratch.keep(_across(rest, classes, sets, scratch), "across")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), scratch)
     of = classes.select("cid", "key", "rows", "best").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     groups = scratch.keep(of.groupBy("label").agg(F.count("*").alias("size"), F.min("best").alias("group_best")), "groups")
     facts = scratch.keep(attach(of, groups, ["label"], "size", F.col("cid")).select("key", "rows", "group_best"), "facts")
@@ -232,37 +306,52 @@ def near_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         (alone | (F.col("row") == F.col("group_best.row"))).alias("first"))
 
 
-def _alike(pairs: DataFrame, sig: DataFrame, scratch: Scratch) -> DataFrame:
-    """The pairs whose b-bit estimate allows a link."""
-    counts = pairs.groupBy("y").agg(F.count("*").alias("uses"))
-    right = scratch.keep(counts.join(sig.withColumnRenamed("cid", "y"), "y").withColumnRenamed("sig", "y_sig"), "least")
-    both = attach(pairs, right, ["y"], "uses", F.col("x")).join(sig.select(F.col("cid").alias("x"), F.col("sig").alias("x_sig")), "x")
+def _alike(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """The stored pairs whose b-bit estimate allows a link."""
+    both = attach_large(pairs, sig.select(F.col("cid").alias("y"), F.col("sig").alias("y_sig")), "y", F.col("x"))
+    both = both.join(sig.select(F.col("cid").alias("x"), F.col("sig").alias("x_sig")), "x")
     return both.filter(_matches(F.col("x_sig"), F.col("y_sig")) >= least_matches()).select("x", "y")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Those pairs, as ``a, b``, whose full shingle sets are as similar as asked for."""
     pairs = scratch.keep(pairs, "asked")
-    needed = pairs.select(F.col("x").alias("cid")).unionByName(pairs.select(F.col("y").alias("cid"))).distinct()
-    rows = needed.join(classes.select("cid", F.col("best.row").alias("row")), "cid")
-    sets = scratch.keep(source.select("row", "text").join(rows, "row").select("cid", "text").mapInArrow(_sets, "cid long, members binary"), "sets")
-    uses = pairs.groupBy("y").agg(F.count("*").alias("uses"))
-    right = scratch.keep(uses.join(sets.select(F.col("cid").alias("y"), F.col("members").alias("y_set")), "y"), "y-sets")
-    left = pairs.groupBy("x").agg(F.count("*").alias("x_uses")).join(sets.select(F.col("cid").alias("x"), F.col("members").alias("x_set")), "x")
-    left = scratch.keep(left, "x-sets")
-    both = attach_large(pairs, right.select("y", "uses", "y_set"), ["y"], "uses", F.col("x"))
-    both = attach_large(both, left.select("x", "x_uses", "x_set"), ["x"], "x_uses", F.col("y"))
+    both = attach_large(pairs, sets.select(F.col("cid").alias("y"), F.col("members").alias("y_set")), "y", F.col("x"))
+    both = both.join(sets.select(F.col("cid").alias("x"), F.col("members").alias("x_set")).hint("merge"), "x")
     return both.select("x", "y", "x_set", "y_set").mapInArrow(_confirmed, "a long, b long")
 
 
-def _residual(labelled: DataFrame, mixed: DataFrame, sig: DataFrame, width: int) -> DataFrame:
-    """Possible links across components within the ``mixed`` bands, compared block by block."""
-    rows = attach(labelled, mixed, ["i", "band"], "size", F.col("cid")).join(sig, "cid")
+def _inside(rest: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``cid, n, inside``: how many shingles each class of ``rest`` has, and has in common with any of another component.
+
+    No class of another component shares more with it. Classes that share too
+    little with all others together, to be linked with any one, are left out.
+    """
+    shingled = scratch.keep(rest.join(sets, "cid").mapInArrow(_exploded, "cid long, label long, shingle long"), "shingles")
+    common = shingled.groupBy("shingle").agg(F.count("*").alias("uses"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("shingle", "uses")
+    common = scratch.keep(common, "common")
+    counted = attach(shingled.select("cid", "shingle"), common, ["shingle"], "uses", F.col("cid")).groupBy("cid").agg(F.count("*").alias("inside"))
+    sizes = rest.join(sets, "cid").select("cid", (F.octet_length("members") / 8).cast("long").alias("n"))
+    return scratch.keep(counted.join(sizes, "cid").filter(100 * F.col("inside") >= PERCENT * F.col("n")), "inside")
+
+
+def _across(rest: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links ``a, b`` across components within the bands of ``rest``: cell by cell, each a pair of blocks of a band.
+
+    Signatures tell which members have anyone to be compared with; the sets of
+    just these follow them into their cells.
+    """
+    inside = _inside(rest.select("cid", "label").distinct(), sets, scratch)
+    rows = rest.join(inside, "cid")
+    sizes = rows.groupBy("i", "band").agg(F.count("*").alias("size"))
+    rows = rows.drop("size").join(sizes, ["i", "band"]).filter("size > 1").join(classes.select("cid", "sig", "bands"), "cid")
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("i", "band", "cid", "label", "sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-                       F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), (F.col("own") == F.col("other")).alias("same"))
-    return rows.groupBy("i", "band", "p", "q").applyInPandas(_across(width), "x long, y long, more boolean")
+    rows = rows.select("i", "band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"),
+                       (F.col("own") == F.col("other")).alias("same"), "cid", "label", "n", "inside", "sig", "bands")
+    dealt = lambda df: df.repartition(*_CELL).sortWithinPartitions(*_CELL)
+    involved = scratch.keep(dealt(rows).mapInArrow(_cells(_involved), rows.schema), "involved")
+    return dealt(involved.join(sets, "cid")).mapInArrow(_cells(_confirmed_links), "a long, b long")
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -40,17 +40,16 @@ def attach(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, sprea
     return joined.select(*rows.columns, *[F.col(f"_fact.{v}").alias(v) for v in values])
 
 
-def attach_large(rows: DataFrame, facts: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
-    """As :func:`attach` (inner), for facts too large to broadcast.
+def attach_large(rows: DataFrame, facts: DataFrame, key: str, spread: Column) -> DataFrame:
+    """``rows`` joined (inner) with one row of ``facts`` per key, which may be too large to broadcast.
 
-    Facts of hot keys are copied, once for each HOT_KEYS-th of the counted rows
-    that they serve; only the keys and their numbers of copies are broadcast.
+    Facts of keys that hold over a thousandth of the rows are copied, once for
+    each thousandth that they serve; only those keys, under a thousand, and
+    their numbers of copies are broadcast. ``rows`` should be stored.
     """
-    total = facts.agg(F.sum(count).alias("n")).first()["n"] or 0
-    line = max(total // HOT_KEYS, 64)
-    copies = F.ceil(F.col(count) / F.lit(line)).cast("int")
-    hot = facts.filter(F.col(count) > line).select(*keys, copies.alias("_copies"))
-    values = [c for c in facts.columns if c not in keys]
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_copy", F.pmod(F.xxhash64(spread), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
-    copied = facts.withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return dealt.join(copied, [*keys, "_copy"]).select(*rows.columns, *values)
+    line = max(rows.count() // HOT_KEYS, 64)
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > line).select(key, F.ceil(F.col("_n") / F.lit(line)).cast("int").alias("_copies"))
+    copies = F.coalesce("_copies", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_copy", F.pmod(F.xxhash64(spread), copies).cast("int"))
+    copied = facts.join(F.broadcast(hot), key, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.drop("_copies").join(copied.drop("_copies").hint("merge"), [key, "_copy"]).drop("_copy")
