@@ -13,6 +13,7 @@ their ends, and products of these matrices are associative.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from itertools import chain
 
@@ -26,12 +27,15 @@ from batchloom.llm.skew import row_numbers
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Texts of more characters are cut into chunks of so many.
-CHUNK = 16_384
+#: Texts of this many characters and more are cut into chunks.
+GIANT, CHUNK = 65_536, 16_384
 #: Words and pairs of pieces that a worker remembers; beyond, it starts anew.
 REMEMBER = 250_000
+#: Characters of texts whose words are looked up together.
+AT_ONCE = 1_500_000
 
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")
+_STARTS = re.compile(f"(?<!{SPACE}){SPACE}")
 
 
 @dataclass
@@ -42,7 +46,31 @@ class Vocabulary:
     scores: list[float]
     normal: list[bool]
     bytes_at: list[int]
+    #: Pieces that merging makes of their own text, with single characters; and all pieces.
     ids: dict[str, int] = field(default_factory=dict, repr=False)
+    every: dict[str, int] = field(default_factory=dict, repr=False)
+
+    def __post_init__(self):
+        """The last merge of every piece, its place in the order of merges, and whether all of it follows that order."""
+        self.every = {p: i for i, (p, ok) in enumerate(zip(self.pieces, self.normal)) if ok}
+        scores = {p: self.scores[i] for p, i in self.every.items()}
+        place = {s: k for k, s in enumerate(sorted(set(scores.values()), reverse=True))}
+        n = len(self.pieces)
+        self.rank = np.array([place.get(s, 0) for s in self.scores], np.int64)
+        self.left, self.right, self.plain = np.full(n, -1, np.int64), np.full(n, -1, np.int64), np.ones(n, bool)
+        shared = {s for s, c in Counter(scores.values()).items() if c > 1}
+        for p, i in sorted(self.every.items(), key=lambda x: len(x[0])):
+            if len(p) == 1:
+                self.ids[p] = i
+                continue
+            steps: list[list[str]] = []
+            if merged(p, scores, steps) != [p]:
+                continue
+            self.ids[p] = i
+            a, b = steps[-1]
+            self.left[i], self.right[i] = a, b = self.every[a], self.every[b]
+            ordered = all(len(self.pieces[c]) == 1 or self.rank[c] < self.rank[i] for c in (a, b))
+            self.plain[i] = ordered and self.plain[a] and self.plain[b] and scores[p] not in shared
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -61,7 +89,34 @@ class Vocabulary:
         special = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p, s in zip(pieces, special) if not s):
             raise ValueError("pieces with a space after another character are not supported")
-        return cls(pieces, [sp.get_score(i) for i in range(n)], [not s for s in special], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        return cls(pieces, [sp.get_score(i) for i in range(n)], [not x for x in special], [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+
+
+def merged(text: str, scores: dict[str, float], steps: list | None = None) -> list[str]:
+    """Symbols after merging the best-scored neighbours, leftmost first, until none is a piece."""
+    symbols = list(text)
+    while len(symbols) > 1:
+        best, at = None, -1
+        for i in range(len(symbols) - 1):
+            score = scores.get(symbols[i] + symbols[i + 1])
+            if score is not None and (best is None or score > best):
+                best, at = score, i
+        if at < 0:
+            break
+        if steps is not None:
+            steps.append(symbols[at : at + 2])
+        symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+    return symbols
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hash(text: str) -> int:
+    h = 0
+    for c in text:
+        h = (h + ord(c) + 1) * int(_MIX) & (2**64 - 1)
+    return h
 
 
 class Lattice:
@@ -71,38 +126,145 @@ class Lattice:
         self.pieces = vocabulary.pieces
         self.scores = {p: s for p, s, ok in zip(vocabulary.pieces, vocabulary.scores, vocabulary.normal) if ok}
         self.fallback = vocabulary.bytes_at
-        ids = {p: i for i, (p, ok) in enumerate(zip(vocabulary.pieces, vocabulary.normal)) if ok}
-        self.ids = {p: i for p, i in ids.items() if len(p) == 1 or self._merged(p) == [p]}
+        self.left, self.right, self.rank, self.plain = vocabulary.left, vocabulary.right, vocabulary.rank, vocabulary.plain
+        self.normal = np.array(vocabulary.normal)
+        self.ids = vocabulary.ids
         self.longest = max(map(len, self.ids))
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = _Remembered(self)
-        byte_of = {i: b for b, i in enumerate(vocabulary.bytes_at)}
-        self.text_of = [p if i not in byte_of else None for i, p in enumerate(vocabulary.pieces)]
-        self.byte_of = byte_of
-        self.first_byte, self.last_byte = min(byte_of), max(byte_of)
-
-    def _merged(self, text: str) -> list[str]:
-        """Symbols after merging the best-scored neighbours, leftmost first, until none is a piece."""
-        symbols, scores = list(text), self.scores
-        while len(symbols) > 1:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                score = scores.get(symbols[i] + symbols[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if at < 0:
-                break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+        # Two pieces that make a third, sorted by both.
+        ids = self.ids
+        made = sorted((ids[p[:k]] << 16 | ids[p[k:]], int(self.rank[i])) for p, i in vocabulary.every.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
+        self.made = np.array([m[0] for m in made], np.int64)
+        self.made_rank = np.array([m[1] for m in made], np.int64)
+        # Prefixes of pieces by a hash of their characters, and which of them are pieces.
+        prefixes = {p[:k] for p in ids for k in range(1, len(p) + 1)}
+        hashed = sorted((_hash(p), ids.get(p, -1)) for p in prefixes)
+        self.prefix_hash = np.array([h for h, _ in hashed], np.uint64)
+        self.prefix_id = np.array([i for _, i in hashed], np.int32)
+        self.slot = np.full(1 << 20, -1, np.int32)
+        self.slot[(self.prefix_hash >> np.uint64(44)).astype(np.int64)] = np.arange(len(hashed))
+        # Which pairs stay apart, as far as known: the last pair asked for in each slot.
+        self.pair_key = np.full(1 << 20, -1, np.int64)
+        self.pair_apart = np.zeros(1 << 20, bool)
+        self.length = np.array([1 if not ok else len(p) for p, ok in zip(vocabulary.pieces, vocabulary.normal)], np.int64)
+        self.known: dict[str, int] = {}
+        self.known_ids, self.known_at = np.empty(0, np.int32), np.zeros(1, np.int64)
+        single = {i: bytes([b]) for b, i in enumerate(vocabulary.bytes_at)}
+        self.bytes_of = [single.get(i, p.replace(SPACE, " ").encode("utf-8", "surrogatepass")) for i, p in enumerate(vocabulary.pieces)]
 
     def stay_apart(self, left: str, right: str) -> bool:
         found = self.apart.get((left, right))
         if found is None:
             if len(self.apart) > REMEMBER:
                 self.apart.clear()
-            found = self.apart[left, right] = self._merged(left + right) == [left, right]
+            found = self.apart[left, right] = merged(left + right, self.scores) == [left, right]
         return found
 
+    def apart_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`stay_apart` of many pairs of ids."""
+        key = left.astype(np.int64) << 16 | right
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+        missed = self.pair_key[slot] != key
+        if not missed.any():
+            return self.pair_apart[slot]
+        asked = np.unique(key[missed])
+        value = self._walk(asked >> 16, asked & 0xFFFF)
+        out = self.pair_apart[slot]
+        out[missed] = value[np.searchsorted(asked, key[missed])]
+        self.pair_key[slot[missed]] = key[missed]
+        self.pair_apart[slot[missed]] = out[missed]
+        return out
+
+    def _walk(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Undo the merges of two pieces, the later first: they stay apart unless what then meets at their boundary
+        makes a piece of better score than the merges that take either side away."""
+        out = np.ones(len(left), bool)
+        odd = ~(self.plain[left] & self.plain[right]) & self.normal[left] & self.normal[right]
+        for i in np.flatnonzero(odd):
+            out[i] = self.stay_apart(self.pieces[left[i]], self.pieces[right[i]])
+        at = np.flatnonzero(~odd)
+        never = np.iinfo(np.int64).max
+        l, r = left[at], right[at]
+        above_l, above_r = np.full(len(at), never), np.full(len(at), never)
+        while len(at):
+            key = l << 16 | r
+            k = np.minimum(np.searchsorted(self.made, key), len(self.made) - 1)
+            across = np.where(self.made[k] == key, self.made_rank[k], never)
+            meets = (across < above_l) & (across <= above_r)
+            out[at[meets]] = False
+            rank_l, rank_r = np.where(self.left[l] >= 0, self.rank[l], -1), np.where(self.left[r] >= 0, self.rank[r], -1)
+            go = ~meets & ((rank_l >= 0) | (rank_r >= 0))
+            at, l, r, above_l, above_r, rank_l, rank_r = (x[go] for x in (at, l, r, above_l, above_r, rank_l, rank_r))
+            later = rank_r >= rank_l
+            above_r, above_l = np.where(later, rank_r, above_r), np.where(later, above_l, rank_l)
+            r, l = np.where(later, self.left[r], r), np.where(later, l, self.right[l])
+        return out
+
+    def best_paths(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words, and where each word's end: all lattices at once, by the offset that pieces begin at."""
+        text = "".join(units)
+        x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        stop = np.repeat(ends, sizes)
+        # Steps: where each begins, its piece and length. Characters that are no piece stand as their first byte.
+        live, h = np.arange(len(x)), np.zeros(len(x), np.uint64)
+        begin, piece = [], []
+        rare = np.zeros(len(units), bool)
+        for n in range(1, self.longest + 1):
+            h = (h + x[live + n - 1].astype(np.uint64) + np.uint64(1)) * _MIX
+            at = self.slot[(h >> np.uint64(44)).astype(np.int64)]
+            found = (at >= 0) & (self.prefix_hash[at] == h)
+            if (unsure := np.flatnonzero(~found & (at >= 0))).size:  # another prefix has the slot
+                k = np.minimum(np.searchsorted(self.prefix_hash, h[unsure]), len(self.prefix_hash) - 1)
+                at[unsure], found[unsure] = k, self.prefix_hash[k] == h[unsure]
+            ids = np.where(found, self.prefix_id[at], -1)
+            if n == 1:
+                none = ids < 0
+                ids = np.where(none, np.asarray(self.fallback)[np.minimum(x, 255)], ids)
+                rare[np.searchsorted(ends, live[none & (x >= 128)], side="right")] = True
+            is_piece = ids >= 0
+            begin.append(live[is_piece])
+            piece.append(ids[is_piece])
+            live, h = live[found], h[found]
+            inside = live + n < stop[live]
+            live, h = live[inside], h[inside]
+        begin, piece = np.concatenate(begin), np.concatenate(piece).astype(np.int64)
+        offset = begin - np.repeat(starts, sizes)[begin]
+        order = np.argsort(offset, kind="stable")
+        begin, piece, offset = begin[order], piece[order], offset[order]
+        last = np.full(len(x) + 1, -1, np.int64)  # by the place of a prefix's last character, the piece that ends there
+        cuts = np.searchsorted(offset, np.arange((int(sizes.max()) if len(sizes) else 0) + 1))
+        for k in range(len(cuts) - 1):
+            b, p = begin[cuts[k] : cuts[k + 1]], piece[cuts[k] : cuts[k + 1]]
+            if k:
+                before = last[b - 1]
+                ok = before >= 0
+                b, p, before = b[ok], p[ok], before[ok]
+                ok = self.apart_pairs(before, p)
+                b, p = b[ok], p[ok]
+            last[b + self.length[p] - 1] = p
+        # Back from the ends, all words in step.
+        place, word = ends - 1, np.arange(len(units))
+        took = []
+        while len(word):
+            p = last[place]
+            took.append((word, p))
+            place = place - self.length[p]
+            on = place >= starts[word]
+            place, word = place[on], word[on]
+        word = np.concatenate([w for w, _ in took][::-1]) if took else np.empty(0, np.int64)
+        ids = np.concatenate([p for _, p in took][::-1]) if took else np.empty(0, np.int64)
+        order = np.argsort(word, kind="stable")
+        ids, count = ids[order].astype(np.int32), np.bincount(word, minlength=len(units))
+        if rare.any():
+            parts = np.split(ids, np.cumsum(count)[:-1])
+            for i in np.flatnonzero(rare):
+                parts[i] = np.array(self.best(units[i]), np.int32)
+            ids, count = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, np.cumsum(count)
+
     def best(self, unit: str) -> list[int]:
         """The path through one text from its start: the one last piece of each prefix, then the way back."""
         ids, longest = self.ids, self.longest
@@ -128,28 +290,36 @@ class Lattice:
             out.extend([at] if at is not None else [self.fallback[b] for b in piece.encode("utf-8", "surrogatepass")])
         return out
 
+    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and their numbers of ids; each distinct word is a path only once while it is remembered."""
+        fresh = [u for u in dict.fromkeys(units) if u not in self.known]
+        if fresh:
+            if len(self.known) + len(fresh) > REMEMBER:
+                self.known.clear()
+                self.known_ids, self.known_at = np.empty(0, np.int32), np.zeros(1, np.int64)
+                fresh = list(dict.fromkeys(units))
+            ids, ends = self.best_paths(fresh)
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            self.known_at = np.concatenate([self.known_at, ends + len(self.known_ids)])
+            self.known_ids = np.concatenate([self.known_ids, ids])
+        word = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        at, size = self.known_at[word], self.known_at[word + 1] - self.known_at[word]
+        return self.known_ids[np.repeat(at - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))], size
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts; no piece lies across the start of a run of spaces, so words are units."""
+        units = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        ids, size = self.encode_units(list(chain.from_iterable(units)))
+        words = np.cumsum([0, *map(len, units)])
+        cuts = np.concatenate([[0], np.cumsum(size)])[words]
+        return np.split(ids, cuts[1:-1])
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text; no piece lies across the start of a run of spaces, so words are units."""
-        if not text:
-            return np.empty(0, np.int32)
-        units = _UNITS.findall(SPACE + text.replace(" ", SPACE))
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, units)), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of ids; bytes that make no UTF-8 become U+FFFD."""
-        ids = np.asarray(ids)
-        if not len(ids):
-            return ""
-        plain = ids.tolist()
-        if not ((ids >= self.first_byte) & (ids <= self.last_byte)).any():
-            text = "".join(map(self.text_of.__getitem__, plain))
-        else:
-            runs: list[bytes] = []
-            for i in plain:
-                b = self.byte_of.get(i)
-                runs.append(bytes((b,)) if b is not None else self.text_of[i].encode("utf-8", "surrogatepass"))
-            text = b"".join(runs).decode("utf-8", "replace")
-        text = text.replace(SPACE, " ")
+        text = b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
     # Chunks. A state at a cut is the piece that holds the character before it: (characters before the cut, piece).
@@ -182,21 +352,51 @@ class Lattice:
                         at.setdefault(end, {})[piece] = [bits, back]
         return at
 
-    def transfer(self, text: str, lo: int, hi: int) -> np.ndarray:
-        """The max-plus matrix of ``text[lo:hi]`` from the states at lo to those at hi."""
-        entries, exits = self.states(text, lo), self.states(text, hi)
+    def borders(self, text: str, lo: int, hi: int) -> tuple[int, int] | None:
+        """The first and last start of a word in ``text[lo:hi]``; no piece lies across them."""
+        starts = [m.start() for m in _STARTS.finditer(text, max(lo, 1) - 1, hi) if lo <= m.start() < hi]
+        return (starts[0], starts[-1]) if starts else None
+
+    def reached(self, text: str, lo: int, hi: int, entries: list, exits: list) -> np.ndarray:
         at = self.paths(text, lo, hi, entries)
         matrix = np.full((len(entries), len(exits)), -np.inf, np.float32)
         for j, (before, piece) in enumerate(exits):
             node = at.get(hi - before + len(piece), {}).get(piece)
-            if node is not None and (hi - before >= lo or node[1] is None):
-                for i in range(len(entries)):
-                    if node[0] >> i & 1:
-                        matrix[i, j] = 0.0
+            for i in range(len(entries)) if node is not None else ():
+                if node[0] >> i & 1:
+                    matrix[i, j] = 0.0
         return matrix
 
+    def transfer(self, text: str, lo: int, hi: int) -> np.ndarray:
+        """The max-plus matrix of ``text[lo:hi]`` from the states at lo to those at hi.
+
+        All paths meet where a word starts, so between the first and the last
+        start of a word the matrix has rank one.
+        """
+        entries, exits = self.states(text, lo), self.states(text, hi)
+        if (found := self.borders(text, lo, hi)) is None:
+            return self.reached(text, lo, hi, entries, exits)
+        first, last = found
+        head = self.reached(text, lo, first, entries, self.states(text, first)).max(axis=1) if first > lo else self._ended(entries)
+        return head[:, None] + self.reached(text, last, hi, [(0, "")], exits)
+
+    def _ended(self, entries: list) -> np.ndarray:
+        """0 for the states whose piece ends just at the cut."""
+        return np.array([0.0 if before == len(piece) else -np.inf for before, piece in entries], np.float32)
+
     def trace(self, text: str, lo: int, hi: int, entry: tuple[int, str], exit: tuple[int, str]) -> list[int]:
         """Ids of the pieces after ``entry`` up to and with ``exit``."""
+        if (found := self.borders(text, lo, hi)) is None:
+            return self.way(text, lo, hi, entry, exit)
+        first, last = found
+        head = []
+        if first > lo:
+            state = next(s for s, r in zip(self.states(text, first), self.reached(text, lo, first, [entry], self.states(text, first))[0]) if r == 0)
+            head = self.way(text, lo, first, entry, state)
+        middle = self.encode_units(_UNITS.findall(text[first:last]))[0].tolist() if last > first else []
+        return [*head, *middle, *self.way(text, last, hi, (0, ""), exit)]
+
+    def way(self, text: str, lo: int, hi: int, entry: tuple[int, str], exit: tuple[int, str]) -> list[int]:
         at = self.paths(text, lo, hi, [entry])
         path, end, piece = [], hi - exit[0] + len(exit[1]), exit[1]
         while (back := at[end][piece][1]) is not None:
@@ -206,18 +406,6 @@ class Lattice:
         return self.numbers(reversed(path))
 
 
-class _Remembered(dict):
-    def __init__(self, lattice: Lattice):
-        super().__init__()
-        self.lattice = lattice
-
-    def __missing__(self, unit: str) -> list[int]:
-        if len(self) > REMEMBER:
-            self.clear()
-        ids = self[unit] = self.lattice.best(unit)
-        return ids
-
-
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The max-plus product of two transfer matrices."""
     return (a[:, :, None] + b[None, :, :]).max(axis=1)
@@ -228,7 +416,14 @@ def _whole(vocabulary: Vocabulary):
         lattice = Lattice(vocabulary)
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            ids = [lattice.encode(t) for t in texts]
+            ids, lo = [], 0
+            while lo < len(texts):
+                hi, size = lo + 1, len(texts[lo])
+                while hi < len(texts) and size < AT_ONCE:
+                    size += len(texts[hi])
+                    hi += 1
+                ids += lattice.encode_all(texts[lo:hi])
+                lo = hi
             decoded = [lattice.decode(x) for x in ids]
             ends = np.cumsum([0, *map(len, ids)])
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
@@ -304,10 +499,10 @@ def _decoder(vocabulary: Vocabulary):
     return run
 
 
-def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", model: str = MODEL, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """``doc_id, ids, decoded, round_trip`` per row of stored ``docs``: ids of its pieces, and the text made from these.
 
-    Texts of fewer than ``chunk`` characters are paths through the lattices of
+    Texts of fewer than ``giant`` characters are paths through the lattices of
     their words. Longer ones become chunks that are spread over the cluster:
     each yields its max-plus transfer matrix, prefix products give every chunk
     the piece that lies across each of its ends, and each chunk is traced back
@@ -324,7 +519,7 @@ def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     spark = docs.sparkSession
     vocabulary = Vocabulary.load(model)
     source = row_numbers(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), "row")
-    is_long = F.char_length("text") >= chunk
+    is_long = F.char_length("text") >= giant
     short = source.filter(~is_long).select("doc_id", "text").mapInArrow(_whole(vocabulary), "doc_id long, ids array<int>, decoded string, round_trip boolean")
     scratch = Scratch(spark, "pieces")
     longest = max(len(p) for p, ok in zip(vocabulary.pieces, vocabulary.normal) if ok)
