@@ -37,7 +37,7 @@ def spans(docs):
 
 def test_seeds_equal_the_plain_expressions(spark, tmp_path):
     rng = random.Random(8)
-    texts = ["a@b.c_d@e.f a@b.c@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "5 4539 1488 0343 6467 4539148803436467", "4539-1488-0343-6467-1", "+1 (743) 555-3824. +44 20 7946 0958-", "é😀 x@y.org", "+1" * 50, "1" * 5000 + ".1.1.1", "@@@...", ""]
+    texts = ["a@b.c_d@e.f a@b.c@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4", "5 4539 1488 0343 6467 4539148803436467", "4539-1488-0343-6467-1", "+1 (743) 555-3824. +44 20 7946 0958-", "é😀 x@y.org", "+1" * 50, "1" * 4000 + ".1.1.1", "@@@...", ""]
     texts += ["".join(rng.choice("ab@.-+ 0123459()é😀") for _ in range(60)) for _ in range(400)]
     found = spans(stored(spark, tmp_path, [*enumerate(texts), (1000, None)]))
     for i, text in enumerate(texts):
