@@ -13,6 +13,8 @@ walks its part of the automaton over its documents.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,11 +23,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.llm.minhash import WordHashes
 from batchloom.llm.scratch import Scratch
 
 #: Characters of text in a block, and in the part of the corpus that one bucket counts.
-BLOCK_CHARS, BUCKET_CHARS = 12_000_000, 16_000_000
+BLOCK_CHARS, BUCKET_CHARS = 6_000_000, 12_000_000
 #: Tokens of one lane of the walk; longer texts take several, each entered in the state its last word left.
 LANE = 4096
 
@@ -42,6 +43,12 @@ def _bucket(x: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(x) % np.uint64(buckets)).astype(np.int64)
 
 
+class _Numbered(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Block:
     """Tokens of some documents, and their distinct words and bigrams in the order of the buckets that count them.
 
@@ -50,41 +57,49 @@ class Block:
     all buckets instead.
     """
 
-    def __init__(self, texts: list[bytes | None], train: np.ndarray, buckets: int, hot: np.ndarray, hashes: WordHashes):
-        words = [(t or b"").lower().split() for t in texts]
-        self.sizes = np.array([len(w) + 1 for w in words], np.int64)
+    def __init__(self, texts: list[bytes | None], train: np.ndarray, buckets: int, hot: np.ndarray):
+        local = _Numbered()
+        parts = []
+        local[b" "]  # the end of a text
+        for text in texts:
+            words = (text or b"").lower().split()
+            words.append(b" ")
+            parts.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        del parts
         ends = np.cumsum(self.sizes)
-        flat = np.full(int(ends[-1]) if len(ends) else 0, _END, np.uint64)
-        for w, end in zip(words, ends):
-            if w:
-                flat[end - 1 - len(w) : end - 1] = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-        before = np.roll(flat, 1)
         self.starts = ends - self.sizes
-        before[self.starts] = _START
-        counted = np.repeat(train, self.sizes).astype(np.float64)
-        # Words.
-        self.words, self.word_of = np.unique(flat, return_inverse=True)
-        order = np.argsort(_bucket(self.words, buckets), kind="stable")
-        self.words, self.word_of = self.words[order], _inverse(order)[self.word_of]
-        self.word_bucket = _bucket(self.words, buckets)
-        self.word_count = np.bincount(self.word_of, counted, len(self.words)).astype(np.int64)
-        # Bigrams: cold ones by first word, hot ones by their own hash.
-        pair = _mix(before * _M + flat)
-        pairs, first, pair_of = np.unique(pair, return_index=True, return_inverse=True)
-        context = before[first]
-        at = np.minimum(np.searchsorted(hot, context), max(len(hot) - 1, 0))
-        is_hot = hot[at] == context
-        rank = np.empty(len(flat), np.int64)
-        self.context_of = rank[:0]
-        sorted_words = np.argsort(self.words)
-        word = sorted_words[np.minimum(np.searchsorted(self.words, context, sorter=sorted_words), len(self.words) - 1)] if len(self.words) else np.empty(0, np.int64)
-        bucket = np.where(is_hot, _bucket(pairs, buckets), _bucket(context, buckets))
-        order = np.lexsort((np.where(is_hot, at, word), is_hot, bucket))
-        self.pairs, self.pair_of = pairs[order], _inverse(order)[pair_of]
-        self.pair_bucket, self.pair_hot, self.pair_hot_at, self.pair_word = bucket[order], is_hot[order], at[order], word[order]
-        self.pair_first = flat[first[order]]
-        self.pair_second = self.word_of[first[order]]
-        self.pair_count = np.bincount(self.pair_of, counted, len(self.pairs)).astype(np.int64)
+        counted = np.repeat(train, self.sizes)
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, local), np.uint64, len(local))
+        del local
+        n = len(hashed)
+        # Bigrams by the numbers of their words; n stands for the start of a text.
+        before = np.roll(flat, 1)
+        before[self.starts] = n
+        pairs, pair_of = np.unique(before * n + flat, return_inverse=True)
+        del before
+        context, second = pairs // n, pairs % n
+        # Words in the order of their buckets.
+        word_bucket = _bucket(hashed, buckets)
+        order = np.argsort(word_bucket, kind="stable")
+        moved = np.append(_inverse(order), n)
+        self.words, self.word_bucket = hashed[order], word_bucket[order]
+        self.word_of = moved[flat]
+        self.word_count = np.bincount(self.word_of[counted], minlength=n)
+        # Bigrams in the order of theirs: cold ones by first word, hot ones by their own hash.
+        by_context = np.append(hashed, np.uint64(_START))
+        at = np.minimum(np.searchsorted(hot, by_context), len(hot) - 1)
+        is_hot = (hot[at] == by_context)[context]
+        hashes_of = _mix(by_context[context] * _M + hashed[second])
+        bucket = np.where(is_hot, _bucket(hashes_of, buckets), np.append(word_bucket, 0)[context])
+        place = np.where(is_hot, at[context], moved[context])
+        order = np.argsort((bucket << 41) | (is_hot.astype(np.int64) << 40) | place)
+        self.pairs, self.pair_of = hashes_of[order], _inverse(order)[pair_of]
+        self.pair_bucket, self.pair_hot = bucket[order], is_hot[order]
+        self.pair_hot_at, self.pair_word = at[context][order], moved[context][order]
+        self.pair_second = moved[second][order]
+        self.pair_count = np.bincount(self.pair_of[counted], minlength=len(pairs))
 
     def requests(self, buckets: int):
         """For each bucket the words, their counts, how many cold bigrams each begins, and bigrams with counts; then hot ones."""
@@ -138,10 +153,8 @@ def _blocks(batches):
 
 def _ask(buckets: int, hot: np.ndarray):
     def run(batches):
-        hashes = WordHashes()
-
         def told(number, texts, train):
-            block = Block(texts, np.array(train, bool), buckets, hot, hashes)
+            block = Block(texts, np.array(train, bool), buckets, hot)
             for b, data in block.requests(buckets):
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([number], pa.int64()), pa.array([data], pa.binary())], names=["bucket", "block", "request"])
 
@@ -168,7 +181,7 @@ def _count(hot: np.ndarray):
         asked = [_unpack(r, *_REQUEST) for r in frame["request"]]
         words, word_of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         counts = np.bincount(word_of, np.concatenate([a[1] for a in asked]), len(words)).astype(np.int64)
-        pairs, at, pair_of = np.unique(np.concatenate([a[3] for a in asked]), return_index=True, return_inverse=True)
+        pairs, pair_of = np.unique(np.concatenate([a[3] for a in asked]), return_inverse=True)
         pair_counts = np.bincount(pair_of, np.concatenate([a[4] for a in asked]), len(pairs)).astype(np.int64)
         # The first word of each bigram: a word here, or len(words) + its place among the hot ones.
         first, done = [], 0
@@ -176,7 +189,9 @@ def _count(hot: np.ndarray):
             first.append(np.repeat(word_of[done : done + len(a[0])], a[2]))
             first.append(len(words) + a[5].astype(np.int64))
             done += len(a[0])
-        first = np.concatenate(first)[at]
+        by_pair = np.empty(len(pairs), np.int64)
+        by_pair[pair_of] = np.concatenate(first)
+        first = by_pair
         follow = np.bincount(first[pair_counts > 0], minlength=len(words) + len(hot))
         rows, w, p = [], 0, 0
         for block, a in zip(frame["block"], asked):
@@ -184,7 +199,11 @@ def _count(hot: np.ndarray):
             rows.append((block, frame["bucket"].iloc[0], _pack(counts[of_words], follow[of_words].astype(np.uint32), pair_counts[of_pairs].astype(np.uint32))))
             w, p = w + len(a[0]), p + len(a[3])
         some = np.flatnonzero(follow[len(words) :])
-        stats = _pack(np.array([counts.sum(), (counts > 0).sum(), (pair_counts == 1).sum(), (pair_counts == 2).sum()], np.int64), some, follow[len(words) + some])
+        # Every text has one start and one end.
+        is_here = np.isin(np.where(hot == _START, np.uint64(_END), hot), words)
+        here = np.flatnonzero(is_here)
+        often = counts[np.searchsorted(words, np.where(hot == _START, np.uint64(_END), hot)[here])]
+        stats = _pack(np.array([counts.sum(), (counts > 0).sum(), (pair_counts == 1).sum(), (pair_counts == 2).sum()], np.int64), some, follow[len(words) + some], here, often)
         rows.append((-1, frame["bucket"].iloc[0], stats))
         return pd.DataFrame(rows, columns=["block", "bucket", "answer"])
 
@@ -246,7 +265,7 @@ def _score(buckets: int, hot: np.ndarray, model: dict):
             return pd.DataFrame({"doc_id": [], "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
         docs = docs.sort_values("row")
         texts = [None if t is None else t.encode("utf-8", "surrogatepass") for t in docs["text"]]
-        block = Block(texts, docs["train"].to_numpy(bool), buckets, hot, WordHashes())
+        block = Block(texts, docs["train"].to_numpy(bool), buckets, hot)
         automaton = Automaton(block, {b: _unpack(a, np.int64, np.uint32, np.uint32) for b, a in zip(answers["bucket"], answers["answer"])}, model)
         doc = np.repeat(np.arange(len(docs)), block.sizes)
         return pd.DataFrame({
@@ -258,18 +277,26 @@ def _score(buckets: int, hot: np.ndarray, model: dict):
 
 
 def _frequent(share: float):
-    """Words, with counts, that make up at least ``share`` of a batch; at most 1 / share of each."""
+    """Words, with counts, that make up at least ``share`` of a block; at most 1 / share of each."""
 
     def run(batches):
-        hashes = WordHashes()
+        def told(counts):
+            total = counts.total()
+            kept = [(w, n) for w, n in counts.items() if n >= share * total]
+            words = np.array([xxhash.xxh3_64_intdigest(w) for w, _ in kept], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], names=["word", "n"])
+
+        counts, size = Counter(), 0
         for batch in batches:
-            ids = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for t in batch.column("text").to_pylist() if (w := (t or b"").lower().split())]
-            if not ids:
-                continue
-            words, counts = np.unique(np.concatenate(ids), return_counts=True)
-            keep = counts >= share * counts.sum()
-            yield pa.RecordBatch.from_arrays([pa.array(words[keep].view(np.int64)), pa.array(counts[keep])], names=["word", "n"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([int(counts.sum())])], names=["word", "n"])
+            for text in batch.column("text"):
+                text = text.as_py() or b""
+                counts.update(text.lower().split())
+                size += len(text)
+                if size > BLOCK_CHARS:
+                    yield from told(counts)
+                    counts, size = Counter(), 0
+        yield from told(counts)
 
     return run
 
@@ -305,39 +332,21 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", doc_id: str = "d
     answers = scratch.keep(asked.groupBy("bucket").applyInPandas(_count(hot), "block long, bucket int, answer binary"), "answers")
     model = {"total": 0, "distinct": 0}
     once = twice = 0
-    follow = np.zeros(len(hot))
+    follow, hot_count = np.zeros(len(hot)), np.zeros(len(hot))
     for r in answers.filter("block = -1").toLocalIterator():
-        sums, some, n = _unpack(bytes(r["answer"]), np.int64, np.int64, np.int64)
+        sums, some, n, here, often = _unpack(bytes(r["answer"]), *[np.int64] * 5)
         model["total"] += int(sums[0])
         model["distinct"] += int(sums[1])
         once, twice = once + int(sums[2]), twice + int(sums[3])
         follow[some] += n
+        hot_count[here] += often
     model["discount"] = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    counts = _hot_counts(source, hot, scratch)
-    model |= {"hot_follow": follow, "hot_count": counts}
+    model |= {"hot_follow": follow, "hot_count": hot_count}
     numbered = source.mapInArrow(_blocks, "block long, doc_id long, text binary, train boolean").select("block", F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), "train")
     return numbered.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInPandas(
         _score(buckets, hot, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _hot_counts(source: DataFrame, hot: np.ndarray, scratch: Scratch) -> np.ndarray:
-    """How often each hot word, and the start of a text, precedes a token in training."""
-
-    def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            ids = [np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)) for t in batch.column("text").to_pylist() if (w := (t or b"").lower().split())]
-            flat = np.concatenate([np.full(batch.num_rows, _START, np.uint64), *ids])
-            at = np.minimum(np.searchsorted(hot, flat), len(hot) - 1)
-            n = np.bincount(at[hot[at] == flat], minlength=len(hot))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hot))), pa.array(n)], names=["at", "n"])
-
-    counts = np.zeros(len(hot))
-    for r in source.filter("train").select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
-        counts[r["at"]] = r["n"]
-    return counts
-
-
 def op3(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1)
