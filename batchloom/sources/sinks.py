@@ -22,13 +22,14 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm.org.apache.hadoop.fs.Path(path))
 
 
-def write_chunks(df: DataFrame, path: str, attempt: str, write: Callable) -> None:
-    """Data with ``chunk_id`` into one folder per chunk, then the manifest that commits them.
+def write_chunks(df: DataFrame, path: str, attempt: str, write: Callable, per_folder: int = 1000) -> None:
+    """Data with ``chunk_id`` into one folder per ``per_folder`` chunks, then the manifest that commits them.
 
     One distributed write puts every chunk under ``data-<attempt>``; the
-    manifest names the chunks and their rows, and is written last. What is
-    there without its manifest was never committed, and the next attempt of
-    the name removes it; a committed chunk that is gone fails the restart.
+    manifest names the chunks, their folders and rows, and is written last.
+    What is there without its manifest was never committed, and the next
+    attempt of the name removes it; a committed folder that is gone fails the
+    restart.
     """
     spark = df.sparkSession
     fs, jvm = _fs(spark, path)
@@ -38,16 +39,20 @@ def write_chunks(df: DataFrame, path: str, attempt: str, write: Callable) -> Non
         return
     for leftover in (data, manifest):
         fs.delete(jvm.org.apache.hadoop.fs.Path(leftover), True)
-    write(df.write.partitionBy("chunk_id"), data)
-    df.groupBy("chunk_id").agg(F.count("*").alias("rows")).write.parquet(manifest)
+    batched = df.withColumn("batch", F.expr(f"chunk_id div {per_folder}"))
+    write(batched.drop("chunk_id").write.partitionBy("batch"), data)
+    batched.groupBy("batch", "chunk_id").agg(F.count("*").alias("rows")).write.parquet(manifest)
 
 
 def verify(spark: SparkSession, path: str, attempt: str) -> DataFrame:
-    """The committed chunks; fails if the folder of one is missing."""
-    chunks = spark.read.schema("chunk_id long, rows long").parquet(f"{path}/manifest-{attempt}")
-    for r in chunks.select("chunk_id").toLocalIterator():
-        if not _exists(spark, f"{path}/data-{attempt}/chunk_id={r['chunk_id']}"):
-            raise RuntimeError(f"committed chunk {r['chunk_id']} is missing")
+    """The committed chunks; fails if a folder of theirs is missing."""
+    chunks = spark.read.schema("batch long, chunk_id long, rows long").parquet(f"{path}/manifest-{attempt}")
+    fs, jvm = _fs(spark, path)
+    data = jvm.org.apache.hadoop.fs.Path(f"{path}/data-{attempt}")
+    there = {str(s.getPath().getName()) for s in fs.listStatus(data)} if fs.exists(data) else set()
+    for r in chunks.select("batch").distinct().toLocalIterator():
+        if f"batch={r['batch']}" not in there:
+            raise RuntimeError(f"committed batch {r['batch']} is missing")
     return chunks
 
 

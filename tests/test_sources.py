@@ -85,13 +85,13 @@ def test_committed_chunks_and_restart(spark, tmp_path):
         raise RuntimeError("lost before the manifest")
 
     with pytest.raises(RuntimeError, match="lost"):
-        sinks.write_chunks(df, path, "one", broken)
-    sinks.write_chunks(df, path, "one", write_csv)
+        sinks.write_chunks(df, path, "one", broken, 1)
+    sinks.write_chunks(df, path, "one", write_csv, 1)
     assert spark.read.csv(sinks.committed_paths(spark, path, "one")).count() == 3
     sinks.write_chunks(df, path, "one", broken)  # committed already: nothing is written
     import shutil
 
-    shutil.rmtree(f"{path}/data-one/chunk_id=1")
+    shutil.rmtree(f"{path}/data-one/batch=1")
     with pytest.raises(RuntimeError, match="missing"):
         sinks.write_chunks(df, path, "one", write_csv)
 
