@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.batches import pieces_of
 from batchloom.llm.scratch import Scratch
 from batchloom.llm.skew import row_numbers
 
@@ -30,9 +31,9 @@ SPACE = "▁"
 #: Texts of this many characters and more are cut into chunks.
 GIANT, CHUNK = 65_536, 16_384
 #: Words and pairs of pieces that a worker remembers; beyond, it starts anew.
-REMEMBER = 250_000
-#: Characters of texts whose words are looked up together.
-AT_ONCE = 1_500_000
+REMEMBER = 120_000
+#: Bytes of texts whose words are looked up together.
+AT_ONCE = 1_000_000
 
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _STARTS = re.compile(f"(?<!{SPACE}){SPACE}")
@@ -412,23 +413,18 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _whole(vocabulary: Vocabulary):
+    def told(lattice, batch):
+        texts = batch.column("text").to_pylist()
+        ids = lattice.encode_all(texts)
+        decoded = [lattice.decode(x) for x in ids]
+        ends = np.cumsum([0, *map(len, ids)])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int32), *ids]), pa.int32()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string()), pa.array([x == y for x, y in zip(texts, decoded)], pa.bool_())], names=["doc_id", "ids", "decoded", "round_trip"])
+
     def run(batches):
         lattice = Lattice(vocabulary)
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids, lo = [], 0
-            while lo < len(texts):
-                hi, size = lo + 1, len(texts[lo])
-                while hi < len(texts) and size < AT_ONCE:
-                    size += len(texts[hi])
-                    hi += 1
-                ids += lattice.encode_all(texts[lo:hi])
-                lo = hi
-            decoded = [lattice.decode(x) for x in ids]
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string()), pa.array([x == y for x, y in zip(texts, decoded)], pa.bool_())], names=["doc_id", "ids", "decoded", "round_trip"])
+        for batch in pieces_of(batches, "text", AT_ONCE):
+            yield told(lattice, batch)
 
     return run
 
