@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +20,13 @@ PERCENT = 75
 #: Rarity is told by counts in so many hashed slots over all lines; a table of one byte each.
 SLOTS = 1 << 22
 #: Characters of documents that a task works on at a time, and of the corpus for one bucket of the index.
-BLOCK_CHARS, BUCKET_CHARS = 6_000_000, 16_000_000
+BLOCK_CHARS, BUCKET_CHARS = 4_000_000, 8_000_000
 #: Uses of a word from which its lines are held against each other in several cells, and lines of a cell's side.
 HOT, CELL = 1 << 15, 1 << 14
-#: Earlier lines that a line is held against at first; the rest only where none of these matches.
-FIRST = 4
+#: Candidates before a line in a cell that it is held against at first; the rest only where none of these matches.
+FIRST = 2
+#: Lines just before a line in a cell that are looked at one by one, and lines of a cell that are then compared at once.
+NEAR, DENSE = 24, 256
 
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,46 +40,58 @@ def _slot(x: np.ndarray) -> np.ndarray:
     return (_mix(x) >> np.uint64(64 - 22)).astype(np.int64)
 
 
+class _Numbered(dict):
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Lines:
     """The lines of some documents as sets of word hashes, side by side; lines without words are left out.
 
-    ``row, line`` name a line, ``at`` and ``size`` its words within ``words``.
+    ``row, line`` name a line, ``at`` and ``size`` its words within ``words``,
+    which are in order of rarity, then hash, within each line.
     """
 
-    def __init__(self, rows: list[int], texts: list[str | None], hashes: WordHashes):
-        row, line, size, flat = [], [], [], []
+    def __init__(self, rows: list[int], texts: list[str | None], levels: np.ndarray):
+        numbered = _Numbered()
+        row, line, size, parts = [], [], [], []
         for r, text in zip(rows, texts):
+            flat: list[bytes] = []
             for k, raw in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
                 if words := raw.split():
                     row.append(r)
                     line.append(k)
                     size.append(len(words))
-                    flat.extend(words)
-        ids = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
-        of = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((ids, of))
-        ids, of = ids[order], of[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (of[1:] != of[:-1])
-        self.words, self.of = ids[new], of[new]
+                    flat += words
+            parts.append(np.fromiter(map(numbered.__getitem__, flat), np.int64, len(flat)))
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbered), np.uint64, len(numbered))
+        order = np.lexsort((hashes, levels[_slot(hashes)]))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        keyed = (np.repeat(np.arange(len(size)), size) << 32) | place[np.concatenate(parts)] if size else np.empty(0, np.int64)
+        keyed.sort()
+        keyed = keyed[np.append(True, keyed[1:] != keyed[:-1])] if len(keyed) else keyed
+        self.of = keyed >> 32
+        self.words = hashes[order][keyed & 0xFFFFFFFF]
         self.row, self.line = np.array(row, np.int64), np.array(line, np.int64)
         self.size = np.bincount(self.of, minlength=len(self.row))
         self.at = np.cumsum(self.size) - self.size
 
 
-def _read(batches):
+def _read(batches, levels: np.ndarray):
     """Lines of about BLOCK_CHARS characters at a time."""
-    hashes, rows, texts, chars = WordHashes(), [], [], 0
+    rows, texts, chars = [], [], 0
     for batch in batches:
         for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
             rows.append(r)
             texts.append(text)
             chars += len(text or "")
             if chars > BLOCK_CHARS:
-                yield Lines(rows, texts, hashes)
+                yield Lines(rows, texts, levels)
                 rows, texts, chars = [], [], 0
     if rows:
-        yield Lines(rows, texts, hashes)
+        yield Lines(rows, texts, levels)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -92,27 +109,47 @@ def _unpack(blobs, *kinds) -> list[np.ndarray]:
 
 
 def _uses(batches):
-    counts = np.zeros(SLOTS, np.uint32)
-    for lines in _read(batches):
-        counts += np.bincount(_slot(lines.words), minlength=SLOTS).astype(np.uint32)
+    counts, words, size, total = np.zeros(SLOTS, np.int64), Counter(), 0, 0
+
+    def add():
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        np.add.at(counts, _slot(hashes), np.fromiter(words.values(), np.int64, len(words)))
+        words.clear()
+
+    for batch in batches:
+        for text in batch.column("text"):
+            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            words.update(data.lower().split())
+            size, total = size + len(data), total + len(data)
+            if size > BLOCK_CHARS:
+                add()
+                size = 0
+    add()
+    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([total], np.int64).tobytes()], pa.binary())], names=["part", "uses"])
     for k, part in enumerate(np.split(counts, 16)):
         used = np.flatnonzero(part)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(used.astype(np.uint32), part[used])], pa.binary())], names=["part", "uses"])
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(used.astype(np.uint32), part[used].clip(0, 2**32 - 1).astype(np.uint32))], pa.binary())], names=["part", "uses"])
 
 
 def _levels(frame: pd.DataFrame) -> pd.DataFrame:
+    if frame["part"].iloc[0] < 0:
+        total = sum(int(np.frombuffer(d, np.int64)[0]) for d in frame["uses"])
+        return pd.DataFrame({"part": frame["part"].iloc[:1], "levels": [np.array([total], np.int64).tobytes()]})
     at, n = _unpack(frame["uses"], np.uint32, np.uint32)
     total = np.bincount(at, n, SLOTS // 16)
     return pd.DataFrame({"part": frame["part"].iloc[:1], "levels": [np.round(8 * np.log2(total + 1)).clip(0, 255).astype(np.uint8).tobytes()]})
 
 
 def rarity(source: DataFrame):
-    """A level for each slot, higher for more used words; its size is fixed, whatever the corpus."""
+    """A level for each slot, higher for more used words, as a broadcast of fixed size; and the bytes of the corpus."""
     parts = source.mapInArrow(_uses, "part int, uses binary").groupBy("part").applyInPandas(_levels, "part int, levels binary").collect()
-    found = np.zeros(SLOTS, np.uint8)
+    found, total = np.zeros(SLOTS, np.uint8), 0
     for r in parts:
+        if r["part"] < 0:
+            total = int(np.frombuffer(bytes(r["levels"]), np.int64)[0])
+            continue
         found[r["part"] * (SLOTS // 16) : (r["part"] + 1) * (SLOTS // 16)] = np.frombuffer(bytes(r["levels"]), np.uint8)
-    return source.sparkSession.sparkContext.broadcast(found)
+    return source.sparkSession.sparkContext.broadcast(found), total
 
 
 #: Of an entry: cell of a word, set, two words of a bitmap, row in two halves, line, size, place in the prefix.
@@ -124,7 +161,7 @@ def _entries(levels, buckets: int):
 
     def run(batches):
         table = levels.value
-        for x in _read(batches):
+        for x in _read(batches, table):
             if not len(x.row):
                 continue
             key = np.add.reduceat(_mix(x.words + _M2), x.at) + x.size.astype(np.uint64) * _M1
@@ -138,8 +175,7 @@ def _entries(levels, buckets: int):
             high = np.where(bit >= 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
             low, high = np.bitwise_or.reduceat(low, x.at), np.bitwise_or.reduceat(high, x.at)
             level = table[_slot(x.words)]
-            order = np.lexsort((x.words, level, x.of))
-            word, of, level = x.words[order], x.of[order], level[order]
+            word, of = x.words, x.of
             place = np.arange(len(word)) - x.at[of]
             prefix = x.size - (PERCENT * x.size + 99) // 100 + 1
             keep = (place < prefix[of]) & is_first[of]
@@ -157,7 +193,7 @@ def _entries(levels, buckets: int):
                 own = np.concatenate([own[~hot], mine == other])
                 of, place = np.concatenate([of[~hot], of[copy]]), np.concatenate([place[~hot], place[copy]])
             bucket = (cell % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((cell, bucket))
+            order = np.argsort(bucket, kind="stable")
             bucket, cell, of = bucket[order], cell[order], of[order]
             place = ((place << 1) | own.astype(np.int64))[order].astype(np.uint32)
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -177,53 +213,119 @@ def _batch(numbers: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
 
 
+_KINDS = EQUAL, PAIR, LATE, HELD = range(4)
+_COLUMNS = ["row", "line", "row0", "line0", "kind", "bucket", "data"]
+
+
+def _rows(kind: int, bucket: int, row, line, row0=-1, line0=-1, data=None) -> pd.DataFrame:
+    return pd.DataFrame({"row": row, "line": line, "row0": row0, "line0": line0, "kind": kind, "bucket": bucket, "data": data})[_COLUMNS]
+
+
+def _similar(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which of the pairs may be similar: by length, then by place of the word they share, then by their bitmaps."""
+    at = np.flatnonzero((PERCENT * c["size"][j] <= 100 * c["size"][i]) & (PERCENT * c["size"][i] <= 100 * c["size"][j]))
+    i, j = i[at], j[at]
+    both = c["size"][i] + c["size"][j]
+    need = (PERCENT * both + 99 + PERCENT) // (100 + PERCENT)
+    ok = np.minimum(c["left"][i], c["left"][j]) >= need
+    at, i, j, both, need = at[ok], i[ok], j[ok], both[ok], need[ok]
+    apart = np.bitwise_count(c["b0"][i] ^ c["b0"][j])
+    ok = both - apart >= 2 * need
+    at, i, j, both, need, apart = at[ok], i[ok], j[ok], both[ok], need[ok], apart[ok]
+    return at[both - apart - np.bitwise_count(c["b1"][i] ^ c["b1"][j]) >= 2 * need]
+
+
+def _dense(c: dict, js: np.ndarray, lo: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """The similar lines at least ``step`` before each of ``js`` in a cell that begins at ``lo``; by line, the nearest first."""
+    span = np.arange(lo, int(js[-1]) - step + 1)
+    size_j, size_i, left_j, left_i = c["size"][js][:, None], c["size"][span][None], c["left"][js][:, None], c["left"][span][None]
+    ok = (100 + PERCENT) * np.minimum(left_j, left_i) >= PERCENT * (size_j + size_i)
+    ok &= (PERCENT * size_j <= 100 * size_i) & (PERCENT * size_i <= 100 * size_j) & (span[None] <= js[:, None] - step)
+    j, i = np.nonzero(ok[:, ::-1])
+    j, i = js[j], span[len(span) - 1 - i]
+    keep = _similar(c, i, j)
+    return j[keep], i[keep]
+
+
+def _earlier(c: dict, asked: np.ndarray, most: int | None, skip: int = 0):
+    """For the asked places, sorted by cell and then table order, similar lines before them in their cell, the nearest first.
+
+    Each gets up to ``most`` after its first ``skip``; gives ``(later, earlier, those with more to look at)``.
+    """
+    change = np.append(True, c["cell"][1:] != c["cell"][:-1])
+    start = np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
+    hits = np.zeros(len(change), np.int64)
+    later, earlier, more, step = [], [], [], 1
+    live = asked[asked > start[asked]]
+    c = c | {"size": c["size"].astype(np.int32), "left": (c["size"] - c["place"]).astype(np.int32)}
+    while len(live) and step <= NEAR:
+        other = live - step
+        ok = _similar(c, other, live)
+        found = live[ok]
+        hits[found] += 1
+        wanted = hits[found] > skip
+        later.append(found[wanted])
+        earlier.append(other[ok][wanted])
+        step += 1
+        on = live - step >= start[live]
+        if most is not None:
+            full = hits[live] >= most
+            more.append(live[full & on])
+            on &= ~full
+        live = live[on]
+    # Lines that still ask are held against all others of their cell at once, as rows of a table of pairs.
+    for block in np.split(live, np.flatnonzero(np.diff(start[live])) + 1) if len(live) else ():
+        for js in np.split(block, range(DENSE, len(block), DENSE)):
+            j, i = _dense(c, js, int(start[js[0]]), step)
+            rank = np.arange(len(j)) - np.searchsorted(j, j) + hits[j]
+            wanted = (rank >= skip) if most is None else (rank < most)
+            later.append(j[wanted])
+            earlier.append(i[wanted])
+            if most is not None:
+                more.append(np.unique(j[~wanted]))
+    join = lambda parts: np.concatenate(parts) if parts else np.empty(0, np.int64)
+    return join(later), join(earlier), join(more)
+
+
 def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: lines equal to an earlier one (no earlier line named), and those that may be similar to earlier ones."""
-    columns = ["row", "line", "row0", "line0", "late"]
-    if frame["bucket"].iloc[0] < 0:
+    """Of one bucket: lines equal to an earlier one, those that may be similar to earlier ones, and what later rounds need."""
+    bucket = int(frame["bucket"].iloc[0])
+    if bucket < 0:
         high, low, line = (a.astype(np.int64) for a in _unpack(frame["data"], np.uint32, np.uint32, np.uint32))
-        return pd.DataFrame({"row": high << 32 | low, "line": line, "row0": -1, "line0": -1, "late": False})[columns]
+        return _rows(EQUAL, bucket, high << 32 | low, line)
     cell, key, b0, b1, high, low, line, size, place = _unpack(frame["data"], *_ENTRY)
     row = high.astype(np.int64) << 32 | low.astype(np.int64)
+    line = line.astype(np.int64)
     order = np.lexsort((line, row, key, cell))
-    cell, key, row, line, place = cell[order], key[order], row[order], line[order].astype(np.int64), place[order]
-    again = np.zeros(len(cell), bool)
-    again[1:] = (cell[1:] == cell[:-1]) & (key[1:] == key[:-1])
-    told = again & (place == 1)  # by its first word, and where that is hot, in the cell of its own side
-    parts = [pd.DataFrame({"row": row[told], "line": line[told], "row0": -1, "line0": -1, "late": False})]
-    order, fresh = order[~again], ~again
-    cell, row, line, place = cell[fresh], row[fresh], line[fresh], (place[fresh] >> 1).astype(np.int64)
-    b0, b1, size = b0[order], b1[order], size[order].astype(np.int64)
-    order = np.lexsort((size, cell))
-    cell, row, line, place, b0, b1, size = (a[order] for a in (cell, row, line, place, b0, b1, size))
-    found_i, found_j = [], []
-    i = np.arange(len(cell) - 1)
-    step = 1
-    while len(i):
-        j = i + step
-        near = (cell[i] == cell[j]) & (PERCENT * size[j] <= 100 * size[i])
-        i, j = i[near], j[near]
-        both = size[i] + size[j]
-        need = (PERCENT * both + 99 + PERCENT) // (100 + PERCENT)
-        ok = 1 + np.minimum(size[i] - place[i], size[j] - place[j]) - 1 >= need
-        apart = np.bitwise_count(b0[i] ^ b0[j]).astype(np.int64) + np.bitwise_count(b1[i] ^ b1[j])
-        ok &= both - apart >= 2 * need
-        if ok.any():
-            found_i.append(i[ok])
-            found_j.append(j[ok])
-        step += 1
-        i = i[i + step < len(cell)]
-    if found_i:
-        i, j = np.concatenate(found_i), np.concatenate(found_j)
-        swap = (row[i] > row[j]) | ((row[i] == row[j]) & (line[i] > line[j]))
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        order = np.lexsort((line[i], row[i], j))
-        i, j = i[order], j[order]
-        start = np.ones(len(j), bool)
-        start[1:] = j[1:] != j[:-1]
-        rank = np.arange(len(j)) - np.maximum.accumulate(np.where(start, np.arange(len(j)), 0))
-        parts.append(pd.DataFrame({"row": row[j], "line": line[j], "row0": row[i], "line0": line[i], "late": rank >= FIRST}))
-    return pd.concat(parts)[columns]
+    cell_, key_ = cell[order], key[order]
+    again = np.zeros(len(order), bool)
+    again[1:] = (cell_[1:] == cell_[:-1]) & (key_[1:] == key_[:-1])
+    gone = order[again & (place[order] == 1)]  # by its first word, and where that is hot, in the cell of its own side
+    parts = [_rows(EQUAL, bucket, row[gone], line[gone])]
+    kept = order[~again]
+    kept = kept[np.lexsort((line[kept], row[kept], cell[kept]))]
+    c = {"cell": cell[kept], "row": row[kept], "line": line[kept], "place": (place[kept] >> 1).astype(np.int64), "size": size[kept].astype(np.int64), "b0": b0[kept], "b1": b1[kept]}
+    later, earlier, more = _earlier(c, np.arange(len(kept)), FIRST)
+    parts.append(_rows(PAIR, bucket, c["row"][later], c["line"][later], c["row"][earlier], c["line"][earlier]))
+    if len(more):
+        parts.append(_rows(LATE, bucket, c["row"][more], c["line"][more]))
+        held = np.isin(c["cell"], c["cell"][more])
+        data = _pack(*[c[n][held] for n in _HELD])
+        parts.append(_rows(HELD, bucket, [-1], [-1], data=[data]))
+    return pd.concat(parts)
+
+
+_HELD = {"cell": np.uint64, "row": np.int64, "line": np.int64, "place": np.int64, "size": np.int64, "b0": np.uint64, "b1": np.uint64}
+
+
+def _rest(key, late: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """All further candidates of the lines of a bucket whose first ones did not match."""
+    if late.empty or held.empty:
+        return pd.DataFrame({"row": [], "line": [], "row0": [], "line0": []}, dtype="int64")
+    c = dict(zip(_HELD, _unpack(held["data"], *_HELD.values())))
+    wanted = pd.MultiIndex.from_arrays([c["row"], c["line"]]).isin(pd.MultiIndex.from_frame(late[["row", "line"]]))
+    later, earlier, _ = _earlier(c, np.flatnonzero(wanted), None, FIRST)
+    return pd.DataFrame({"row": c["row"][later], "line": c["line"][later], "row0": c["row"][earlier], "line0": c["line"][earlier]})
 
 
 def _sets(batches):
@@ -271,20 +373,22 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     source = row_numbers(docs.select(F.col(text).cast("string").alias("text")), "row").select("row", "text")
-    chars = source.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    levels, chars = rarity(source)
     buckets = int(chars // BUCKET_CHARS) + 1
-    levels = rarity(source)
     indexed = source.mapInArrow(_entries(levels, buckets), "bucket int, data binary")
     # Blocks tell of their own repeated lines in bucket -1, spread over as many groups as there are buckets.
     spread = F.when(F.col("bucket") < 0, F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")).otherwise(F.lit(-1))
-    found = scratch.keep(indexed.withColumn("spread", spread).groupBy("bucket", "spread").applyInPandas(_pairs, "row long, line long, row0 long, line0 long, late boolean"), "pairs")
-    gone = found.filter("row0 < 0").select("row", "line")
-    pairs = found.filter("row0 >= 0")
-    matched = scratch.keep(_verified(pairs.filter("not late").drop("late").distinct(), source, scratch), "matched")
-    late = pairs.filter("late").drop("late").distinct().join(matched, ["row", "line"], "left_anti").join(gone, ["row", "line"], "left_anti")
+    schema = "row long, line long, row0 long, line0 long, kind int, bucket int, data binary"
+    found = scratch.keep(indexed.withColumn("spread", spread).groupBy("bucket", "spread").applyInPandas(_pairs, schema), "pairs")
+    gone = found.filter(F.col("kind") == EQUAL).select("row", "line")
+    pairs = found.filter(F.col("kind") == PAIR).select("row", "line", "row0", "line0").distinct()
+    matched = scratch.keep(_verified(pairs, source, scratch), "matched")
+    late = found.filter(F.col("kind") == LATE).select("bucket", "row", "line").join(matched.hint("merge"), ["row", "line"], "left_anti").join(gone.hint("merge"), ["row", "line"], "left_anti")
     late = scratch.keep(late, "late")
     if not late.isEmpty():
-        matched = matched.unionByName(_verified(late, source, scratch))
+        held = found.filter(F.col("kind") == HELD).select("bucket", "data")
+        rest = late.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_rest, "row long, line long, row0 long, line0 long")
+        matched = matched.unionByName(_verified(rest.distinct(), source, scratch))
     return gone.unionByName(matched).distinct()
 
 
@@ -292,9 +396,9 @@ def _verified(pairs: DataFrame, source: DataFrame, scratch: Scratch) -> DataFram
     """The later lines of the pairs whose full sets match."""
     pairs = scratch.keep(pairs.withColumn("b", F.struct("row0", "line0")), "asked")
     wanted = pairs.select("row", "line").unionByName(pairs.select(F.col("row0").alias("row"), F.col("line0").alias("line"))).groupBy("row").agg(F.collect_set("line").alias("wanted"))
-    sets = scratch.keep(source.join(wanted, "row").mapInArrow(_sets, "row long, line long, words binary"), "sets")
+    sets = scratch.keep(source.join(wanted.hint("merge"), "row").mapInArrow(_sets, "row long, line long, words binary"), "sets")
     both = attach_large(pairs, sets.select(F.struct(F.col("row").alias("row0"), F.col("line").alias("line0")).alias("b"), F.col("words").alias("b_words")), "b", F.col("row"))
-    both = both.join(sets.withColumnRenamed("words", "a_words"), ["row", "line"])
+    both = both.join(sets.withColumnRenamed("words", "a_words").hint("merge"), ["row", "line"])
     return both.select("row", "line", "a_words", "b_words").mapInArrow(_matching, "row long, line long").distinct()
 
 
@@ -307,7 +411,7 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     source = row_numbers(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")), "row")
     rows = source.select("row", "doc_id", F.coalesce(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines"))
     gone = repeated_lines(docs, text).groupBy("row").agg(F.array_sort(F.collect_list(F.col("line").cast("int"))).alias("removed"))
-    return rows.join(gone, "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return rows.join(gone.hint("merge"), "row", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -76,6 +76,8 @@ def test_similar_lines_by_force(spark, tmp_path, monkeypatch, hot):
     """With a low HOT the lines of most words are compared in cells."""
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "CELL", max(4, hot // 2))
+    monkeypatch.setattr(line_dedup, "NEAR", 24 if hot > 8 else 2)
+    monkeypatch.setattr(line_dedup, "DENSE", 5)
     monkeypatch.setattr(line_dedup, "BLOCK_CHARS", 900)
     monkeypatch.setattr(line_dedup, "BUCKET_CHARS", 5000)
     rng = random.Random(6)
