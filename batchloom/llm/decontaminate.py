@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.batches import pieces_of
 from batchloom.llm.scratch import Scratch
 from batchloom.llm.skew import row_numbers
 
@@ -184,7 +185,7 @@ def _hits(texts: list[str | None], index: Index | None, table: np.ndarray) -> li
 def _scan(index: Index | None):
     def run(batches):
         table = _fold_table()
-        for batch in batches:
+        for batch in pieces_of(batches, "text"):
             found = _hits(batch.column("text").to_pylist(), index, table)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("doc_id"), pa.array([sorted(f) for f in found], pa.list_(pa.int64())), pa.array([min(f.values(), default=None) for f in found], pa.int64())],
@@ -196,7 +197,7 @@ def _scan(index: Index | None):
 def _clean(index: Index | None, text: str):
     def run(batches):
         table = _fold_table()
-        for batch in batches:
+        for batch in pieces_of(batches, text):
             yield batch.filter(pa.array([not f for f in _hits(batch.column(text).to_pylist(), index, table)], pa.bool_()))
 
     return run

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.batches import pieces_of
+
 #: Bound of the training sample: labelled texts for each language, snippets of each, bytes of a snippet, and languages (the most frequent).
 PER_LANGUAGE, SNIPPETS, SNIPPET, LANGUAGES = 800, 6, 96, 64
 #: State of each direction, training steps, snippets a step, and step size.
@@ -172,7 +174,7 @@ def fit(docs: DataFrame) -> Network | None:
 
 def _predict(network: Network | None):
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches, "text"):
             texts = batch.column("text").to_pylist()
             known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if network else []
             lang, score = ["und"] * len(texts), [0.0] * len(texts)
@@ -206,7 +208,7 @@ def drop_unknown(docs: DataFrame, network: Network | None, text: str = "text") -
     """The rows of ``docs`` whose text gets a language, all columns; ``und`` goes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces_of(batches, text):
             texts = batch.column(text).to_pylist()
             known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
             keep = [False] * len(texts)

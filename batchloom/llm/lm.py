@@ -18,6 +18,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -276,6 +277,19 @@ def _score(buckets: int, hot: np.ndarray, model: dict):
     return run
 
 
+def _totals(hot: int):
+    """What the buckets counted of the whole corpus and of hot words, as rows to be summed."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("answer").to_pylist():
+                sums, some, follow, here, often = _unpack(data, *[np.int64] * 5)
+                at = np.concatenate([-1 - np.arange(4), some, hot + here])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate([sums, follow, often]))], names=["at", "n"])
+
+    return run
+
+
 def _frequent(share: float):
     """Words, with counts, that make up at least ``share`` of a block; at most 1 / share of each."""
 
@@ -325,23 +339,16 @@ def score(docs: DataFrame, train: F.Column, text: str = "text", doc_id: str = "d
     share = 1 / (4 * buckets)
     often = source.select("text").mapInArrow(_frequent(share / 2), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     often = scratch.keep(often, "often")
-    total = (often.filter("word is null").first() or [0, 0])[1]
-    hot = [r["word"] for r in often.filter(F.col("word").isNotNull() & (F.col("n") >= share * total)).select("word").collect()]
+    every = (often.filter("word is null").first() or [0, 0])[1]
+    hot = [r["word"] for r in often.filter(F.col("word").isNotNull() & (F.col("n") >= share * every)).select("word").collect()]
     hot = np.unique(np.append(np.array(hot, np.int64).view(np.uint64), np.uint64(_START)))
     asked = source.select("text", "train").mapInArrow(_ask(buckets, hot), "bucket int, block long, request binary")
     answers = scratch.keep(asked.groupBy("bucket").applyInPandas(_count(hot), "block long, bucket int, answer binary"), "answers")
-    model = {"total": 0, "distinct": 0}
-    once = twice = 0
-    follow, hot_count = np.zeros(len(hot)), np.zeros(len(hot))
-    for r in answers.filter("block = -1").toLocalIterator():
-        sums, some, n, here, often = _unpack(bytes(r["answer"]), *[np.int64] * 5)
-        model["total"] += int(sums[0])
-        model["distinct"] += int(sums[1])
-        once, twice = once + int(sums[2]), twice + int(sums[3])
-        follow[some] += n
-        hot_count[here] += often
-    model["discount"] = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    model |= {"hot_follow": follow, "hot_count": hot_count}
+    sums = {r["at"]: r["n"] for r in answers.filter("block = -1").select("answer").mapInArrow(_totals(len(hot)), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()}
+    total, distinct, once, twice = (sums.get(-k, 0) for k in (1, 2, 3, 4))
+    model = {"total": total, "distinct": distinct, "discount": min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5}
+    model["hot_follow"] = np.array([sums.get(k, 0) for k in range(len(hot))], np.float64)
+    model["hot_count"] = np.array([sums.get(len(hot) + k, 0) for k in range(len(hot))], np.float64)
     numbered = source.mapInArrow(_blocks, "block long, doc_id long, text binary, train boolean").select("block", F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("string").alias("text"), "train")
     return numbered.groupBy("block").cogroup(answers.filter("block >= 0").groupBy("block")).applyInPandas(
         _score(buckets, hot, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

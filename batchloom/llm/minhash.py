@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.batches import pieces_of
 from batchloom.llm.components import components
 from batchloom.llm.scratch import Scratch
 from batchloom.llm.skew import attach, attach_large, row_numbers
@@ -35,7 +36,7 @@ class WordHashes(dict):
     """64-bit hashes of words as asked for, forgotten when there are many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 400_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -78,7 +79,7 @@ def minima(found: np.ndarray) -> np.ndarray:
 def _signatures(batches):
     hashes = WordHashes()
     power = _M ** np.arange(1, ROWS + 1, dtype=np.uint64)
-    for batch in batches:
+    for batch in pieces_of(batches, "text"):
         n, keys, sigs, bands = [], [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             found = shingles(text, hashes)
@@ -95,7 +96,7 @@ def _signatures(batches):
 
 def _sets(batches):
     hashes = WordHashes()
-    for batch in batches:
+    for batch in pieces_of(batches, "text"):
         sets = [shingles(x, hashes).tobytes() for x in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sets, pa.binary())], names=["cid", "members"])
 
