@@ -59,10 +59,13 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Segments of benchmark items and where their grams are."""
+    """Letters of benchmark items, one after another, and where their grams are; a segment is named by the place of its first letter."""
 
     items: np.ndarray
     letters: np.ndarray
+    item: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
     lengths: np.ndarray
     edits: np.ndarray
     needed: np.ndarray
@@ -70,12 +73,11 @@ class Index:
     keys: np.ndarray
     first: np.ndarray
     count: np.ndarray
-    segment: np.ndarray
-    offset: np.ndarray
+    places: np.ndarray
 
     @classmethod
     def build(cls, rows: list[tuple[int, str]]) -> Index | None:
-        """Segments of SEGMENT letters, half overlapping, the last flush with its item's end; short items are one."""
+        """Each item with the length, budget and least shared grams of its segments; short items are one segment."""
         table = _fold_table()
         items, parts = [], []
         for item, text in rows:
@@ -83,29 +85,28 @@ class Index:
             folded = folded[folded > _EMPTY]
             if len(folded) < LEAST:
                 continue
-            last = max(0, len(folded) - SEGMENT)
-            for at in sorted({*range(0, last, SEGMENT // 2), last}):
-                items.append(item)
-                parts.append(folded[at : at + SEGMENT])
+            items.append(item)
+            parts.append(folded)
         if not parts:
             return None
-        lengths = np.array([len(p) for p in parts])
+        sizes = np.array([len(p) for p in parts])
+        ends = np.cumsum(sizes)
+        lengths = np.minimum(sizes, SEGMENT)
         edits = np.minimum(EDITS, (lengths - Q) // (Q + 2))
-        letters = np.zeros((len(parts), SEGMENT), np.uint32)
-        for row, part in zip(letters, parts):
-            row[: len(part)] = part
-        grams = [_grams(p) for p in parts]
-        h = np.concatenate(grams)
-        segment = np.repeat(np.arange(len(parts)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams])
+        h = np.concatenate([_grams(p) for p in parts])
+        places = np.concatenate([np.arange(end - size, end - Q + 1) for size, end in zip(sizes, ends)])
         order = np.argsort(h, kind="stable")
         keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
         slots = np.zeros(1 << _SLOT_BITS, bool)
         slots[_slots(keys)] = True
-        return cls(np.array(items, np.int64), letters, lengths, edits, lengths - Q + 1 - edits * Q, slots, keys, first, count, segment[order], offset[order])
+        return cls(np.array(items, np.int64), np.concatenate(parts), np.repeat(np.arange(len(parts)), sizes), ends - sizes, ends, lengths, edits, lengths - Q + 1 - edits * Q, slots, keys, first, count, places[order])
 
-    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position, segment and edits of every region of folded text within its segment's budget."""
+    def search(self, x: np.ndarray, borders: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, item and edits of every region of folded text within the budget of a segment of the item.
+
+        ``borders`` are the positions at which another document begins; an item
+        that a document quotes exactly is not looked for in it any further.
+        """
         none = (np.empty(0, np.int64),) * 3
         if len(x) < Q:
             return none
@@ -120,39 +121,79 @@ class Index:
         if not len(at):
             return none
         n = self.count[key]
-        posting = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        segment = self.segment[posting]
-        band = (np.repeat(at, n) - self.offset[posting]) // EDITS + 2 * SEGMENT
-        code = np.concatenate([segment * (1 << 32) + band, segment * (1 << 32) + band - 1])
+        place = self.places[np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        diagonal = np.repeat(at, n) - place + len(self.letters)
+        band = diagonal // EDITS
+        place, start = self.candidates(np.concatenate([band << 32 | place, (band - 1) << 32 | place]))
+        if not len(place):
+            return none
+        # A document that quotes an item exactly has one of its segments' grams all on one diagonal.
+        exact_place, exact_start = self.exact(diagonal << 32 | np.repeat(at, n))
+        pair = lambda place, start: self.documents(place, start, borders) * len(self.items) + self.item[place]
+        quoted, one = np.unique(pair(exact_place, exact_start), return_index=True)
+        exact_place, exact_start = exact_place[one], exact_start[one]
+        zero = self.align(x, exact_place, exact_start)
+        known = zero == 0
+        left = ~np.isin(pair(place, start), quoted[known])
+        place, start = place[left], start[left]
+        distance = np.concatenate([zero[known], self.align(x, place, start)])
+        place, start = np.concatenate([exact_place[known], place]), np.concatenate([exact_start[known], start])
+        item = self.item[place]
+        ok = distance <= self.edits[item]
+        return np.maximum(start[ok], 0), item[ok], distance[ok]
+
+    def candidates(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments that share enough grams with a band (``band << 32 | place of the gram``), and where in the text the band begins for them."""
+        code.sort()
+        item = self.item[code & 0xFFFFFFFF]
+        last = np.arange(len(code)) + self.needed[item] - 1
+        i = np.flatnonzero(last < len(code))
+        i = i[(code[last[i]] - code[i] <= self.lengths[item[i]] - Q) & (item[last[i]] == item[i])]
+        item, band, last = item[i], code[i] >> 32, last[i]
+        # Within a band and item both ends rise, so each segment is taken once if a run begins behind the one before.
+        low = np.maximum((code[last] & 0xFFFFFFFF) - self.lengths[item] + Q, self.starts[item])
+        high = np.minimum(code[i] & 0xFFFFFFFF, self.ends[item] - self.lengths[item])
+        again = (np.diff(band) == 0) & (np.diff(item) == 0)
+        low[1:][again] = np.maximum(low[1:][again], high[:-1][again] + 1)
+        n = np.maximum(high - low + 1, 0)
+        place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return place, np.repeat(band, n) * EDITS - len(self.letters) + place
+
+    def exact(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Segments whose grams all stand on one diagonal (``diagonal << 32 | position of the gram``), and their positions."""
         code.sort()
-        change = np.flatnonzero(np.diff(code)) + 1
-        starts = np.concatenate([[0], change])
-        shared = np.diff(np.concatenate([starts, [len(code)]]))
-        found = code[starts]
-        segment, band = found >> 32, (found & 0xFFFFFFFF) - 2 * SEGMENT
-        enough = shared >= self.needed[segment]
-        segment, start = segment[enough], band[enough] * EDITS
-        distance = self.align(x, segment, start)
-        ok = distance <= self.edits[segment]
-        return np.maximum(start[ok], 0), segment[ok], distance[ok]
-
-    def align(self, x: np.ndarray, segment: np.ndarray, start: np.ndarray) -> np.ndarray:
+        position = code & 0xFFFFFFFF
+        place = position - (code >> 32) + len(self.letters)
+        item = self.item[place]
+        last = np.arange(len(code)) + self.lengths[item] - Q
+        i = np.flatnonzero(last < len(code))
+        i = i[(code[last[i]] - code[i] == self.lengths[item[i]] - Q) & (item[last[i]] == item[i])]
+        return place[i], position[i]
+
+    def documents(self, place: np.ndarray, start: np.ndarray, borders: np.ndarray | None) -> np.ndarray:
+        """The document in which the middle of each region lies."""
+        if borders is None:
+            return np.zeros(len(place), np.int64)
+        return np.searchsorted(borders, np.maximum(start, 0) + self.lengths[self.item[place]] // 2, side="right")
+
+    def align(self, x: np.ndarray, place: np.ndarray, start: np.ndarray) -> np.ndarray:
         """Least edits between each segment and a stretch of text that begins within its band."""
-        out = np.empty(len(segment), np.int64)
+        out = np.empty(len(place), np.int64)
         width = 4 * EDITS + 1
         steps = np.arange(width)
         padded = np.concatenate([np.zeros(2 * SEGMENT, np.uint32), x, np.zeros(2 * SEGMENT + width, np.uint32)])
-        for lo in range(0, len(segment), 4096):
-            s = segment[lo : lo + 4096]
+        for lo in range(0, len(place), 4096):
+            p = place[lo : lo + 4096]
+            lengths = self.lengths[self.item[p]]
             origin = start[lo : lo + 4096] - EDITS + 2 * SEGMENT
             text = padded[np.clip(origin[:, None] + np.arange(SEGMENT + width), 0, len(padded) - 1)]
-            cost = np.zeros((len(s), width), np.int16)
-            best = np.zeros(len(s), np.int64)
+            cost = np.zeros((len(p), width), np.int16)
+            best = np.zeros(len(p), np.int64)
             for i in range(SEGMENT):
-                new = cost + (text[:, i : i + width] != self.letters[s, i, None])
+                new = cost + (text[:, i : i + width] != self.letters[np.minimum(p + i, len(self.letters) - 1), None])
                 np.minimum(new[:, :-1], cost[:, 1:] + 1, out=new[:, :-1])
                 cost = (np.minimum.accumulate(new - steps, axis=1) + steps).astype(np.int16)
-                done = self.lengths[s] == i + 1
+                done = lengths == i + 1
                 if done.any():
                     best[done] = cost[done].min(axis=1)
             out[lo : lo + 4096] = best
@@ -173,9 +214,9 @@ def _hits(texts: list[str | None], index: Index | None, table: np.ndarray) -> li
         folded = table[_points(gap.join(part))]
         kept = folded > 0
         ends = np.cumsum(kept)[np.cumsum([len(t) + len(gap) for t in part[:-1]]) - 1] if len(part) > 1 else np.empty(0, np.int64)
-        where, segment, edits = index.search(folded[kept])
-        middle = where + index.lengths[segment] // 2
-        for doc, item, e in zip(np.searchsorted(ends, middle, side="right").tolist(), index.items[segment].tolist(), edits.tolist()):
+        where, entry, edits = index.search(folded[kept], ends)
+        middle = where + index.lengths[entry] // 2
+        for doc, item, e in zip(np.searchsorted(ends, middle, side="right").tolist(), index.items[entry].tolist(), edits.tolist()):
             hits = found[lo + doc]
             hits[item] = min(e, hits.get(item, e))
         lo = hi

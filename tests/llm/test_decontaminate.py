@@ -84,3 +84,42 @@ def test_filter_and_alignment_by_force():
         assert (len(edits) > 0) == (least <= index.edits[0])
         if len(edits):
             assert edits.min() == least
+
+
+def test_exact_quotes_at_every_offset():
+    """A quote of SEGMENT letters or more counts wherever in its item it begins, and one of half as many does not."""
+    rng = random.Random(5)
+    items = [(i, "".join(rng.choices("abcdefghij", k=n))) for i, n in enumerate((300, 200, 107))]
+    index, table = Index.build(items), decontaminate._fold_table()
+    around = lambda quote: "".join(rng.choices("uvw", k=40)) + quote + "".join(rng.choices("uvw", k=40))
+    for length in (SEGMENT, 80, 90, 106):
+        quotes = [(i, around(text[at : at + length])) for i, text in items for at in range(len(text) - length + 1)]
+        found = decontaminate._hits([q for _, q in quotes], index, table)
+        assert found == [{i: 0} for i, _ in quotes]
+    parts = [around(text[at : at + SEGMENT // 2]) for _, text in items for at in range(len(text) - SEGMENT // 2)]
+    assert not any(decontaminate._hits(parts, index, table))
+
+
+def test_edited_quotes_by_force():
+    """Items, least edits and documents are those of every segment compared with every text; a quote of one document does not settle its neighbours."""
+    rng = random.Random(7)
+    items = [(7, "".join(rng.choices("abcd", k=150))), (8, "".join(rng.choices("abcd", k=50)))]
+    index, table = Index.build(items), decontaminate._fold_table()
+    texts = []
+    for _ in range(25):
+        item = rng.choice(items)[1]
+        at = rng.randrange(max(1, len(item) - 80))
+        quote = list(item[at : at + 80])
+        for _ in range(rng.choice((0, 2, 4, 6, 8))):
+            quote[rng.randrange(len(quote))] = rng.choice(("", "x", "ab"))
+        texts.append("".join(quote) + "".join(rng.choices("uvw", k=rng.randrange(30))))
+    want = []
+    for text in texts:
+        hits = {}
+        for k, (i, item) in enumerate(items):
+            size = int(index.lengths[k])
+            least = min(edit_distance_in(item[at : at + size], text) for at in range(len(item) - size + 1))
+            if least <= index.edits[k]:
+                hits[i] = least
+        want.append(hits)
+    assert decontaminate._hits(texts, index, table) == want and any(any(h.values()) for h in want)
