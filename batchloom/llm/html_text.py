@@ -9,11 +9,12 @@ from bisect import bisect_left
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.batches import pieces_of
 from batchloom.llm.scratch import Scratch
-from batchloom.llm.skew import row_numbers
+from batchloom.llm.skew import attach, row_numbers
 from batchloom.llm.url_filter import host_of, path_of
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>?""", re.S)
@@ -32,6 +33,8 @@ _MARKS = frozenset("""ad ads advert adverts advertisement advertising adsense ba
 disqus replies cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead contentinfo
 complementary search share sharing social related newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager""".split())
 _HEADS = frozenset("header site-header page-header".split())
+#: Share of the characters of two pages in lines they share from which they are copies.
+COPY = 0.9
 
 
 def _marked(attributes: str) -> bool:
@@ -140,53 +143,107 @@ def _hashes(found: list[tuple[str, str]]) -> list[int]:
 
 
 def _outline(batches):
-    for batch in batches:
-        found = [lines(h) for h in batch.column("html").to_pylist()]
-        hashes = pa.array([_hashes(f) for f in found], pa.list_(pa.int64()))
-        opened = pa.array([[i for i, (_, s) in enumerate(f) if s == "open"] for f in found], pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "host", "path")), hashes, opened], names=["row", "host", "path", "hashes", "open"])
+    for batch in pieces_of(batches, "html"):
+        digests, hashes, opened, sizes = [], [], [], []
+        for f in map(lines, batch.column("html").to_pylist()):
+            has_main = any(s == "main" for _, s in f)
+            hashes.append(_hashes(f))
+            opened.append([] if has_main else [i for i, (_, s) in enumerate(f) if s == "open"])
+            sizes.append([0 if s == "furniture" else len(t) for t, s in f])
+            digests.append(xxhash.xxh3_128_hexdigest(repr((hashes[-1], opened[-1], sizes[-1])).encode()))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "host", "path")), pa.array(digests, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(opened, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))],
+                                         names=["row", "host", "path", "digest", "hashes", "open", "sizes"])
+
+
+def copies(one: dict, other: dict) -> bool:
+    """Whether lines that two pages share in order hold COPY of the characters of both, furniture not counted."""
+    whole = sum(one["sizes"]) + sum(other["sizes"])
+    if one["hashes"] == other["hashes"] or not whole:
+        return True
+    common = set(one["hashes"]) & set(other["hashes"])
+    if 2 * sum(n for h, n in zip(one["hashes"], one["sizes"]) if h in common) < COPY * whole:
+        return False
+    return 2 * sum(one["sizes"][k] for k in shared(one["hashes"], other["hashes"])) >= COPY * whole
+
+
+def _gone(page: dict, other: dict | None) -> list[int]:
+    """Open lines of a page that the other one, if it is no copy, has too."""
+    if other is None or not page["open"] or copies(page, other):
+        return []
+    same = set(shared(page["hashes"], other["hashes"]))
+    return [k for k in page["open"] if k in same]
+
+
+_PAGE = pa.struct([("hashes", pa.list_(pa.int64())), ("open", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
+_EDGE = pa.struct([("host", pa.string()), ("last", pa.bool_()), ("leader", _PAGE), ("prev", _PAGE), ("next", _PAGE)])
+_NEAR = pa.schema([("host", pa.string()), ("digest", pa.string()), ("rows", pa.int64()), ("p", pa.int32()), ("r", pa.int64()), ("gone", pa.list_(pa.int32())), ("page", _PAGE), ("edge", _EDGE)])
+_PAGE_SQL = "struct<hashes: array<long>, open: array<int>, sizes: array<int>>"
+_NEAR_SQL = f"host string, digest string, rows long, p int, r long, gone array<int>, page {_PAGE_SQL}, edge struct<host: string, last: boolean, leader: {_PAGE_SQL}, prev: {_PAGE_SQL}, next: {_PAGE_SQL}>"
 
 
 def _neighbours(batches):
-    """Each page with the one before it, or else after it, of its host; ``edge`` marks those that need another partition's page."""
-    p, i, before, here = TaskContext.get().partitionId(), 0, None, None
+    """The lines each page loses to the run of copies before its own, or else after it, on its host.
+
+    A run is a page, its leader, and the pages right after it that are copies of
+    it. Pages for which another partition has to be seen come with their outline;
+    the first and the last run of a partition come as ``edge``.
+    """
+    p, r, run, waiting = TaskContext.get().partitionId(), -1, None, []
 
-    def told(before, here, after, i):
-        prev = before["hashes"] if before and before["host"] == here["host"] else None
-        next_ = after["hashes"] if after and after["host"] == here["host"] else None
-        edge = i == 0 or after is None
-        return {"row": here["row"], "p": p, "i": i, "edge": edge, "host": here["host"] if edge else None, "hashes": here["hashes"], "open": here["open"], "prev": prev, "next": next_}
+    def told(here, other, known=True):
+        return {"host": here["host"], "digest": here["digest"], "rows": here["rows"], "p": p, "r": r, "gone": _gone(here, other) if known else None, "page": None if known else here}
 
-    schema = pa.schema([("row", pa.int64()), ("p", pa.int32()), ("i", pa.int64()), ("edge", pa.bool_()), ("host", pa.string()), ("hashes", pa.list_(pa.int64())),
-                        ("open", pa.list_(pa.int32())), ("prev", pa.list_(pa.int64())), ("next", pa.list_(pa.int64()))])
-    for batch in batches:
-        rows = []
-        for after in batch.to_pylist():
-            if here is not None:
-                rows.append(told(before, here, after, i))
-                i += 1
-            before, here = here, after
-        yield pa.RecordBatch.from_pylist(rows, schema)
-    if here is not None:
-        yield pa.RecordBatch.from_pylist([told(before, here, None, i)], schema)
+    def edge(run, next_, last):
+        return {"p": p, "r": r, "edge": {"host": run["leader"]["host"], "last": last, "leader": run["leader"], "prev": run["prev"], "next": next_}}
+
+    for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+        out = []
+        for here in batch.to_pylist():
+            if run is None or here["host"] != run["leader"]["host"] or not copies(here, run["leader"]):
+                before = run["leader"] if run is not None and here["host"] == run["leader"]["host"] else None
+                out += [told(w, here if before else None) for w in waiting]
+                if r == 0:
+                    out.append(edge(run, here if before else None, False))
+                waiting, run, r = [], {"leader": here, "prev": before}, r + 1
+            if run["prev"] is not None:
+                out.append(told(here, run["prev"]))
+            elif r == 0:
+                out.append(told(here, None, known=False))
+            else:
+                waiting.append(here)
+        yield pa.RecordBatch.from_pylist(out, _NEAR)
+    if run is not None:
+        yield pa.RecordBatch.from_pylist([*(told(w, None, known=False) for w in waiting), edge(run, None, True)], _NEAR)
+
+
+def _across(batches):
+    """For the first and last runs of all partitions, in order, the page that theirs are compared with."""
+    edges = [e for batch in batches for e in batch.to_pylist()]
+    before, after = [], [None] * len(edges)
+    for k, e in enumerate(edges):
+        found = e["edge"]["prev"]
+        if found is None and e["r"] == 0 and k and edges[k - 1]["edge"]["host"] == e["edge"]["host"]:
+            last = edges[k - 1]["edge"]["leader"]
+            found = before[k - 1] if copies(e["edge"]["leader"], last) else last
+        before.append(found)
+    for k in range(len(edges) - 1, -1, -1):
+        found, e = edges[k]["edge"]["next"], edges[k]["edge"]
+        if found is None and e["last"] and k + 1 < len(edges) and edges[k + 1]["edge"]["host"] == e["host"]:
+            first = edges[k + 1]["edge"]["leader"]
+            found = after[k + 1] if copies(e["leader"], first) else first
+        after[k] = found
+    schema = pa.schema([("p", pa.int32()), ("r", pa.int64()), ("other", _PAGE)])
+    yield pa.RecordBatch.from_pylist([{"p": e["p"], "r": e["r"], "other": b or a} for e, b, a in zip(edges, before, after)], schema)
 
 
 def _deleted(batches):
     for batch in batches:
-        rows, gone = [], []
-        for r in batch.to_pylist():
-            other = r["prev"] if r["prev"] is not None else r["next"]
-            if other is not None and r["open"]:
-                same = set(shared(r["hashes"], other))
-                drop = [k for k in r["open"] if k in same]
-                if drop:
-                    rows.append(r["row"])
-                    gone.append(drop)
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["row", "gone"])
+        gone = [_gone(page, other) for page, other in zip(batch.column("page").to_pylist(), batch.column("other").to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "digest", "rows")), pa.array(gone, pa.list_(pa.int32()))], names=["host", "digest", "rows", "gone"])
 
 
 def _texts(batches):
-    for batch in batches:
+    for batch in pieces_of(batches, "html"):
         out = []
         for html, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist()):
             found = lines(html)
@@ -199,18 +256,22 @@ def _texts(batches):
 def main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: str = "page_id") -> DataFrame:
     """``page_id, url, text`` per row of stored ``pages``.
 
-    A page's text blocks are its lines. Pages are sorted by host and path, and
-    each is aligned, by a longest common subsequence of its lines, with the
-    page before it on its host (the first of a host with the one after it).
-    Shared lines are deleted, except those of an article or main element, so
-    that articles with copies stay whole; lines in furniture elements (menus,
-    headers, footers, sidebars, notices, adverts, forms, comments) are deleted
-    whether shared or not; and where a page has an article or main element, so
-    is all outside it. Character references are decoded, white space within a
-    line is one space, lines are joined by a newline.
+    A page's text blocks are its lines. Pages are sorted by host and path;
+    copies of one page on a host, whose lines are all the same, count as one,
+    and copies that follow each other and differ in less than a tenth of their
+    characters form a run. Each page is aligned, by a longest common subsequence
+    of its lines, with the first page of the run before its own on its host
+    (for the first run of a host the one after it). Shared lines are deleted,
+    except those of an article or main element, so that articles with copies
+    stay whole; lines in furniture elements (menus, headers, footers, sidebars,
+    notices, adverts, forms, comments) are deleted whether shared or not; and
+    where a page has an article or main element, so is all outside it. A page
+    whose host has nothing but copies of it loses no line by alignment.
+    Character references are decoded, white space within a line is one space,
+    lines are joined by a newline.
 
     The sort spreads one host over many tasks; only hashes of lines are
-    shuffled, and pages at the borders of the sort's parts, two for each part,
+    shuffled, and runs at the borders of the sort's parts, two for each part,
     meet in a small table. Null html gives an empty text. Pages whose url is
     null or has no ``://`` form a host of their own. Repeated rows each get
     their row; other columns are not read. An empty table gives no rows.
@@ -218,16 +279,18 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: s
     scratch = Scratch(pages.sparkSession, "pages")
     source = row_numbers(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html")), "row")
     placed = source.select("row", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
-    outline = scratch.keep(placed.mapInArrow(_outline, "row long, host string, path string, hashes array<long>, open array<int>"), "outline")
-    ordered = outline.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    near = scratch.keep(ordered.select("row", "host", "hashes", "open").mapInArrow(
-        _neighbours, "row long, p int, i long, edge boolean, host string, hashes array<long>, open array<int>, prev array<long>, next array<long>"), "near")
-    across = Window.orderBy("p", "i")
-    beside = lambda f, own: F.coalesce(own, F.when(f("host").over(across) == F.col("host"), f("hashes").over(across)))
-    edges = near.filter("edge").withColumn("before", beside(F.lag, F.col("prev"))).withColumn("after", beside(F.lead, F.col("next")))
-    pairs = near.filter("not edge").select("row", "hashes", "open", "prev", "next").unionByName(
-        edges.select("row", "hashes", "open", F.col("before").alias("prev"), F.col("after").alias("next")))
-    gone = scratch.keep(pairs.mapInArrow(_deleted, "row long, gone array<int>"), "gone")
+    outline = scratch.keep(placed.mapInArrow(_outline, "row long, host string, path string, digest string, hashes array<long>, open array<int>, sizes array<int>"), "outline")
+    first = outline.groupBy("host", "digest").agg(F.min(F.struct("path", "row", "hashes", "open", "sizes")).alias("first"), F.count("*").alias("rows"))
+    distinct = scratch.keep(first.select("host", "digest", "rows", "first.*"), "distinct")
+    ordered = distinct.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
+    near = scratch.keep(ordered.select("host", "digest", "rows", "hashes", "open", "sizes").mapInArrow(_neighbours, _NEAR_SQL), "near")
+    edges = near.filter("edge is not null").select("p", "r", "edge").repartition(1).sortWithinPartitions("p", "r")
+    across = scratch.keep(edges.mapInArrow(_across, f"p int, r long, other {_PAGE_SQL}"), "across")
+    schema = "host string, digest string, rows long, gone array<int>"
+    open_ = near.filter("page is not null").join(F.broadcast(across), ["p", "r"]).select("host", "digest", "rows", "page", "other").mapInArrow(_deleted, schema)
+    found = near.filter("gone is not null").select("host", "digest", "rows", "gone").unionByName(open_).filter(F.size("gone") > 0)
+    lost = attach(outline.filter(F.size("open") > 0).select("row", "host", "digest"), scratch.keep(found, "gone"), ["host", "digest"], "rows", F.col("row"))
+    gone = scratch.keep(lost.select("row", "gone"), "lost")
     return source.join(gone, "row", "left").select("page_id", "url", "html", "gone").mapInArrow(_texts, _schema(pages, page_id, url))
 
 

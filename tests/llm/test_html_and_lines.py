@@ -54,6 +54,48 @@ def test_neighbours_decide_what_no_markup_tells(spark, tmp_path):
     assert main_text(stored(spark, tmp_path, [], PAGES, "none")).count() == 0
 
 
+@pytest.fixture
+def split_in(spark):
+    """Sets the number of parts that a shuffle has."""
+    values = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+
+    def split(n):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+    yield split
+    for k, v in values.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_copies_are_no_neighbours(spark, split_in, tmp_path, parts):
+    """Repeated rows, query strings and copies at paths next to each other, equal or almost so, over the parts of the sort."""
+    body = lambda k: "".join(f"<p>paragraph {n} of the long story number {k}</p>" for n in range(9))
+    page = lambda k, more="": f"<body><p>Welcome to our site</p>{body(k)}<p>All rights reserved</p>{more}</body>"
+    story = lambda k, more="": "\n".join(f"paragraph {n} of the long story number {k}" for n in range(9)) + more
+    rows, want = [], {}
+
+    def add(url, html, text):
+        rows.append((len(rows), url, html, "x", "y"))
+        want[len(rows) - 1] = text
+
+    for k in range(30):
+        add(f"http://r.org/a{k // 10}", page(k // 10), story(k // 10))  # three stories of ten equal rows each
+    for k in range(40):
+        add(f"http://q.org/b?session={k}", page(7), story(7))
+    add("http://q.org/c", page(8), story(8))
+    for k in range(40):
+        add(f"http://n.org/d{k:02}", page(9, f"<p>seen {k}</p>"), story(9, f"\nseen {k}"))
+    add("http://n.org/e", page(10), story(10))
+    whole = "\n".join(["Welcome to our site", story(11), "All rights reserved"])
+    for k in range(20):
+        add(f"http://only.org/{k}", page(11), whole)
+    split_in(parts)
+    found = {r.page_id: r.text for r in main_text(stored(spark, tmp_path, rows, PAGES, parts=parts)).collect()}
+    assert found == want
+
+
 DOCS = "doc_id long, text string, row string, line string, removed string"
 
 
