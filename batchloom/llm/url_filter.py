@@ -63,11 +63,11 @@ def _key(url: Column) -> Column:
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``a, a_url, b, b_url`` for each redirect (meta refresh) and canonical link of ``pages(url, html)``.
 
-    Only the first canonical link and the first redirect of a page count. Pages
-    whose html or url is null, or whose url has no ``://``, have no edges.
+    All of them count. Pages whose html or url is null, or whose url has no
+    ``://``, have no edges.
     """
     html = pages.filter(F.col("url").contains("://") & (F.lower("html").contains("canonical") | F.lower("html").contains("refresh")))
-    targets = F.array(F.regexp_extract("html", _CANONICAL, 1), F.regexp_extract("html", _REFRESH, 1))
+    targets = F.concat(*(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)) for pattern in (_CANONICAL, _REFRESH)))
     links = html.select("url", F.explode(targets).alias("target")).filter("target <> ''")
     links = links.select(F.col("url").alias("a_url"), _resolved(F.regexp_replace("target", "&amp;", "&"), F.col("url")).alias("b_url"))
     return links.select(_key(F.col("a_url")).alias("a"), "a_url", _key(F.col("b_url")).alias("b"), "b_url")

@@ -70,5 +70,13 @@ def test_blocks_reach_aliases(spark, tmp_path):
     assert all(verdicts[100 + i] == "block" for i in range(200)) and len(found) == len(rows)
 
 
+def test_every_link_of_a_page_counts(spark, tmp_path):
+    refresh = lambda url: f'<meta http-equiv="refresh" content="0; url={url}">'
+    rows = [(0, "http://a.org/0", canonical("http://a.org/0") + canonical("http://x.net/es/3")), (1, "http://b.org/1", refresh("/1") + refresh("http://c.org/2") + refresh("http://x.net/fr/")),
+            (2, "http://c.org/2", None), (3, "http://d.org/", canonical("http://d.org/3") + canonical("http://d.org/4"))]
+    found = {r.page_id: r.verdict for r in judge(stored(spark, tmp_path, [(*r, "h", "n") for r in rows], PAGES)).collect()}
+    assert found == {0: "block", 1: "block", 2: "block", 3: "allow"}
+
+
 def test_urls_empty_table(spark, tmp_path):
     assert judge(stored(spark, tmp_path, [], PAGES)).count() == 0
