@@ -21,33 +21,38 @@ LM = "doc_id long, text string, train boolean, block string, word string"
 
 def by_force(rows):
     tokens = lambda t: [*(t or "").encode().lower().split(), 0]
-    one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+    counts = [collections.Counter() for _ in range(3)]
+    texts = sum(train for _, _, train in rows)
     for _, text, train in rows:
-        if train:
-            last = 1
-            for w in tokens(text):
-                one[w] += 1
-                two[last, w] += 1
-                before[last] += 1
-                last = w
-    follow = collections.Counter(a for a, _ in two)
+        seq = [1, *tokens(text)]
+        for i in range(1, len(seq)) if train else ():
+            for k in range(3):
+                if i - k >= (1 if k == 0 else 0):
+                    counts[k][tuple(seq[i - k : i + 1])] += 1
+    one, two, three = counts
     total, distinct = sum(one.values()), len(one)
-    once, twice = sum(n == 1 for n in two.values()), sum(n == 2 for n in two.values())
-    d = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.5
-    unit = lambda w: (one[w] + 0.5) / (total + 0.5 * (distinct + 1))
+    masses = []
+    for of, lower in ((two, one), (three, two)):
+        states, uses = np.zeros(lm.GROUPS), np.zeros(lm.GROUPS)
+        for n in lower.values():
+            g = min(int(lm.FINE * np.log2(n)), lm.GROUPS - 1)
+            states[g] += 1
+            uses[g] += n
+        masses.append(lm.mass(sum(n == 1 for n in of.values()), sum(of.values()), states, uses))
+    context = lambda s: texts if s == (1,) else counts[len(s) - 1][s]
+
+    def p(s):
+        if len(s) == 1:
+            return (one[s] + 0.5) / (total + 0.5 * (distinct + 1))
+        m, c = masses[len(s) - 2], context(s[:-1])
+        return (counts[len(s) - 1][s] + m * p(s[1:])) / (c + m)
+
     out = []
     for i, text, train in rows:
-        base = score = known = 0
-        last = 1
-        for w in tokens(text):
-            base += math.log10(unit(w))
-            known += one[w] > 0
-            if two[last, w]:
-                score += math.log10((two[last, w] - d) / before[last] + d * follow[last] / before[last] * unit(w))
-            else:
-                score += math.log10(unit(w)) + (math.log10(d * follow[last] / before[last]) if before[last] else 0)
-            last = w
-        out.append((i or 0, not train, len(tokens(text)), known, total, round(base, 6), round(score, 6)))
+        seq = [1, *tokens(text)]
+        base = sum(math.log10(p((w,))) for w in seq[1:])
+        score = sum(math.log10(p(tuple(seq[max(0, k - 2) : k + 1]))) for k in range(1, len(seq)))
+        out.append((i or 0, not train, len(seq) - 1, sum(one[(w,)] > 0 for w in seq[1:]), total, round(base, 6), round(score, 6)))
     return sorted(out)
 
 
@@ -59,6 +64,7 @@ def test_scores_by_force(spark, tmp_path, monkeypatch, train_share):
     rng = random.Random(7)
     words = ["the", "The", "of", *(f"w{i}" for i in range(60))]
     rows = [(i if i else None, " ".join(rng.choice(words[: rng.randrange(2, 60)]) for _ in range(rng.randrange(80))), rng.random() < train_share) for i in range(150)]
+    rows += [(510, "w1 " + "the of " * 900 + "w2", train_share > 0), (511, " " * 900 + "w1 " + " " * 900 + "of", train_share > 0), (512, "x" * 3000 + " of the " + "y" * 2000, False)]
     rows += [(500, None, train_share > 0), (501, "", False), (502, "é é \x0b x", train_share > 0), (7, rows[7][1], rows[7][2])]
     docs = stored(spark, tmp_path, [(*r, "x", "y") for r in rows], LM)
     found = lm.score(docs, F.col("train")).collect()
