@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm.minhash import WordHashes
 from batchloom.llm.scratch import Scratch
 from batchloom.llm.skew import attach_large, row_numbers
+from batchloom.llm.words import mix, pack, steps, unpack, words
 
 #: Lines match from this Jaccard similarity of their sets of words on, in hundredths.
 PERCENT = 75
 #: Rarity is told by counts in so many hashed slots over all lines; a table of one byte each.
 SLOTS = 1 << 22
+#: Parts in which the table is counted, and tasks whose counts one task sums.
+PARTS, FAN = 64, 64
 #: Characters of documents that a task works on at a time, and of the corpus for one bucket of the index.
 BLOCK_CHARS, BUCKET_CHARS = 4_000_000, 8_000_000
 #: Uses of a word from which its lines are held against each other in several cells, and lines of a cell's side.
@@ -27,23 +28,22 @@ HOT, CELL = 1 << 15, 1 << 14
 FIRST = 2
 #: Lines just before a line in a cell that are looked at one by one, and lines of a cell that are then compared at once.
 NEAR, DENSE = 24, 256
+#: Bits of the table, of fixed size, that tells most documents with wanted lines from the others; and bits in one row of it.
+MARKS, MARK_ROW = 1 << 25, 1 << 15
 
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M1
-    return x ^ (x >> np.uint64(32))
+def _slot(x: np.ndarray) -> np.ndarray:
+    return (mix(x) >> np.uint64(64 - 22)).astype(np.int64)
 
 
-def _slot(x: np.ndarray) -> np.ndarray:
-    return (_mix(x) >> np.uint64(64 - 22)).astype(np.int64)
+def _level(uses: np.ndarray) -> np.ndarray:
+    """A byte for how often a slot is used; ONCE for a single use, and for no other number."""
+    return np.round(8 * np.log2(uses + 1)).clip(0, 255).astype(np.uint8)
 
 
-class _Numbered(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        return n
+ONCE = int(_level(np.array([1]))[0])
 
 
 class Lines:
@@ -53,134 +53,132 @@ class Lines:
     which are in order of rarity, then hash, within each line.
     """
 
-    def __init__(self, rows: list[int], texts: list[str | None], levels: np.ndarray):
-        numbered = _Numbered()
-        row, line, size, parts = [], [], [], []
-        for r, text in zip(rows, texts):
-            flat: list[bytes] = []
-            for k, raw in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-                if words := raw.split():
-                    row.append(r)
-                    line.append(k)
-                    size.append(len(words))
-                    flat += words
-            parts.append(np.fromiter(map(numbered.__getitem__, flat), np.int64, len(flat)))
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbered), np.uint64, len(numbered))
-        order = np.lexsort((hashes, levels[_slot(hashes)]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        keyed = (np.repeat(np.arange(len(size)), size) << 32) | place[np.concatenate(parts)] if size else np.empty(0, np.int64)
-        keyed.sort()
-        keyed = keyed[np.append(True, keyed[1:] != keyed[:-1])] if len(keyed) else keyed
-        self.of = keyed >> 32
-        self.words = hashes[order][keyed & 0xFFFFFFFF]
-        self.row, self.line = np.array(row, np.int64), np.array(line, np.int64)
+    def __init__(self, rows: list[int], texts: list[bytes], levels: np.ndarray):
+        data = b"\n".join(texts)
+        starts, hashes = words(data)
+        ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+        sizes = np.array([len(t) + 1 for t in texts])
+        top = np.searchsorted(ends, np.cumsum(sizes) - sizes)  # number of the first line of each text
+        line = np.searchsorted(ends, starts)
+        new = np.append(True, line[1:] != line[:-1]) if len(line) else np.zeros(0, bool)
+        line, of = line[new], np.cumsum(new) - 1
+        text = np.searchsorted(top, line, side="right") - 1
+        self.row, self.line = np.array(rows, np.int64)[text], line - top[text]
+        # One key has line, level and as much of the hash as fits; words that it can't tell apart are sorted by hash.
+        bits = max(int(len(line)).bit_length(), 1)
+        key = (of.astype(np.uint64) << np.uint64(64 - bits)) | (levels[_slot(hashes)].astype(np.uint64) << np.uint64(56 - bits)) | (hashes >> np.uint64(8 + bits))
+        order = np.argsort(key)
+        key, found = key[order], hashes[order]
+        if ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any():
+            order = np.lexsort((hashes, key[np.argsort(order)]))
+            found = hashes[order]
+        of = of[order]
+        kept = np.append(True, (found[1:] != found[:-1]) | (of[1:] != of[:-1])) if len(of) else np.zeros(0, bool)
+        self.of, self.words = of[kept], found[kept]
         self.size = np.bincount(self.of, minlength=len(self.row))
         self.at = np.cumsum(self.size) - self.size
 
 
-def _read(batches, levels: np.ndarray):
-    """Lines of about BLOCK_CHARS characters at a time."""
-    rows, texts, chars = [], [], 0
+def _texts(batches):
+    """Rows and texts of about BLOCK_CHARS bytes at a time."""
+    rows, texts, size = [], [], 0
     for batch in batches:
-        for r, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist()):
+        for r, text in zip(batch.column("row").to_pylist(), batch.column("text")):
             rows.append(r)
-            texts.append(text)
-            chars += len(text or "")
-            if chars > BLOCK_CHARS:
-                yield Lines(rows, texts, levels)
-                rows, texts, chars = [], [], 0
+            texts.append(text.as_py() or b"")
+            size += len(texts[-1])
+            if size > BLOCK_CHARS:
+                yield rows, texts
+                rows, texts, size = [], [], 0
     if rows:
-        yield Lines(rows, texts, levels)
+        yield rows, texts
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return np.array([len(arrays[0])], np.int64).tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
+def _uses(batches):
+    """How often this task's words use each slot, in PARTS rows, and as part -1 the bytes it read."""
+    counts, total = np.zeros(SLOTS, np.int64), 0
+    for _, texts in _texts(batches):
+        data = b"\n".join(texts)
+        np.add.at(counts, _slot(words(data)[1]), 1)
+        total += len(data)
+    parts = np.split(counts, PARTS)
+    task = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays([pa.array([task] * (PARTS + 1), pa.int64()), pa.array([*range(PARTS), -1], pa.int32()), pa.array([*map(_sparse, parts), _sparse(np.array([total]))], pa.binary())], names=["task", "part", "uses"])
 
 
-def _unpack(blobs, *kinds) -> list[np.ndarray]:
-    out = [[] for _ in kinds]
-    for data in blobs:
-        n, at = int(np.frombuffer(data, np.int64, 1)[0]), 8
-        for column, kind in zip(out, kinds):
-            column.append(np.frombuffer(data, kind, n, at))
-            at += n * np.dtype(kind).itemsize
-    return [np.concatenate(c) for c in out]
+def _sparse(counts: np.ndarray) -> bytes:
+    used = np.flatnonzero(counts)
+    return pack(used.astype(np.uint32), counts[used].astype(np.uint64))
 
 
-def _uses(batches):
-    counts, words, size, total = np.zeros(SLOTS, np.int64), Counter(), 0, 0
+def _sum(table: pa.Table) -> pa.Table:
+    counts = np.zeros(SLOTS // PARTS, np.int64)
+    for data in table.column("uses"):
+        at, n = unpack(data.as_py(), np.uint32, np.uint64)
+        counts[at] += n.astype(np.int64)
+    return pa.table({"task": table.column("group")[:1], "part": table.column("part")[:1], "uses": pa.array([_sparse(counts)], pa.binary())})
 
-    def add():
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-        np.add.at(counts, _slot(hashes), np.fromiter(words.values(), np.int64, len(words)))
-        words.clear()
 
-    for batch in batches:
-        for text in batch.column("text"):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            words.update(data.lower().split())
-            size, total = size + len(data), total + len(data)
-            if size > BLOCK_CHARS:
-                add()
-                size = 0
-    add()
-    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([total], np.int64).tobytes()], pa.binary())], names=["part", "uses"])
-    for k, part in enumerate(np.split(counts, 16)):
-        used = np.flatnonzero(part)
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_pack(used.astype(np.uint32), part[used].clip(0, 2**32 - 1).astype(np.uint32))], pa.binary())], names=["part", "uses"])
-
-
-def _levels(frame: pd.DataFrame) -> pd.DataFrame:
-    if frame["part"].iloc[0] < 0:
-        total = sum(int(np.frombuffer(d, np.int64)[0]) for d in frame["uses"])
-        return pd.DataFrame({"part": frame["part"].iloc[:1], "levels": [np.array([total], np.int64).tobytes()]})
-    at, n = _unpack(frame["uses"], np.uint32, np.uint32)
-    total = np.bincount(at, n, SLOTS // 16)
-    return pd.DataFrame({"part": frame["part"].iloc[:1], "levels": [np.round(8 * np.log2(total + 1)).clip(0, 255).astype(np.uint8).tobytes()]})
-
-
-def rarity(source: DataFrame):
-    """A level for each slot, higher for more used words, as a broadcast of fixed size; and the bytes of the corpus."""
-    parts = source.mapInArrow(_uses, "part int, uses binary").groupBy("part").applyInPandas(_levels, "part int, levels binary").collect()
-    found, total = np.zeros(SLOTS, np.uint8), 0
-    for r in parts:
+def rarity(source: DataFrame, scratch: Scratch):
+    """A level for each slot, higher for more used words, as a broadcast of fixed size; and the bytes of the corpus.
+
+    Tasks' counts are summed FAN at a time, so that no task holds more of them
+    however many there are.
+    """
+    tasks = source.rdd.getNumPartitions()
+    counts = source.mapInArrow(_uses, "task long, part int, uses binary")
+    while True:
+        summed = counts.withColumn("group", F.expr(f"task div {FAN}")).groupBy("part", "group").applyInArrow(_sum, "task long, part int, uses binary")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+        counts = scratch.keep(summed, "uses")
+    found, total = np.zeros(SLOTS, np.int64), 0
+    for r in summed.collect():
+        at, n = unpack(bytes(r["uses"]), np.uint32, np.uint64)
         if r["part"] < 0:
-            total = int(np.frombuffer(bytes(r["levels"]), np.int64)[0])
-            continue
-        found[r["part"] * (SLOTS // 16) : (r["part"] + 1) * (SLOTS // 16)] = np.frombuffer(bytes(r["levels"]), np.uint8)
-    return source.sparkSession.sparkContext.broadcast(found), total
+            total = int(n.sum())
+        else:
+            found[r["part"] * (SLOTS // PARTS) + at] = n
+    return source.sparkSession.sparkContext.broadcast(_level(found)), total
 
 
-#: Of an entry: cell of a word, set, two words of a bitmap, row in two halves, line, size, place in the prefix.
-_ENTRY = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32, np.uint32)
+#: Of an entry: cell of a word, set, two words of a bitmap, row, line, size, place in the prefix, and number of the line in its block.
+_ENTRY = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
 def _entries(levels, buckets: int):
-    """For each bucket the prefix words of the lines; for bucket -1 lines equal to one before them in the same block."""
+    """For each bucket the prefix words of the lines; for bucket -1 lines equal to one before them in the same block.
+
+    A word used once is in no other line and makes no entry. Blocks are named
+    by their first row.
+    """
 
     def run(batches):
         table = levels.value
-        for x in _read(batches, table):
+        for rows, texts in _texts(batches):
+            x = Lines(rows, texts, table)
             if not len(x.row):
                 continue
-            key = np.add.reduceat(_mix(x.words + _M2), x.at) + x.size.astype(np.uint64) * _M1
-            _, first = np.unique(key, return_index=True)
+            key = np.add.reduceat(mix(x.words + _M2), x.at) + x.size.astype(np.uint64) * _M1
+            order = np.argsort(key)
+            ranked = key[order]
             is_first = np.zeros(len(key), bool)
-            is_first[first] = True
+            is_first[np.minimum.reduceat(order, np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])))] = True
             gone = ~is_first
-            yield _batch([-1], [_pack((x.row[gone] >> 32).astype(np.uint32), (x.row[gone] & 0xFFFFFFFF).astype(np.uint32), x.line[gone].astype(np.uint32))])
-            bit = _mix(x.words * _M2) >> np.uint64(57)
-            low = np.where(bit < 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-            high = np.where(bit >= 64, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-            low, high = np.bitwise_or.reduceat(low, x.at), np.bitwise_or.reduceat(high, x.at)
-            level = table[_slot(x.words)]
-            word, of = x.words, x.of
-            place = np.arange(len(word)) - x.at[of]
+            yield _batch([-1], [pack(x.row[gone], x.line[gone])], rows[0])
+            bit = mix(x.words * _M2) >> np.uint64(57)
+            one = np.uint64(1) << (bit & np.uint64(63))
+            low, high = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), x.at), np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), x.at)
+            of = x.of
+            place = np.arange(len(of)) - x.at[of]
             prefix = x.size - (PERCENT * x.size + 99) // 100 + 1
-            keep = (place < prefix[of]) & is_first[of]
-            word, of, level, place = word[keep], of[keep], level[keep], place[keep]
-            cell, own = _mix(word), np.ones(len(word), bool)
+            kept = np.flatnonzero((place < prefix[of]) & is_first[of])
+            level = table[_slot(x.words[kept])]
+            shared = level != ONCE
+            kept, level = kept[shared], level[shared]
+            word, of, place = x.words[kept], of[kept], place[kept]
+            cell, own = mix(word), np.ones(len(word), bool)
             uses = 2.0 ** (level / 8)
             if (hot := uses > HOT).any():
                 sides = np.ceil(uses[hot] / CELL).astype(np.int64)
@@ -189,28 +187,25 @@ def _entries(levels, buckets: int):
                 other = np.arange(len(copy)) - np.repeat(np.cumsum(sides) - sides, sides)
                 mine = np.repeat(mine, sides)
                 p, q = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
-                cell = np.concatenate([cell[~hot], _mix(word[copy] + p * _M1 + q * _M2)])
+                cell = np.concatenate([cell[~hot], mix(word[copy] + p * _M1 + q * _M2)])
                 own = np.concatenate([own[~hot], mine == other])
                 of, place = np.concatenate([of[~hot], of[copy]]), np.concatenate([place[~hot], place[copy]])
-            bucket = (cell % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bucket, cell, of = bucket[order], cell[order], of[order]
-            place = ((place << 1) | own.astype(np.int64))[order].astype(np.uint32)
-            cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            numbers, blobs = [], []
-            for b in range(buckets):
-                s = slice(cuts[b], cuts[b + 1])
-                if s.start < s.stop:
-                    o = of[s]
-                    numbers.append(b)
-                    blobs.append(_pack(cell[s], key[o], low[o], high[o], (x.row[o] >> 32).astype(np.uint32), (x.row[o] & 0xFFFFFFFF).astype(np.uint32), x.line[o].astype(np.uint32), x.size[o].astype(np.uint32), place[s]))
-            yield _batch(numbers, blobs)
+            order = np.argsort(cell)
+            cell, of = cell[order], of[order]
+            place = ((place << 1) | own)[order].astype(np.uint32)
+            bucket = ((cell >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, np.int64)
+            blobs = []
+            for s in map(slice, first.tolist(), [*first[1:].tolist(), len(bucket)]):
+                o = of[s]
+                blobs.append(pack(steps(cell[s]), key[o], low[o], high[o], x.row[o].astype(np.uint64), x.line[o].astype(np.uint32), x.size[o].astype(np.uint32), place[s], o.astype(np.uint32)))
+            yield _batch(bucket[first].astype(np.int32), blobs, rows[0])
 
     return run
 
 
-def _batch(numbers: list[int], blobs: list[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "data"])
+def _batch(numbers, blobs: list[bytes], block: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([block] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "block", "data"])
 
 
 _KINDS = EQUAL, PAIR, LATE, HELD = range(4)
@@ -290,27 +285,39 @@ def _earlier(c: dict, asked: np.ndarray, most: int | None, skip: int = 0):
 def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
     """Of one bucket: lines equal to an earlier one, those that may be similar to earlier ones, and what later rounds need."""
     bucket = int(frame["bucket"].iloc[0])
+    frame = frame.sort_values("block")
     if bucket < 0:
-        high, low, line = (a.astype(np.int64) for a in _unpack(frame["data"], np.uint32, np.uint32, np.uint32))
-        return _rows(EQUAL, bucket, high << 32 | low, line)
-    cell, key, b0, b1, high, low, line, size, place = _unpack(frame["data"], *_ENTRY)
-    row = high.astype(np.int64) << 32 | low.astype(np.int64)
-    line = line.astype(np.int64)
-    order = np.lexsort((line, row, key, cell))
-    cell_, key_ = cell[order], key[order]
-    again = np.zeros(len(order), bool)
-    again[1:] = (cell_[1:] == cell_[:-1]) & (key_[1:] == key_[:-1])
-    gone = order[again & (place[order] == 1)]  # by its first word, and where that is hot, in the cell of its own side
+        row, line = (np.concatenate(a) for a in zip(*(unpack(d, np.int64, np.int64) for d in frame["data"])))
+        return _rows(EQUAL, bucket, row, line)
+    blobs = [unpack(d, *_ENTRY) for d in frame["data"]]
+    cell, of_blob = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blobs]), np.repeat(np.arange(len(blobs)), [len(b[0]) for b in blobs])
+    # Only cells with several entries matter; they are brought into the order of cell, block and line.
+    order = np.argsort(cell)
+    same = cell[order][1:] == cell[order][:-1]
+    order = order[np.append(False, same) | np.append(same, False)]
+    cell = cell[order]
+    rank = np.cumsum(np.append(0, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
+    key, b0, b1, row, line, size, place, number = (np.concatenate(a)[order] for a in list(zip(*blobs))[1:])
+    del blobs
+    again = np.lexsort((number, of_blob[order], rank)) if len(rank) and int(rank[-1]).bit_length() + len(frame).bit_length() > 31 else np.argsort((rank << 32 + len(frame).bit_length()) | (of_blob[order] << 32) | number)
+    rank, key, b0, b1, row, line, size, place = (a[again] for a in (rank, key, b0, b1, row.astype(np.int64), line.astype(np.int64), size, place))
+    # Of the lines of one set in a cell the first stays.
+    both = mix(key + rank.astype(np.uint64) * _M2)
+    order = np.argsort(both)
+    new = np.append(True, both[order][1:] != both[order][:-1]) if len(order) else np.zeros(0, bool)
+    is_first = np.zeros(len(order), bool)
+    if len(order):
+        is_first[np.minimum.reduceat(order, np.flatnonzero(new))] = True
+    gone = ~is_first & (place == 1)  # by its first word, and where that is hot, in the cell of its own side
     parts = [_rows(EQUAL, bucket, row[gone], line[gone])]
-    kept = order[~again]
-    kept = kept[np.lexsort((line[kept], row[kept], cell[kept]))]
-    c = {"cell": cell[kept], "row": row[kept], "line": line[kept], "place": (place[kept] >> 1).astype(np.int64), "size": size[kept].astype(np.int64), "b0": b0[kept], "b1": b1[kept]}
+    kept = np.flatnonzero(is_first)
+    c = {"cell": rank[kept].astype(np.uint64), "row": row[kept], "line": line[kept], "place": (place[kept] >> 1).astype(np.int64), "size": size[kept].astype(np.int64), "b0": b0[kept], "b1": b1[kept]}
     later, earlier, more = _earlier(c, np.arange(len(kept)), FIRST)
     parts.append(_rows(PAIR, bucket, c["row"][later], c["line"][later], c["row"][earlier], c["line"][earlier]))
     if len(more):
         parts.append(_rows(LATE, bucket, c["row"][more], c["line"][more]))
         held = np.isin(c["cell"], c["cell"][more])
-        data = _pack(*[c[n][held] for n in _HELD])
+        data = pack(*[c[n][held] for n in _HELD])
         parts.append(_rows(HELD, bucket, [-1], [-1], data=[data]))
     return pd.concat(parts)
 
@@ -322,7 +329,7 @@ def _rest(key, late: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     """All further candidates of the lines of a bucket whose first ones did not match."""
     if late.empty or held.empty:
         return pd.DataFrame({"row": [], "line": [], "row0": [], "line0": []}, dtype="int64")
-    c = dict(zip(_HELD, _unpack(held["data"], *_HELD.values())))
+    c = dict(zip(_HELD, unpack(held["data"].iloc[0], *_HELD.values())))
     wanted = pd.MultiIndex.from_arrays([c["row"], c["line"]]).isin(pd.MultiIndex.from_frame(late[["row", "line"]]))
     later, earlier, _ = _earlier(c, np.flatnonzero(wanted), None, FIRST)
     return pd.DataFrame({"row": c["row"][later], "line": c["line"][later], "row0": c["row"][earlier], "line0": c["line"][earlier]})
@@ -334,12 +341,12 @@ def _sets(batches):
     for batch in batches:
         rows, numbers, sets = [], [], []
         for r, text, wanted in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
-            found = (text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")
+            found = (text or b"").lower().split(b"\n")
             for k in wanted:
-                words = found[k].split()
+                own = found[k].split()
                 rows.append(r)
                 numbers.append(k)
-                sets.append(np.unique(np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))).tobytes())
+                sets.append(np.unique(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], names=["row", "line", "words"])
 
 
@@ -362,6 +369,7 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     without words match nothing. A line is removed for any earlier match,
     whether that is itself removed or not.
 
+    Lines count as of one set if 64-bit sums over their words' hashes agree.
     Words are ordered by rarity, then by hash. Matching lines share a word of
     their prefixes, so lines are indexed by these; lines of one set meet there
     once, however often they occur, and candidates are held to the length and
@@ -372,10 +380,10 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
-    source = row_numbers(docs.select(F.col(text).cast("string").alias("text")), "row").select("row", "text")
-    levels, chars = rarity(source)
+    source = row_numbers(docs.select(F.col(text).cast("string").cast("binary").alias("text")), "row").select("row", "text")
+    levels, chars = rarity(source, scratch)
     buckets = int(chars // BUCKET_CHARS) + 1
-    indexed = source.mapInArrow(_entries(levels, buckets), "bucket int, data binary")
+    indexed = source.mapInArrow(_entries(levels, buckets), "bucket int, block long, data binary")
     # Blocks tell of their own repeated lines in bucket -1, spread over as many groups as there are buckets.
     spread = F.when(F.col("bucket") < 0, F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")).otherwise(F.lit(-1))
     schema = "row long, line long, row0 long, line0 long, kind int, bucket int, data binary"
@@ -392,11 +400,25 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     return gone.unionByName(matched).distinct()
 
 
+def _likely(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``source`` that are among ``wanted``, and a few others, found without moving them.
+
+    A table of MARKS bits, 4 MB at any size, is broadcast; the more rows are
+    wanted the more others pass, up to all.
+    """
+    mark = F.pmod(F.xxhash64("row"), F.lit(MARKS))
+    bits = wanted.select(mark.alias("mark")).groupBy(F.expr(f"int(mark div {MARK_ROW})").alias("part")).agg(F.bitmap_construct_agg(F.col("mark") % MARK_ROW).alias("bits"))
+    at = (F.col("mark") % MARK_ROW).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.expr(f"int((mark % {MARK_ROW}) div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    marked = source.withColumn("mark", mark).withColumn("part", F.expr(f"int(mark div {MARK_ROW})")).join(F.broadcast(bits), "part")
+    return marked.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*source.columns)
+
+
 def _verified(pairs: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
     """The later lines of the pairs whose full sets match."""
     pairs = scratch.keep(pairs.withColumn("b", F.struct("row0", "line0")), "asked")
     wanted = pairs.select("row", "line").unionByName(pairs.select(F.col("row0").alias("row"), F.col("line0").alias("line"))).groupBy("row").agg(F.collect_set("line").alias("wanted"))
-    sets = scratch.keep(source.join(wanted.hint("merge"), "row").mapInArrow(_sets, "row long, line long, words binary"), "sets")
+    sets = scratch.keep(_likely(source, wanted).join(wanted.hint("merge"), "row").mapInArrow(_sets, "row long, line long, words binary"), "sets")
     both = attach_large(pairs, sets.select(F.struct(F.col("row").alias("row0"), F.col("line").alias("line0")).alias("b"), F.col("words").alias("b_words")), "b", F.col("row"))
     both = both.join(sets.withColumnRenamed("words", "a_words").hint("merge"), ["row", "line"])
     return both.select("row", "line", "a_words", "b_words").mapInArrow(_matching, "row long, line long").distinct()

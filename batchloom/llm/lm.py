@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.scratch import Scratch
 from batchloom.llm.skew import row_numbers
+from batchloom.llm.words import mix, pack, steps, unpack
 
 #: Bytes of text in a block (a longer text forms several), and of the corpus for one bucket of n-grams.
 BLOCK_CHARS, BUCKET_CHARS = 4_000_000, 6_000_000
@@ -44,33 +45,6 @@ _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays byte by byte, lowest bytes first, compressed: bytes that hardly vary cost hardly anything."""
-    raw = b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays)
-    return np.array([len(raw), *map(len, arrays)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(data: bytes, *kinds) -> list[np.ndarray]:
-    size, *lengths = np.frombuffer(data, np.int64, 1 + len(kinds)).tolist()
-    raw = pa.decompress(data[8 + 8 * len(kinds) :], size, "zstd", asbytes=True)
-    out, at = [], 0
-    for n, kind in zip(lengths, map(np.dtype, kinds)):
-        planes = np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
-        at += n * kind.itemsize
-    return out
-
-
-def _steps(keys: np.ndarray) -> np.ndarray:
-    """Sorted keys as differences."""
-    return np.diff(keys, prepend=np.uint64(0))
-
-
 class _Numbered(dict):
     def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
@@ -148,8 +122,8 @@ class Block:
         counted = self.real & np.repeat(parts.column("train").to_numpy(zero_copy_only=False).astype(bool), self.sizes)
         narrow = np.uint64(64 - bits)
         of_word = hashed[self.flat]
-        two = _mix(np.roll(of_word, 1) * _M + of_word)
-        three = _mix(np.roll(two, 1) * _M + of_word)
+        two = mix(np.roll(of_word, 1) * _M + of_word)
+        three = mix(np.roll(two, 1) * _M + of_word)
         self.keys, self.of, self.at, self.count = [], [], [], []
         order = np.argsort(hashed)
         moved = np.empty(len(order), np.int64)
@@ -172,7 +146,7 @@ class Block:
         cuts = [(np.searchsorted(of, some), np.searchsorted(of, some, side="right")) for of in buckets_of]
         for k, b in enumerate(some.tolist()):
             parts = [(keys[low[k] : high[k]], count[low[k] : high[k]]) for keys, count, (low, high) in zip(self.keys, self.count, cuts)]
-            yield b, _pack(*(a for keys, count in parts for a in (_steps(keys), count.astype(np.uint32))))
+            yield b, pack(*(a for keys, count in parts for a in (steps(keys), count.astype(np.uint32))))
 
 
 def _ranked(keys: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -219,7 +193,7 @@ def _count(table: pa.Table) -> pa.Table:
     """
     table = table.sort_by("block")
     blocks = table.column("block").to_pylist()
-    asked = [_unpack(r.as_py(), *_REQUEST) for r in table.column("request")]
+    asked = [unpack(r.as_py(), *_REQUEST) for r in table.column("request")]
     answers: list[list[np.ndarray]] = [[] for _ in blocks]
     stats = []
     for k in range(3):
@@ -241,7 +215,7 @@ def _count(table: pa.Table) -> pa.Table:
         stats += [np.array([len(seen), (seen == 1).sum(), seen.sum()]), np.bincount(group, minlength=GROUPS), np.bincount(group, seen, GROUPS).astype(np.int64)]
     bucket = table.column("bucket")[0].as_py()
     stats = np.concatenate(stats).astype(np.int64)
-    return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(blocks) + 1), pa.int32()), "answer": pa.array([*(_pack(*a) for a in answers), stats.tobytes()], pa.binary())})
+    return pa.table({"block": pa.array([*blocks, -1], pa.int64()), "bucket": pa.array([bucket] * (len(blocks) + 1), pa.int32()), "answer": pa.array([*(pack(*a) for a in answers), stats.tobytes()], pa.binary())})
 
 
 _STATS = 3 + 2 * GROUPS
@@ -369,7 +343,7 @@ def _score(bits: int, model: dict):
         with pa.ipc.open_stream(docs.column("parts")[0].as_py()) as stream:
             parts = stream.read_next_batch()
         block = Block(parts, bits)
-        found = [_unpack(a.as_py(), *[np.uint32] * 3) for a in answers.sort_by("bucket").column("answer")]
+        found = [unpack(a.as_py(), *[np.uint32] * 3) for a in answers.sort_by("bucket").column("answer")]
         automaton = Automaton(block, [np.concatenate([f[k] for f in found]) for k in range(3)], model)
         part = np.repeat(np.arange(len(block.sizes)), block.sizes)[block.real]
         words = block.flat[block.real]
