@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -21,28 +22,42 @@ _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([A-Za-z][A-Za-z
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _SPACE = re.compile(r"\s+")
 
-#: Elements whose content is never text of the page.
-_RAW = frozenset("script style noscript template textarea title iframe object svg math canvas".split())
+#: Elements whose content is never text of the page; of the first, all up to the end of the page where none is closed.
+_RAW = frozenset("script style noscript textarea title iframe".split())
+_NO_TEXT = _RAW | frozenset("template object svg math canvas".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset("article main".split())
 _FURNITURE = frozenset("head nav header footer aside form menu dialog button select fieldset noscript".split())
 _BLOCK = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
-#: Words of a class, id or role that mark furniture.
+#: Open elements that a start tag ends; any block ends a paragraph.
+_ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
+         "thead": ("tr", "td", "th", "caption"), "tbody": ("tr", "td", "th", "thead", "tbody", "caption"), "tfoot": ("tr", "td", "th", "thead", "tbody")}
+#: Names of a class, id or role that mark furniture; such as are also names for other things count with a word of _PLACES only.
 _MARKS = frozenset("""ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar comment comments
-disqus replies cookie cookies consent gdpr notice notices alert nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead contentinfo
-complementary search share sharing social related newsletter subscribe subscription signup login popup modal overlay widget toolbar pagination pager""".split())
+disqus replies cookie cookies consent gdpr notice notices nav navbar navigation menu menubar breadcrumb breadcrumbs footer masthead contentinfo
+complementary newsletter signup login popup modal toolbar pagination pager""".split())
+_DOUBTFUL = frozenset("alert overlay related search share sharing social subscribe subscription widget".split())
+_PLACES = frozenset("area bar block box button buttons container form icons item items links list menu modal panel posts section slot thread top bottom unit widget wrap wrapper".split())
 _HEADS = frozenset("header site-header page-header".split())
 #: Share of the characters of two pages in lines they share from which they are copies.
 COPY = 0.9
 
 
+def _mark(name: str) -> bool:
+    """Whether one name of a class, id or role is of furniture: a mark, or a mark with words for places."""
+    words = [w for w in re.split(r"[-_]+", name) if w]
+    marks = [w for w in words if w in _MARKS]
+    doubtful = [w for w in words if w in _DOUBTFUL]
+    return name in _HEADS or (bool(marks) or len(words) > 1 and bool(doubtful)) and all(w in _MARKS or w in _DOUBTFUL or w in _PLACES or w.isdigit() for w in words)
+
+
 def _marked(attributes: str) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" and value in ("", "hidden", "true") or name == "aria-hidden" and value == "true":
             return True
-        if name in ("class", "id", "role") and any(part in _HEADS or _MARKS.intersection(re.split(r"[-_\s]+", part)) for part in value.split()):
+        if name == "role" and value in ("search", "alert") or name in ("class", "id", "role") and any(map(_mark, value.split())):
             return True
     return False
 
@@ -52,25 +67,40 @@ def lines(html: str | None) -> list[tuple[str, str]]:
 
     Furniture is what stands in menus, headers, footers, sidebars, forms and
     the like, by element or by class, id and role; what stands in an article
-    or main element and in no furniture within it is main.
+    or main element and in no furniture within it is main. Furniture within a
+    block that is none is left out of it.
     """
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []
+    open_: Counter = Counter()
+    blocks: list[int] = []  # places of blocks in the stack
+    unclosed: set[str] = set()
     state, pieces, html = "open", [], html or ""
 
     def flush() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
-        pieces.clear()
+        kept = [(t, s) for t, s in pieces if s != "furniture"] if any(s != "furniture" and t.strip() for t, s in pieces) else pieces
+        text = _SPACE.sub(" ", entities.unescape("".join(t for t, _ in kept))).strip()
         if text:
-            out.append((text, state))
+            out.append((text, next(s for t, s in kept if t.strip())))
+        pieces.clear()
+
+    def close(to: int) -> str:
+        before = stack[to][1]
+        for name, _ in stack[to:]:
+            open_[name] -= 1
+        del stack[to:]
+        while blocks and blocks[-1] >= to:
+            blocks.pop()
+        return before
 
     at = 0
     while True:
         m = _TAG.search(html, at)
         if m is None:
-            pieces.append(html[at:])
+            pieces.append((html[at:], state))
             break
-        pieces.append(html[at : m.start()])
+        if m.start() > at:
+            pieces.append((html[at : m.start()], state))
         at = m.end()
         name = m[2] or m[5]
         if name is None:
@@ -79,27 +109,32 @@ def lines(html: str | None) -> list[tuple[str, str]]:
         if m[1] or m[4]:
             if name in _BLOCK:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    state = stack[k][1]
-                    del stack[k:]
-                    break
+            if open_[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                state = close(k)
             continue
         attributes = m[3] if m[2] else m[6]
-        if name in _RAW and not attributes.endswith("/"):
-            close = re.compile(rf"</{name}\s*>?", re.I).search(html, at)
-            at = close.end() if close else len(html)
-            pieces.append(" ")
+        if name in _NO_TEXT and not attributes.endswith("/"):
+            end = None if name in unclosed else re.compile(rf"</{name}(?:\s[^>]*)?>?", re.I).search(html, at)
+            if end is None:
+                unclosed.add(name)
+            at = end.end() if end else len(html) if name in _RAW else at
+            pieces.append((" ", state))
             continue
         if name == "br":
-            pieces.append(" ")
+            pieces.append((" ", state))
         if name in _BLOCK:
             flush()
+            while blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] in _ENDS.get(name, ())):
+                state = close(blocks[-1])
         if name in _VOID or attributes.endswith("/"):
             continue
-        if name == "p" and stack and stack[-1][0] == "p":
-            state = stack.pop()[1]
+        if name in _BLOCK:
+            blocks.append(len(stack))
         stack.append((name, state))
+        open_[name] += 1
         if name in _MAIN:
             if not (attributes and _marked(attributes)):
                 state = "main"
@@ -174,50 +209,62 @@ def _gone(page: dict, other: dict | None) -> list[int]:
     return [k for k in page["open"] if k in same]
 
 
-_PAGE = pa.struct([("hashes", pa.list_(pa.int64())), ("open", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
+def nearer(path: str, before: dict | None, after: dict | None) -> dict | None:
+    """Of two pages the one whose path begins with more of a path's segments; the first where both do alike."""
+    if before is None or after is None:
+        return before or after
+    own = path.split("/")
+
+    def alike(page: dict) -> int:
+        return next((k for k, (x, y) in enumerate(zip(own, page["path"].split("/"))) if x != y), min(len(own), page["path"].count("/") + 1))
+
+    return after if alike(after) > alike(before) else before
+
+
+_PAGE = pa.struct([("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("open", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 _EDGE = pa.struct([("host", pa.string()), ("last", pa.bool_()), ("leader", _PAGE), ("prev", _PAGE), ("next", _PAGE)])
 _NEAR = pa.schema([("host", pa.string()), ("digest", pa.string()), ("rows", pa.int64()), ("p", pa.int32()), ("r", pa.int64()), ("gone", pa.list_(pa.int32())), ("page", _PAGE), ("edge", _EDGE)])
-_PAGE_SQL = "struct<hashes: array<long>, open: array<int>, sizes: array<int>>"
+_PAGE_SQL = "struct<path: string, hashes: array<long>, open: array<int>, sizes: array<int>>"
 _NEAR_SQL = f"host string, digest string, rows long, p int, r long, gone array<int>, page {_PAGE_SQL}, edge struct<host: string, last: boolean, leader: {_PAGE_SQL}, prev: {_PAGE_SQL}, next: {_PAGE_SQL}>"
 
 
 def _neighbours(batches):
-    """The lines each page loses to the run of copies before its own, or else after it, on its host.
+    """The lines each page loses to the nearer of the runs of copies before and after its own on its host.
 
     A run is a page, its leader, and the pages right after it that are copies of
-    it. Pages for which another partition has to be seen come with their outline;
-    the first and the last run of a partition come as ``edge``.
+    it; runs are compared by their leaders. The pages of a run wait, at most as
+    many as the partition has, until the next one is seen. Pages of the first
+    and the last run of a partition come with their outline instead, and these
+    runs as ``edge``.
     """
     p, r, run, waiting = TaskContext.get().partitionId(), -1, None, []
 
-    def told(here, other, known=True):
-        return {"host": here["host"], "digest": here["digest"], "rows": here["rows"], "p": p, "r": r, "gone": _gone(here, other) if known else None, "page": None if known else here}
+    def told(here, known, prev=None, next_=None):
+        return {"host": here["host"], "digest": here["digest"], "rows": here["rows"], "p": p, "r": r, "gone": _gone(here, nearer(here["path"], prev, next_)) if known else None, "page": None if known else here}
 
-    def edge(run, next_, last):
+    def edge(next_, last):
         return {"p": p, "r": r, "edge": {"host": run["leader"]["host"], "last": last, "leader": run["leader"], "prev": run["prev"], "next": next_}}
 
     for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
         out = []
         for here in batch.to_pylist():
             if run is None or here["host"] != run["leader"]["host"] or not copies(here, run["leader"]):
-                before = run["leader"] if run is not None and here["host"] == run["leader"]["host"] else None
-                out += [told(w, here if before else None) for w in waiting]
+                same_host = run is not None and here["host"] == run["leader"]["host"]
+                out += [told(w, True, run["prev"], here if same_host else None) for w in waiting]
                 if r == 0:
-                    out.append(edge(run, here if before else None, False))
-                waiting, run, r = [], {"leader": here, "prev": before}, r + 1
-            if run["prev"] is not None:
-                out.append(told(here, run["prev"]))
-            elif r == 0:
-                out.append(told(here, None, known=False))
+                    out.append(edge(here if same_host else None, False))
+                waiting, run, r = [], {"leader": here, "prev": run["leader"] if same_host else None}, r + 1
+            if r == 0:
+                out.append(told(here, False))
             else:
                 waiting.append(here)
         yield pa.RecordBatch.from_pylist(out, _NEAR)
     if run is not None:
-        yield pa.RecordBatch.from_pylist([*(told(w, None, known=False) for w in waiting), edge(run, None, True)], _NEAR)
+        yield pa.RecordBatch.from_pylist([*(told(w, False) for w in waiting), edge(None, True)], _NEAR)
 
 
 def _across(batches):
-    """For the first and last runs of all partitions, in order, the page that theirs are compared with."""
+    """For the first and last runs of all partitions, in order, the pages before and after that theirs are compared with."""
     edges = [e for batch in batches for e in batch.to_pylist()]
     before, after = [], [None] * len(edges)
     for k, e in enumerate(edges):
@@ -232,13 +279,13 @@ def _across(batches):
             first = edges[k + 1]["edge"]["leader"]
             found = after[k + 1] if copies(e["leader"], first) else first
         after[k] = found
-    schema = pa.schema([("p", pa.int32()), ("r", pa.int64()), ("other", _PAGE)])
-    yield pa.RecordBatch.from_pylist([{"p": e["p"], "r": e["r"], "other": b or a} for e, b, a in zip(edges, before, after)], schema)
+    schema = pa.schema([("p", pa.int32()), ("r", pa.int64()), ("before", _PAGE), ("after", _PAGE)])
+    yield pa.RecordBatch.from_pylist([{"p": e["p"], "r": e["r"], "before": b, "after": a} for e, b, a in zip(edges, before, after)], schema)
 
 
 def _deleted(batches):
     for batch in batches:
-        gone = [_gone(page, other) for page, other in zip(batch.column("page").to_pylist(), batch.column("other").to_pylist())]
+        gone = [_gone(page, nearer(page["path"], *both)) for page, *both in zip(*(batch.column(c).to_pylist() for c in ("page", "before", "after")))]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("host", "digest", "rows")), pa.array(gone, pa.list_(pa.int32()))], names=["host", "digest", "rows", "gone"])
 
 
@@ -260,8 +307,8 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: s
     copies of one page on a host, whose lines are all the same, count as one,
     and copies that follow each other and differ in less than a tenth of their
     characters form a run. Each page is aligned, by a longest common subsequence
-    of its lines, with the first page of the run before its own on its host
-    (for the first run of a host the one after it). Shared lines are deleted,
+    of its lines, with the first page of the run before or after its own on its
+    host, whichever has more segments of its path. Shared lines are deleted,
     except those of an article or main element, so that articles with copies
     stay whole; lines in furniture elements (menus, headers, footers, sidebars,
     notices, adverts, forms, comments) are deleted whether shared or not; and
@@ -283,11 +330,11 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: s
     first = outline.groupBy("host", "digest").agg(F.min(F.struct("path", "row", "hashes", "open", "sizes")).alias("first"), F.count("*").alias("rows"))
     distinct = scratch.keep(first.select("host", "digest", "rows", "first.*"), "distinct")
     ordered = distinct.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    near = scratch.keep(ordered.select("host", "digest", "rows", "hashes", "open", "sizes").mapInArrow(_neighbours, _NEAR_SQL), "near")
+    near = scratch.keep(ordered.select("host", "path", "digest", "rows", "hashes", "open", "sizes").mapInArrow(_neighbours, _NEAR_SQL), "near")
     edges = near.filter("edge is not null").select("p", "r", "edge").repartition(1).sortWithinPartitions("p", "r")
-    across = scratch.keep(edges.mapInArrow(_across, f"p int, r long, other {_PAGE_SQL}"), "across")
+    across = scratch.keep(edges.mapInArrow(_across, f"p int, r long, before {_PAGE_SQL}, after {_PAGE_SQL}"), "across")
     schema = "host string, digest string, rows long, gone array<int>"
-    open_ = near.filter("page is not null").join(F.broadcast(across), ["p", "r"]).select("host", "digest", "rows", "page", "other").mapInArrow(_deleted, schema)
+    open_ = near.filter("page is not null").join(F.broadcast(across), ["p", "r"]).select("host", "digest", "rows", "page", "before", "after").mapInArrow(_deleted, schema)
     found = near.filter("gone is not null").select("host", "digest", "rows", "gone").unionByName(open_).filter(F.size("gone") > 0)
     lost = attach(outline.filter(F.size("open") > 0).select("row", "host", "digest"), scratch.keep(found, "gone"), ["host", "digest"], "rows", F.col("row"))
     gone = scratch.keep(lost.select("row", "gone"), "lost")

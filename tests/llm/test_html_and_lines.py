@@ -1,10 +1,13 @@
 import math
+import os
 import random
+import re
+import time
 
 import pytest
 
 from batchloom.llm import line_dedup
-from batchloom.llm.html_text import lines, main_text, shared
+from batchloom.llm.html_text import copies, lines, main_text, shared
 from batchloom.llm.line_dedup import drop_repeated_lines, removals
 
 
@@ -40,6 +43,29 @@ def test_markup():
     assert lines("<p>" * 50_000 + "x")[0][0] == "x"
 
 
+@pytest.mark.parametrize("inside, want", [
+    ('<ul><li class="promo">Buy<li>Real item</ul>', ["Real item"]),
+    ('<p class="ad">Buy<div>Body text</div>', ["Body text"]),
+    ('<dl><dt class="ad">x<dd>y</dl><table><tr><td class="ad">a<td>b<tr><td>c</table>', ["y", "b", "c"]),
+    ('<p>a<span class="ad">buy</span>b</p><p>x <button>Go</button> y</p>', ["ab", "x y"]),
+    ('<div class="related-work">w</div><p id="search">s</p><p class="share-price">p</p><p class="alert">a</p>', ["w", "s", "p", "a"]),
+    ('<div class="related-posts">w</div><p class="cookie-banner">s</p><p class="ad-slot-3">p</p><div id="comments"><p>a</div><div class="share-buttons">q</div>z', ["z"]),
+    ("<svg>no end <p>kept</p>", ["no end", "kept"]),
+    ("<script>if (a < b) x();</script ><p>kept<noscript>no</noscript></p>", ["kept"]),
+    ("<b>x</i></b> y</u><p>z</b> w", ["x y", "z w"]),
+    ('<p hidden>x</p><p aria-hidden="true">y</p><p>caf&eacute; &#233;&#x2014;&nbsp;.</p>', ["café é— ."]),
+])
+def test_what_stands_in_an_article(inside, want):
+    assert [t for t, s in lines(f"<nav>n</nav><article>{inside}</article><p>out</p>") if s == "main"] == want
+
+
+def test_markup_takes_linear_time():
+    for page in ("<b>" * 40_000 + "</i>" * 40_000, "<svg>" * 40_000, "<li>" * 40_000, "<p><b>" * 40_000 + "</div>" * 40_000, "<div class='a'>" * 40_000 + "x"):
+        began = time.monotonic()
+        lines(page)
+        assert time.monotonic() - began < 5
+
+
 PAGES = "page_id long, url string, html string, row string, host string"
 
 
@@ -96,6 +122,61 @@ def test_copies_are_no_neighbours(spark, split_in, tmp_path, parts):
     assert found == want
 
 
+def texts_by_force(rows):
+    """Main texts by a plain walk over all pages in one list; rows are (page_id, url, html)."""
+    found = {}
+    for number, (_, url, html) in enumerate(rows):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        outline = lines(html)
+        has_main = any(s == "main" for _, s in outline)
+        page = {"path": path, "hashes": [t for t, _ in outline], "open": [] if has_main else [i for i, (_, s) in enumerate(outline) if s == "open"], "sizes": [0 if s == "furniture" else len(t) for t, s in outline]}
+        found.setdefault((host, repr((page["hashes"], page["open"], page["sizes"]))), []).append((path, number, page, outline, has_main))
+    firsts = sorted((host, *min(same, key=lambda x: x[:2])[:2], digest) for (host, digest), same in found.items())
+    runs = []
+    for host, _, _, digest in firsts:
+        page = min(found[host, digest], key=lambda x: x[:2])[2]
+        if not runs or runs[-1][0] != host or not copies(page, runs[-1][1]):
+            runs.append((host, page, []))
+        runs[-1][2].append((digest, page))
+    texts = {}
+    for k, (host, _, members) in enumerate(runs):
+        beside = [runs[j][1] if 0 <= j < len(runs) and runs[j][0] == host else None for j in (k - 1, k + 1)]
+        for digest, page in members:
+            own = page["path"].split("/")
+            alike = [-1 if b is None else len(os.path.commonprefix([own, b["path"].split("/")])) for b in beside]
+            other = beside[1] if alike[1] > alike[0] else beside[0]
+            gone = set() if other is None or copies(page, other) else set(shared(page["hashes"], other["hashes"])) & set(page["open"])
+            for _, number, _, outline, has_main in found[host, digest]:
+                texts[rows[number][0]] = "\n".join(t for i, (t, s) in enumerate(outline) if s == "main" or s == "open" and not has_main and i not in gone)
+    return texts
+
+
+@pytest.mark.parametrize("parts", [1, 13])
+def test_texts_by_force(spark, split_in, tmp_path, parts):
+    """Random pages, most without marks, that share lines with others of their host or are copies of them."""
+    rng = random.Random(parts)
+    rows, bodies = [], []
+    for k in range(220):
+        body = [f"<p>line {rng.randrange(40)}{' of some length' * rng.randrange(4)}</p>" for _ in range(rng.randrange(12))]
+        if bodies and rng.random() < 0.4:
+            body = list(rng.choice(bodies))
+            if body and rng.random() < 0.5:
+                body[rng.randrange(len(body))] = f"<p>seen {k}</p>"
+        bodies.append(body)
+        html = "<p>Welcome</p>" + "".join(body) + "<div>All rights reserved</div><footer>f</footer>"
+        if rng.random() < 0.1:
+            html = f"<article>{html}</article>"
+        url = "/".join([f"http://h{rng.randrange(4)}.org", *(rng.choice("abc") for _ in range(rng.randrange(4)))]) + rng.choice(["", "?q=1"])
+        rows.append((k, rng.choice([url] * 20 + [None, "odd"]), rng.choice([html] * 20 + [None, ""])))
+    split_in(parts)
+    pages = stored(spark, tmp_path, [(*r, "x", "y") for r in rows], PAGES, parts=1)
+    found = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert found == texts_by_force(rows)
+    plain = {i: "\n".join(t for t, s in lines(h) if s == "open") for i, _, h in rows if h and "<article>" not in h}
+    assert sum(found[i] != t for i, t in plain.items()) > 100  # differencing decided
+
+
 DOCS = "doc_id long, text string, row string, line string, removed string"
 
 
