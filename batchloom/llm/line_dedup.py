@@ -28,6 +28,8 @@ HOT, CELL = 1 << 15, 1 << 14
 FIRST = 2
 #: Lines just before a line in a cell that are looked at one by one, and lines of a cell that are then compared at once.
 NEAR, DENSE = 24, 256
+#: Words with a larger share of all are in so many lines that the bitmaps, which tell lines apart, leave them out.
+COMMON = 1 / 8192
 #: Bits of the table, of fixed size, that tells most documents with wanted lines from the others; and bits in one row of it.
 MARKS, MARK_ROW = 1 << 25, 1 << 15
 
@@ -120,7 +122,7 @@ def _sum(table: pa.Table) -> pa.Table:
 
 
 def rarity(source: DataFrame, scratch: Scratch):
-    """A level for each slot, higher for more used words, as a broadcast of fixed size; and the bytes of the corpus.
+    """A level for each slot, higher for more used words, as a broadcast of fixed size; the level from which words are common; the bytes of the corpus.
 
     Tasks' counts are summed FAN at a time, so that no task holds more of them
     however many there are.
@@ -140,14 +142,14 @@ def rarity(source: DataFrame, scratch: Scratch):
             total = int(n.sum())
         else:
             found[r["part"] * (SLOTS // PARTS) + at] = n
-    return source.sparkSession.sparkContext.broadcast(_level(found)), total
+    return source.sparkSession.sparkContext.broadcast(_level(found)), int(_level(found.sum() * COMMON)), total
 
 
 #: Of an entry: cell of a word, set, two words of a bitmap, row, line, size, place in the prefix, and number of the line in its block.
 _ENTRY = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
-def _entries(levels, buckets: int):
+def _entries(levels, common: int, buckets: int):
     """For each bucket the prefix words of the lines; for bucket -1 lines equal to one before them in the same block.
 
     A word used once is in no other line and makes no entry. Blocks are named
@@ -168,16 +170,15 @@ def _entries(levels, buckets: int):
             gone = ~is_first
             yield _batch([-1], [pack(x.row[gone], x.line[gone])], rows[0])
             bit = mix(x.words * _M2) >> np.uint64(57)
-            one = np.uint64(1) << (bit & np.uint64(63))
+            level = table[_slot(x.words)]
+            one = np.where(level < common, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
             low, high = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), x.at), np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), x.at)
             of = x.of
             place = np.arange(len(of)) - x.at[of]
             prefix = x.size - (PERCENT * x.size + 99) // 100 + 1
             kept = np.flatnonzero((place < prefix[of]) & is_first[of])
-            level = table[_slot(x.words[kept])]
-            shared = level != ONCE
-            kept, level = kept[shared], level[shared]
-            word, of, place = x.words[kept], of[kept], place[kept]
+            kept = kept[level[kept] != ONCE]
+            word, of, level, place = x.words[kept], of[kept], level[kept], place[kept]
             cell, own = mix(word), np.ones(len(word), bool)
             uses = 2.0 ** (level / 8)
             if (hot := uses > HOT).any():
@@ -336,25 +337,39 @@ def _rest(key, late: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
 
 
 def _sets(batches):
-    """The word sets of the wanted lines of each document."""
+    """The word sets of the wanted lines of each document, and whether each is a later or an earlier one of a pair."""
     hashes = WordHashes()
     for batch in batches:
-        rows, numbers, sets = [], [], []
-        for r, text, wanted in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+        rows, numbers, later, earlier, sets = [], [], [], [], []
+        for r, text, *wanted in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "later", "earlier"))):
             found = (text or b"").lower().split(b"\n")
-            for k in wanted:
+            after, before = map(set, wanted)
+            for k in sorted(after | before):
                 own = found[k].split()
                 rows.append(r)
                 numbers.append(k)
-                sets.append(np.unique(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own))).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int64()), pa.array(sets, pa.binary())], names=["row", "line", "words"])
+                later.append(k in after)
+                earlier.append(k in before)
+                sets.append(_narrow(np.unique(np.fromiter(map(hashes.__getitem__, own), np.uint64, len(own)) >> np.uint64(16))))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(numbers, pa.int64()), pa.array(later, pa.bool_()), pa.array(earlier, pa.bool_()), pa.array(sets, pa.binary())], names=["row", "line", "later", "earlier", "words"])
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers of 48 bits as six bytes each."""
+    return x.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
 
 
 def _matching(batches):
     for batch in batches:
         keep = []
         for x, y in zip(batch.column("a_words").to_pylist(), batch.column("b_words").to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = _wide(x), _wide(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("line")], names=["row", "line"]).filter(pa.array(keep, pa.bool_()))
@@ -369,11 +384,13 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     without words match nothing. A line is removed for any earlier match,
     whether that is itself removed or not.
 
-    Lines count as of one set if 64-bit sums over their words' hashes agree.
+    Lines count as of one set if 64-bit sums over their words' hashes agree;
+    where sets are compared, words are told apart by 48 bits.
     Words are ordered by rarity, then by hash. Matching lines share a word of
     their prefixes, so lines are indexed by these; lines of one set meet there
     once, however often they occur, and candidates are held to the length and
-    positional bounds and to one by bitmaps of their words, then to the full
+    positional bounds and to one by bitmaps of their less common words (what two
+    lines' bitmaps differ in is at most what their sets do), then to the full
     sets. Words so frequent that their lines would not fit one task are split
     into cells of pairs of sides. A line is first held against its FIRST
     earliest candidates in each bucket; where none matches, against all others.
@@ -381,9 +398,9 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
     source = row_numbers(docs.select(F.col(text).cast("string").cast("binary").alias("text")), "row").select("row", "text")
-    levels, chars = rarity(source, scratch)
+    levels, common, chars = rarity(source, scratch)
     buckets = int(chars // BUCKET_CHARS) + 1
-    indexed = source.mapInArrow(_entries(levels, buckets), "bucket int, block long, data binary")
+    indexed = source.mapInArrow(_entries(levels, common, buckets), "bucket int, block long, data binary")
     # Blocks tell of their own repeated lines in bucket -1, spread over as many groups as there are buckets.
     spread = F.when(F.col("bucket") < 0, F.pmod(F.monotonically_increasing_id(), F.lit(buckets)).cast("int")).otherwise(F.lit(-1))
     schema = "row long, line long, row0 long, line0 long, kind int, bucket int, data binary"
@@ -417,10 +434,14 @@ def _likely(source: DataFrame, wanted: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, source: DataFrame, scratch: Scratch) -> DataFrame:
     """The later lines of the pairs whose full sets match."""
     pairs = scratch.keep(pairs.withColumn("b", F.struct("row0", "line0")), "asked")
-    wanted = pairs.select("row", "line").unionByName(pairs.select(F.col("row0").alias("row"), F.col("line0").alias("line"))).groupBy("row").agg(F.collect_set("line").alias("wanted"))
-    sets = scratch.keep(_likely(source, wanted).join(wanted.hint("merge"), "row").mapInArrow(_sets, "row long, line long, words binary"), "sets")
-    both = attach_large(pairs, sets.select(F.struct(F.col("row").alias("row0"), F.col("line").alias("line0")).alias("b"), F.col("words").alias("b_words")), "b", F.col("row"))
-    both = both.join(sets.withColumnRenamed("words", "a_words").hint("merge"), ["row", "line"])
+    ends = pairs.select("row", F.col("line").alias("later"), F.lit(None).cast("long").alias("earlier")).unionByName(
+        pairs.select(F.col("row0").alias("row"), F.lit(None).cast("long").alias("later"), F.col("line0").alias("earlier")))
+    wanted = ends.groupBy("row").agg(F.collect_set("later").alias("later"), F.collect_set("earlier").alias("earlier"))
+    schema = "row long, line long, later boolean, earlier boolean, words binary"
+    sets = scratch.keep(_likely(source, wanted).join(wanted.hint("merge"), "row").mapInArrow(_sets, schema), "sets")
+    earlier = sets.filter("earlier").select(F.struct(F.col("row").alias("row0"), F.col("line").alias("line0")).alias("b"), F.col("words").alias("b_words"))
+    both = attach_large(pairs, earlier, "b", F.col("row"))
+    both = both.join(sets.filter("later").select("row", "line", F.col("words").alias("a_words")).hint("merge"), ["row", "line"])
     return both.select("row", "line", "a_words", "b_words").mapInArrow(_matching, "row long, line long").distinct()
 
 
