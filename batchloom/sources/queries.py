@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.chunking import assign_chunks
-from batchloom.session import table
+from batchloom.session import folder, table
 from batchloom.sources import sinks
 from batchloom.sources.flat import Dialect, Field, Layout, composite, delimited, delimited_flexible, fixed_width, items, resumed_range
 
 
-def folder(spark) -> str:
-    """A folder for rendered files: shared where the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/batchloom-files-{uuid.uuid4().hex}"
-
-
 def _text(spark, lines: DataFrame) -> str:
     path = folder(spark)
     lines.write.text(path)

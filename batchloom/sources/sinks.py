@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.operators.ordering import running_totals
@@ -26,10 +27,10 @@ def write_chunks(df: DataFrame, path: str, attempt: str, write: Callable, per_fo
     """Data with ``chunk_id`` into one folder per ``per_folder`` chunks, then the manifest that commits them.
 
     One distributed write puts every chunk under ``data-<attempt>``; the
-    manifest names the chunks, their folders and rows, and is written last.
-    What is there without its manifest was never committed, and the next
-    attempt of the name removes it; a committed folder that is gone fails the
-    restart.
+    manifest names the chunks, their folders, rows and bytes, and is put in
+    place last, if as many rows were written as it counts. What is there
+    without its manifest was never committed, and the next attempt of the name
+    removes it; a committed folder that is gone or changed fails the restart.
     """
     spark = df.sparkSession
     fs, jvm = _fs(spark, path)
@@ -37,23 +38,37 @@ def write_chunks(df: DataFrame, path: str, attempt: str, write: Callable, per_fo
     if _exists(spark, f"{manifest}/_SUCCESS"):
         verify(spark, path, attempt)
         return
-    for leftover in (data, manifest):
+    pending = f"{manifest}-pending"
+    for leftover in (data, manifest, pending):
         fs.delete(jvm.org.apache.hadoop.fs.Path(leftover), True)
     batched = df.withColumn("batch", F.expr(f"chunk_id div {per_folder}"))
-    write(batched.drop("chunk_id").write.partitionBy("batch"), data)
-    batched.groupBy("batch", "chunk_id").agg(F.count("*").alias("rows")).write.parquet(manifest)
+    seen = Observation()
+    write(batched.observe(seen, F.count(F.lit(1)).alias("rows")).drop("chunk_id").write.partitionBy("batch"), data)
+    bytes_ = spark.createDataFrame(list(_bytes(spark, data).items()), "batch long, bytes long")
+    batched.groupBy("batch", "chunk_id").agg(F.count("*").alias("rows")).join(bytes_, "batch").write.parquet(pending)
+    counted = spark.read.parquet(pending).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("n")).first()["n"]
+    if counted != seen.get["rows"]:
+        raise RuntimeError(f"{seen.get['rows']} rows were written and {counted} counted: the input changed meanwhile")
+    if not fs.rename(jvm.org.apache.hadoop.fs.Path(pending), jvm.org.apache.hadoop.fs.Path(manifest)):
+        raise RuntimeError("the manifest could not be put in place")
+
+
+def _bytes(spark: SparkSession, data: str) -> dict[int, int]:
+    """Bytes of each committed folder."""
+    fs, jvm = _fs(spark, data)
+    root = jvm.org.apache.hadoop.fs.Path(data)
+    found = fs.listStatus(root) if fs.exists(root) else []
+    return {int(str(s.getPath().getName())[6:]): fs.getContentSummary(s.getPath()).getLength() for s in found if str(s.getPath().getName()).startswith("batch=")}
 
 
 def verify(spark: SparkSession, path: str, attempt: str) -> DataFrame:
-    """The committed chunks; fails if a folder of theirs is missing."""
-    chunks = spark.read.schema("batch long, chunk_id long, rows long").parquet(f"{path}/manifest-{attempt}")
-    fs, jvm = _fs(spark, path)
-    data = jvm.org.apache.hadoop.fs.Path(f"{path}/data-{attempt}")
-    there = {str(s.getPath().getName()) for s in fs.listStatus(data)} if fs.exists(data) else set()
-    for r in chunks.select("batch").distinct().toLocalIterator():
-        if f"batch={r['batch']}" not in there:
-            raise RuntimeError(f"committed batch {r['batch']} is missing")
-    return chunks
+    """The committed chunks; fails if a folder of theirs is missing or has not the bytes it was committed with."""
+    chunks = spark.read.schema("batch long, chunk_id long, rows long, bytes long").parquet(f"{path}/manifest-{attempt}")
+    there = _bytes(spark, f"{path}/data-{attempt}")
+    for r in chunks.select("batch", "bytes").distinct().toLocalIterator():
+        if there.get(r["batch"]) != r["bytes"]:
+            raise RuntimeError(f"committed batch {r['batch']} is missing or was changed")
+    return chunks.drop("bytes")
 
 
 def committed_paths(spark: SparkSession, path: str, attempt: str) -> str:
@@ -85,6 +100,27 @@ def classified(df: DataFrame, key: str, registered: list[str], path: str) -> Non
     df.withColumn(key, known).write.partitionBy(key).parquet(path)
 
 
+class Synchronized:
+    """A delegate that is not safe for several callers at once, called by one at a time; within a process, as tasks are apart."""
+
+    def __init__(self, delegate: Callable):
+        self.delegate, self.lock = delegate, threading.Lock()
+
+    def __call__(self, *args, **kwargs):
+        with self.lock:
+            return self.delegate(*args, **kwargs)
+
+
+def one_writer(df: DataFrame, write: Callable) -> None:
+    """For a sink that takes one connection: bounded rows of each partition go to ``write``, one partition after the other, in order."""
+    kept = df.persist()
+    try:
+        for part in range(kept.rdd.getNumPartitions()):
+            write(kept.filter(F.spark_partition_id() == part))
+    finally:
+        kept.unpersist()
+
+
 def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 

@@ -1,4 +1,9 @@
+import random
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
+from pyspark.sql import functions as F
 
 from batchloom.sources import sinks
 from batchloom.sources.flat import Dialect, Field, Layout, composite, delimited, delimited_flexible, fixed_width, items
@@ -61,6 +66,50 @@ def test_fixed_width_is_in_bytes(spark, tmp_path):
     assert cut.count() == 0 and broken.count() == 1
 
 
+def test_positions_and_restarts_do_not_depend_on_splits(spark, tmp_path):
+    lines = [f'{i},"v{i}' + ("\nmore" * (i % 3) if i % 5 == 0 else "") + '"' for i in range(400)]
+    for k in range(2):
+        write(tmp_path, ("id,v\n" + "\n".join(lines[k * 200 : k * 200 + 200]) + "\n").encode(), f"part-{k}.csv")
+    want = [(str(i), f"v{i}" + ("\nmore" * (i % 3) if i % 5 == 0 else "")) for i in range(400)]
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    places = []
+    try:
+        for size in ("700b", kept):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            good, bad = delimited(spark, f"{tmp_path}/part-*.csv", ["id", "v"], Dialect(header=True), position=True)
+            found = good.orderBy("pos").collect()
+            assert [(r["id"], r["v"]) for r in found] == want and bad.count() == 0
+            places.append([r["pos"] for r in found])
+            again, _ = delimited(spark, f"{tmp_path}/part-*.csv", ["id", "v"], Dialect(header=True), start=found[150]["pos"], position=True)
+            assert [r["id"] for r in again.orderBy("pos").collect()] == [str(i) for i in range(150, 400)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert places[0] == places[1]
+    good, bad = fixed_width(spark, write(tmp_path, b"ab\n\ncd\nx\nef", "f.txt"), Layout((Field(1), Field(1))), start=1, position=True)
+    assert [(r["pos"], r["f0"]) for r in good.orderBy("pos").collect()] == [(2, "c"), (4, "e")]
+    assert [(r["pos"], bytes(r["record"])) for r in bad.orderBy("pos").collect()] == [(1, b""), (3, b"x")]
+
+
+def test_valid_replacement_characters_are_no_faults(spark, tmp_path):
+    good, bad = delimited(spark, write(tmp_path, "\ufffd,b\n".encode() + b"\xff,b\n"), ["x", "y"])
+    assert rows(good) == [("\ufffd", "b")] and bad.count() == 1
+
+
+def test_a_quote_left_open_is_bounded(spark, tmp_path):
+    text = b'a,b\n"open,c\n' + b"x,y\n" * 500
+    good, bad = delimited(spark, write(tmp_path, text), ["x", "y"], Dialect(max_record_bytes=100))
+    assert rows(good) == [("a", "b")] and rows(bad) == [(None,)]
+    good, bad = delimited(spark, write(tmp_path, text), ["x", "y"], Dialect(quoted_line_ends=False))
+    assert good.count() == 501 and rows(bad) == [('"open,c',)]
+
+
+def test_many_quoted_fields(spark, tmp_path):
+    for n in (1, 2000, 100_000):
+        found = delimited_flexible(spark, write(tmp_path, (",".join(['"a,""b"'] * n) + ',"x"y,,\n').encode())).first()
+        assert found["fields"] == ['a,"b'] * n + ['"x"y', "", ""]
+    assert rows(delimited_flexible(spark, write(tmp_path, b"\n|\n"), Dialect(delimiter="|")).select("fields")) == [([""],), (["", ""],)]
+
+
 def test_layouts_and_dialects_are_checked():
     with pytest.raises(ValueError):
         Layout(())
@@ -96,6 +145,43 @@ def test_committed_chunks_and_restart(spark, tmp_path):
         sinks.write_chunks(df, path, "one", write_csv)
 
 
+def test_a_changed_input_or_folder_is_no_commit(spark, tmp_path):
+    path = str(tmp_path / "sink")
+    drawn = F.udf(lambda: random.SystemRandom().random(), "double").asNondeterministic()
+    moving = spark.range(5000).withColumn("chunk_id", F.col("id") % 3).filter(drawn() < 0.5)
+    with pytest.raises(RuntimeError, match="changed meanwhile"):
+        sinks.write_chunks(moving, path, "one", lambda w, p: w.csv(p), 1)
+    with pytest.raises(RuntimeError):
+        sinks.committed_paths(spark, path, "one")
+    steady = spark.range(9).withColumn("chunk_id", F.col("id") % 3)
+    sinks.write_chunks(steady, path, "one", lambda w, p: w.csv(p), 1)
+    assert sinks.verify(spark, path, "one").count() == 3
+    (tmp_path / "sink/data-one/batch=1/part-more.csv").write_bytes(b"x")
+    with pytest.raises(RuntimeError, match="was changed"):
+        sinks.verify(spark, path, "one")
+
+
+def test_delegates_are_called_by_one_at_a_time(spark):
+    inside, most, got = [], [], []
+
+    def delegate(x):
+        inside.append(x)
+        most.append(len(inside))
+        time.sleep(0.001)
+        inside.remove(x)
+        return x
+
+    one = sinks.Synchronized(delegate)
+    with ThreadPoolExecutor(8) as threads:
+        assert sorted(threads.map(one, range(40))) == list(range(40))
+    assert max(most) == 1
+    sinks.one_writer(spark.range(100).repartition(4), lambda part: got.append(part.count()))
+    assert len(got) == 4 and sum(got) == 100
+    sinks.discard(spark.range(10).withColumn("n", F.assert_true(F.col("id") < 10)))
+    with pytest.raises(Exception):
+        sinks.discard(spark.range(10).withColumn("n", F.assert_true(F.col("id") < 9)))
+
+
 def test_unknown_class_fails(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("z", 2)], "k string, v long")
     with pytest.raises(Exception, match="no writer for class z"):
