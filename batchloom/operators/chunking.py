@@ -78,15 +78,7 @@ def chunk_all_filtered(spark, sf):
     return counted.select("chunk_id", "read", "written", "filtered")
 
 
-def listener_event_order(spark, sf):
-    """Callbacks around a chunk: before in order, after in reverse, for two listeners."""
-    phases = ["before-1", "before-2", "before-read", "after-read", "before-process", "after-process", "before-write", "after-write", "after-2", "after-1"]
-    chunks = chunk_assign(spark, sf).select("chunk_id").distinct()
-    exploded = chunks.select("chunk_id", F.posexplode(F.array(*map(F.lit, phases))).alias("seq", "phase"))
-    return exploded.withColumn("seq", F.col("seq").cast("long") + 1)
-
-
-QUERIES = {f.__name__: f for f in (chunk_assign, chunk_counts, chunk_running_totals, chunk_fill_with_skips, chunk_commit_count, chunk_all_filtered, listener_event_order)}
+QUERIES = {f.__name__: f for f in (chunk_assign, chunk_counts, chunk_running_totals, chunk_fill_with_skips, chunk_commit_count, chunk_all_filtered)}
 
 _FILLED = f"""(SELECT o_orderkey, o_orderstatus, bad, (good - CASE WHEN bad THEN 0 ELSE 1 END) // {SIZE} AS chunk_id FROM (
     SELECT *, o_orderpriority = '4-NOT SPECIFIED' AS bad, CAST(sum(CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 0 ELSE 1 END) OVER (ORDER BY o_orderkey) AS BIGINT) AS good FROM orders))"""
@@ -103,6 +95,4 @@ ORACLES = {
         max(o_orderkey) FILTER (o_orderpriority <> '4-NOT SPECIFIED') AS last, max(o_orderkey) FILTER (o_orderpriority = '4-NOT SPECIFIED') AS last_bad FROM orders)""",
     "chunk_all_filtered": f"""SELECT chunk_id, count(*) FILTER (NOT bad) AS read, count(*) FILTER (NOT bad AND o_orderkey % 40000 < 9000) AS written,
         count(*) FILTER (NOT bad AND o_orderkey % 40000 >= 9000) AS filtered FROM {_FILLED} GROUP BY chunk_id""",
-    "listener_event_order": f"""SELECT chunk_id, CAST(seq AS BIGINT) AS seq, p[seq] AS phase FROM (SELECT DISTINCT (row_number() OVER (ORDER BY o_orderkey) - 1) // {SIZE} AS chunk_id FROM orders),
-        (SELECT ['before-1', 'before-2', 'before-read', 'after-read', 'before-process', 'after-process', 'before-write', 'after-write', 'after-2', 'after-1'] AS p), range(1, 11) r(seq)""",
 }

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.operators.chunking import fill_chunks
 from batchloom.operators.ordering import running_totals
 from batchloom.session import table
 
@@ -14,6 +16,8 @@ from batchloom.session import table
 PHASES = ("read", "process", "write", "transaction", "checkpoint", "listener", "backoff")
 ACTIONS = ("FAIL", "RETRY", "SKIP", "RETRY_THEN_SKIP")
 MAX_DELAY_MS = 24 * 3600 * 1000
+#: Retries of a phase that one expression can hold.
+MAX_RETRIES = 16
 
 
 @dataclass(frozen=True)
@@ -47,6 +51,88 @@ def decide(action: Column, category: Column, ordinal: Column, retry_limit: int,
             .when(may_retry, "RETRY").when(may_skip, "SKIP").otherwise("FAIL"))
 
 
+@dataclass(frozen=True)
+class FaultPolicy:
+    """What follows from a fault: rules ``(phase, category, action)``, limits, and skips after which the chunk's other work may be kept.
+
+    ``safe`` names the ``(phase, category)`` of those skips, in reading or
+    processing; every other skip, and each retry, rolls the chunk back.
+    """
+
+    rules: tuple[tuple[str, str, str], ...] = ()
+    retry_limit: int = 0
+    safe: frozenset[tuple[str, str]] = frozenset()
+    backoff: Backoff = Backoff()
+
+    def __post_init__(self):
+        if len({r[:2] for r in self.rules}) < len(self.rules):
+            raise ValueError("two rules for one fault")
+        if any(p not in PHASES or a not in ACTIONS for p, _, a in self.rules):
+            raise ValueError("no such phase or action")
+        if any(p not in ("read", "process") for p, _ in self.safe):
+            raise ValueError("a skip in writing always rolls back")
+        if not 0 <= self.retry_limit <= MAX_RETRIES:
+            raise ValueError("too many retries")
+
+    def action(self, phase: str, category: Column) -> Column:
+        found = F.when(F.lit(False), "FAIL")
+        for p, c, a in self.rules:
+            if p == phase:
+                found = found.when(category == c, a)
+        return found.otherwise("FAIL")
+
+
+def resolve(items: DataFrame, faults: dict[str, Callable[[int], Column]], policy: FaultPolicy) -> DataFrame:
+    """``items`` with what their faults lead to: ``_skip`` (a phase), ``_retries``, ``_rolled``, ``_end``.
+
+    ``faults`` gives for a phase and the number of retries before the category
+    of an item's fault, or null. Each phase is tried until it succeeds, is
+    skipped, or ends the step (``_end``: FAIL, STOP or UNKNOWN); later phases
+    are not tried then. ``_rolled`` counts how often the item's chunk is rolled
+    back for it. All of it is one expression of the item's columns.
+    """
+    state = F.struct(F.lit("OK").alias("what"), F.lit(0).alias("retries"), F.lit(0).alias("rolled"), F.lit(None).cast("string").alias("phase"))
+    out = items.withColumn("_state", state)
+    for phase in ("read", "process", "write"):
+        if phase not in faults:
+            continue
+        tried = F.struct(F.lit("FAIL").alias("what"), F.lit(policy.retry_limit).alias("retries"), F.lit(1).alias("rolled"))
+        for ordinal in range(policy.retry_limit, -1, -1):
+            category = faults[phase](ordinal)
+            what = decide(policy.action(phase, category), category, F.lit(ordinal), policy.retry_limit, F.lit(0), 1, F.lit(True))
+            safe = F.lit(False)
+            for p, c in policy.safe:
+                safe = safe | ((category == c) if p == phase else F.lit(False))
+            rolled = F.lit(ordinal) + F.when((what == "SKIP") & ~safe, 1).otherwise(0)
+            here = F.struct(F.when(category.isNull(), "OK").otherwise(what).alias("what"), F.lit(ordinal).alias("retries"), F.when(category.isNull(), F.lit(ordinal)).otherwise(rolled).alias("rolled"))
+            tried = F.when(category.isNotNull() & (what == "RETRY"), tried).otherwise(here)
+        out = out.withColumn("_tried", tried)
+        before = F.col("_state")
+        after = F.struct(F.col("_tried.what").alias("what"), (before["retries"] + F.col("_tried.retries")).alias("retries"), (before["rolled"] + F.col("_tried.rolled")).alias("rolled"),
+                         F.when(F.col("_tried.what") == "SKIP", phase).alias("phase"))
+        out = out.withColumn("_state", F.when(before["what"] == "OK", after).otherwise(before)).drop("_tried")
+    state = F.col("_state")
+    return out.withColumns({"_skip": F.when(state["what"] == "SKIP", state["phase"]), "_retries": state["retries"], "_rolled": state["rolled"],
+                            "_end": F.when(~state["what"].isin("OK", "SKIP"), state["what"])}).drop("_state")
+
+
+def fault_counters() -> list[Column]:
+    """Sums over :func:`resolve` rows with ``bad`` reads, by chunk or batch."""
+    skipped = F.col("_skip").isNotNull()
+    return [F.count_if(F.coalesce(F.col("_skip") == "read", F.lit(False))).alias("read_skips"), F.count_if(F.col("_skip") == "process").alias("process_skips"), F.count_if(F.col("_skip") == "write").alias("write_skips"),
+            F.sum("_rolled").cast("long").alias("rolled_back_chunks"), F.sum("_retries").cast("long").alias("rollback_count"), F.count_if(skipped & (F.col("_rolled") == F.col("_retries"))).alias("no_rollback_count")]
+
+
+def first_end(resolved: DataFrame, order: list[str], skip_limit: int) -> dict | None:
+    """The chunk and kind of the first item that ends the step, or takes the skips over their limit (LIMIT); None if none does."""
+    found = resolved.agg(F.count_if(F.col("_skip").isNotNull()).alias("skips"), F.count_if(F.col("_end").isNotNull()).alias("ends")).first()
+    if found["skips"] <= skip_limit and not found["ends"]:
+        return None
+    counted = running_totals(resolved, order, {"_skips": F.col("_skip").isNotNull().cast("int")})
+    over = counted.filter(F.col("_end").isNotNull() | (F.col("_skips") > skip_limit)).orderBy(*order).select("chunk_id", F.coalesce("_end", F.lit("LIMIT")).alias("kind")).first()
+    return over.asDict()
+
+
 def until_skip_limit(df: DataFrame, order: list[str], skip: Column, limit: int) -> DataFrame:
     """Items before the first that takes the running number of skips over ``limit``."""
     return running_totals(df, order, {"_skips": skip.cast("int")}).filter(F.col("_skips") <= limit).drop("_skips")
@@ -87,11 +173,12 @@ def fault_skip_limit(spark, sf):
 
 
 def fault_rollback_counts(spark, sf):
-    """Retries and write skips roll their chunk back; read and process skips are safe to commit."""
-    action = F.when(F.col("event_id") % 50 == 3, "retry").when(F.col("event_id") % 50 == 7, "write_skip").when(F.col("event_id") % 50 == 11, "rollback_skip").when(F.col("event_id") % 50 == 13, "safe_skip")
-    acted = table(spark, sf, "events").select((F.expr("event_id div 100")).alias("chunk_id"), action.alias("a"))
-    n = lambda *names: F.count_if(F.col("a").isin(*names))
-    return acted.groupBy("chunk_id").agg(n("retry", "write_skip", "rollback_skip").alias("rolled_back_chunks"), n("retry").alias("rollback_count"), n("safe_skip").alias("no_rollback_count"))
+    """Retries and write skips roll their chunk back; read and process skips may be safe to commit."""
+    policy = FaultPolicy((("process", "TIMEOUT", "RETRY"), ("process", "VALIDATION", "SKIP"), ("process", "PARSE", "SKIP"), ("write", "CONFLICT", "SKIP")), 1, frozenset({("process", "PARSE")}))
+    at = F.col("event_id") % 50
+    faults = {"process": lambda retries: F.when((at == 3) & F.lit(retries == 0), "TIMEOUT").when(at == 11, "VALIDATION").when(at == 13, "PARSE"), "write": lambda retries: F.when(at == 7, "CONFLICT")}
+    filled = fill_chunks(resolve(table(spark, sf, "events").select("event_id"), faults, policy), ["event_id"], F.coalesce(F.col("_skip") == "read", F.lit(False)))
+    return filled.groupBy("chunk_id").agg(*fault_counters()).select("chunk_id", "rolled_back_chunks", "rollback_count", "no_rollback_count")
 
 
 def fault_backoff(spark, sf):

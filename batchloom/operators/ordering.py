@@ -7,6 +7,9 @@ own, and one number per partition, the sum of those before it, is added.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -14,9 +17,27 @@ from pyspark.storagelevel import StorageLevel
 _PART = "_part"
 
 
+_KEPT: ContextVar[list | None] = ContextVar("kept", default=None)
+
+
+@contextmanager
+def released():
+    """Ranges that are kept within this block, by the functions below, are given up at its end."""
+    outer = _KEPT.set([])
+    try:
+        yield
+    finally:
+        for df in _KEPT.get():
+            df.unpersist()
+        _KEPT.reset(outer)
+
+
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """Sorted ranges; kept, so that every read sees the same borders."""
-    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_PART, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    """Sorted ranges; kept, so that every read sees the same borders, until :func:`released`."""
+    kept = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(_PART, F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    if _KEPT.get() is not None:
+        _KEPT.get().append(kept)
+    return kept
 
 
 def _offsets(sums: DataFrame, names: list[str]) -> DataFrame:

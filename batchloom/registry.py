@@ -10,9 +10,9 @@ from batchloom.functions import digest
 from batchloom.operators import aggregates, chunking, fault, processors
 from batchloom.plans import flow, ledger, operations
 from batchloom.sources import queries as sources
-from batchloom.streaming import telemetry
+from batchloom.streaming import steps, telemetry
 
-_MODULES = (sources, processors, aggregates, chunking, fault, digest, flow, ledger, operations, telemetry)
+_MODULES = (sources, processors, aggregates, chunking, fault, digest, flow, ledger, operations, telemetry, steps)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

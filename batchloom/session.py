@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings under which Spark and the SQL oracles agree on values.
@@ -27,3 +30,13 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; column pruning and filters reach its parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def folder(spark) -> str:
+    """A folder for rendered files: shared where the session names one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/batchloom-files-{uuid.uuid4().hex}"

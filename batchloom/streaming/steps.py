@@ -3,7 +3,7 @@
 The ledger of a step is a folder of small commit records, one per chunk batch,
 each written after the data it commits. It decides what is committed: data
 without a record is removed by the next attempt, a record without its data
-fails the restart. One driver writes a step's ledger at a time.
+fails the restart.
 """
 
 from __future__ import annotations
@@ -11,17 +11,30 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchloom.functions.state import Codec, Envelope
 from batchloom.operators.chunking import SIZE, fill_chunks
+from batchloom.operators.fault import FaultPolicy, fault_counters, first_end, resolve
+from batchloom.operators.ordering import released
 from batchloom.operators.processors import keep
+from batchloom.session import folder, table
+from batchloom.streaming.listeners import Listeners
 
 
 class StepFailed(RuntimeError):
-    """The skip limit was passed; chunks before the failing one stay committed."""
+    """A fault ended the step, or the skip limit was passed; batches before that of the failing chunk stay committed."""
+
+
+class Conflict(RuntimeError):
+    """Another attempt committed a record of this name."""
+
+
+class OutcomeUnknown(RuntimeError):
+    """It can't be told whether a record was committed; nothing may be tried again before someone looks."""
 
 
 class Ledger:
@@ -30,7 +43,8 @@ class Ledger:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         self.jvm = spark.sparkContext._jvm
-        self.fs = self._path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path(path).getFileSystem(self.conf)
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
@@ -53,20 +67,56 @@ class Ledger:
         finally:
             stream.close()
 
+    def _write(self, name: str, data: bytes) -> None:
+        stream = self.fs.create(self._path(name), False)
+        stream.write(bytearray(data))
+        stream.close()
+
+    def _publish(self, aside: str, target: str, data: bytes) -> None:
+        """Make ``target`` whole in one step that fails if it is there: a link, a rename that replaces nothing, or an exclusive put."""
+        scheme = str(self.fs.getUri().getScheme())
+        if scheme in ("file", "hdfs", "viewfs"):
+            self._write(aside, data)
+            if scheme == "file":
+                place = lambda name: self.jvm.java.nio.file.Paths.get(self.fs.makeQualified(self._path(name)).toUri())
+                self.jvm.java.nio.file.Files.createLink(place(target), place(aside))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._path(aside), self._path(target), none)
+        else:
+            self._write(target, data)
+
     def commit(self, name: str, record: dict) -> None:
-        """Write aside, then rename: a record is there whole or not at all, and never replaced."""
-        target = f"{self.path}/{name}.json"
+        """A record is there whole or not at all, and never replaced: of two commits at once one is a :class:`Conflict`."""
+        target, token = f"{self.path}/{name}.json", uuid.uuid4().hex
+        aside = f"{self.path}/.{name}-{token}"
         if self.exists(target):
-            raise RuntimeError(f"{name} was committed by another attempt")
-        aside = f"{self.path}/.{name}-{uuid.uuid4().hex}"
-        stream = self.fs.create(self._path(aside), False)
-        stream.write(bytearray(json.dumps(record, sort_keys=True).encode()))
-        stream.close()
-        if not self.fs.rename(self._path(aside), self._path(target)):
-            raise RuntimeError(f"the outcome of committing {name} is unknown")
+            raise Conflict(f"{name} was committed by another attempt")
+        failed = None
+        try:
+            self.fs.mkdirs(self._path(self.path))
+            self._publish(aside, target, json.dumps(record | {"_token": token}, sort_keys=True).encode())
+        except Exception as e:  # who won is read from the record itself
+            failed = e
+        try:
+            if self.exists(aside):
+                self.delete(aside)
+            there = self.read(target)["_token"] if failed is not None else token
+        except Exception:
+            raise OutcomeUnknown(f"the outcome of committing {name} is unknown") from failed
+        if there != token:
+            raise Conflict(f"{name} was committed by another attempt") from failed
+
+    def get(self, name: str) -> dict:
+        record = self.read(f"{self.path}/{name}")
+        record.pop("_token", None)
+        return record
 
     def records(self) -> list[dict]:
-        return [self.read(f"{self.path}/{n}") for n in self.names(self.path) if n.endswith(".json")]
+        return [self.get(n) for n in self.names(self.path) if n.endswith(".json")]
+
+
+_COUNTS = ("read", "written", "filtered", "read_skips", "process_skips", "write_skips", "rolled_back_chunks", "rollback_count", "no_rollback_count", "commits")
 
 
 @dataclass
@@ -75,69 +125,199 @@ class Counters:
     written: int = 0
     filtered: int = 0
     read_skips: int = 0
+    process_skips: int = 0
+    write_skips: int = 0
+    rolled_back_chunks: int = 0
+    rollback_count: int = 0
+    no_rollback_count: int = 0
     commits: int = 0
 
     def add(self, record: dict) -> None:
-        for name in ("read", "written", "filtered", "read_skips", "commits"):
+        for name in _COUNTS:
             setattr(self, name, getattr(self, name) + record[name])
 
 
+class ItemStream:
+    """State that goes along with a step: opened before anything is read, told at each commit, closed at the end."""
+
+    def __init__(self, name: str, codec: Codec):
+        self.name, self.codec = name, codec
+
+    def open(self, state: dict | None) -> None: ...
+
+    def update(self, record: dict) -> dict:
+        """The state as of a batch that is about to be committed."""
+        return {}
+
+    def close(self) -> None: ...
+
+
+class _Streams:
+    """Open in order, close in reverse; a failing close never hides another failure, and the rest are closed."""
+
+    def __init__(self, streams: list[ItemStream], last: dict | None):
+        self.streams, self.last, self.opened = streams, last or {}, []
+
+    def __enter__(self):
+        try:
+            for s in self.streams:
+                kept = self.last.get(s.name)
+                value = s.codec.open(Envelope(**kept | {"payload": kept["payload"].encode()}))[0] if kept else None
+                self.opened.append(s)
+                s.open(value)
+        except Exception as e:
+            self.__exit__(type(e), e, None)
+            raise
+        return self
+
+    def states(self, record: dict) -> dict:
+        found = {}
+        for s in self.streams:
+            kept = asdict(Envelope.of(s.name, s.codec.schema, s.codec.version, s.update(record)))
+            found[s.name] = kept | {"payload": kept["payload"].decode()}
+        return found
+
+    def __exit__(self, kind, error, trace):
+        failures = []
+        for s in reversed(self.opened):
+            try:
+                s.close()
+            except Exception as e:
+                failures.append(e)
+        if failures and error is None:
+            raise failures[0]
+        return False
+
+
 @dataclass
 class ChunkStep:
-    """Read, process and write in chunks of ``size``, ``per_commit`` of them with one job and one record.
+    """Read, process and write in chunks of ``size``, ``per_commit`` of them with one record, ``wave`` records with one job.
 
     ``bad`` marks malformed reads, which are skipped up to ``skip_limit`` in
     all; ``process`` maps a batch and may filter by leaving rows out; ``kept``
-    says which rows of the batch it keeps, for the counters.
+    says which rows it keeps, for the counters. ``faults`` gives, for a phase
+    and the number of retries before, the category of an item's fault, or null;
+    what follows from it is up to ``policy``, item by item, and its skips count
+    toward the same limit. An item that is skipped in processing or writing
+    keeps its place in its chunk.
+
+    ``listeners`` of the families ``chunk``, ``read``, ``process`` and
+    ``write`` are called with the batch, around its commit and around the parts
+    of it. ``in_flight`` says what a stop does to the batches of a wave that is
+    written: FINISH commits them, ROLLBACK leaves them to the next attempt.
+    ``completed`` is told of each record after its commit and may ask to stop.
     """
 
     name: str
     order: list[str]
-    bad: object
-    kept: object
+    bad: Column
+    kept: Column
     process: Callable[[DataFrame], DataFrame]
     skip_limit: int = 0
     size: int = SIZE
     per_commit: int = 1000
     before_commit: Callable[[int], None] = field(default=lambda batch: None)
+    wave: int = 1000
+    policy: FaultPolicy = field(default_factory=FaultPolicy)
+    faults: dict[str, Callable[[int], Column]] = field(default_factory=dict)
+    listeners: dict[str, Listeners] = field(default_factory=dict)
+    streams: list[ItemStream] = field(default_factory=list)
+    in_flight: str = "FINISH"
+    completed: Callable[[dict], bool] = field(default=lambda record: False)
+
+    def resolved(self, items: DataFrame) -> DataFrame:
+        """``items`` with their chunk, batch, and what became of each: ``_skip`` (a phase), ``_retries``, ``_rolled``, ``_end``."""
+        marked = resolve(items, self.faults, self.policy)
+        bad = F.coalesce(self.bad, F.lit(False)) | F.coalesce(F.col("_skip") == "read", F.lit(False))
+        filled = fill_chunks(marked, self.order, bad, self.size).withColumn("_skip", F.when(F.col("bad"), "read").otherwise(F.col("_skip")))
+        return filled.withColumn("_batch", F.expr(f"chunk_id div {self.per_commit}"))
 
     def run(self, spark: SparkSession, items: DataFrame, path: str, stop: Callable[[], bool] = lambda: False) -> tuple[str, Counters]:
         """Commit what is not committed yet: ``(status, counters)`` over all attempts."""
         ledger = Ledger(spark, f"{path}/ledger")
         done = {r["batch"]: r for r in ledger.records()}
-        for batch in done:
-            if not ledger.exists(f"{path}/data/batch={batch}"):
+        there = ledger.names(f"{path}/data")
+        for batch, record in done.items():
+            if record["written"] and f"batch={batch}" not in there:
                 raise RuntimeError(f"the data of committed batch {batch} is missing")
-        for name in ledger.names(f"{path}/data"):
+        for name in there:
             if name.startswith("batch=") and int(name[6:]) not in done:
                 ledger.delete(f"{path}/data/{name}")
         counters = Counters()
         for batch in sorted(done):
             counters.add(done[batch])
-        filled = fill_chunks(items, self.order, self.bad, self.size).withColumn("_batch", F.expr(f"chunk_id div {self.per_commit}")).persist()
-        try:
-            good = ~F.col("bad")
-            kept = keep(self.kept)
-            plan = filled.groupBy("_batch").agg(
-                F.count_if(good).alias("read"), F.count_if(good & kept).alias("written"), F.count_if(good & ~kept).alias("filtered"),
-                F.count_if("bad").alias("read_skips"), F.count_distinct("chunk_id").alias("commits")).orderBy("_batch")
-            for row in plan.toLocalIterator():
-                batch = row["_batch"]
-                if batch in done:
-                    continue
+        last = done[max(done)].get("state") if done else None
+        with released(), _Streams(self.streams, last) as streams:
+            filled = self.resolved(items).persist()
+            try:
+                return self._run(ledger, filled, path, stop, done, counters, streams), counters
+            except OutcomeUnknown:
+                return "UNKNOWN", counters
+            finally:
+                filled.unpersist()
+
+    def _run(self, ledger: Ledger, filled: DataFrame, path: str, stop, done: dict, counters: Counters, streams: _Streams) -> str:
+        end = first_end(filled, self.order, self.skip_limit)
+        good = ~F.col("bad") & F.col("_skip").isNull()
+        kept = keep(self.kept)
+        plan = filled.groupBy("_batch").agg(
+            F.count_if(~F.col("bad")).alias("read"), F.count_if(good & kept).alias("written"), F.count_if(good & ~kept).alias("filtered"), *fault_counters(),
+            F.count_distinct("chunk_id").alias("commits"), F.max("chunk_id").alias("last")).orderBy("_batch")
+        ahead = iter(plan.toLocalIterator())
+        failing = end and end["chunk_id"]
+        while True:
+            rows = []
+            while len(rows) < self.wave and (row := next(ahead, None)) is not None:
+                if failing is not None and row["last"] >= failing:
+                    break
+                if row["_batch"] not in done:
+                    rows.append(row)
+            if rows:
                 if stop():
-                    return "STOPPED", counters
-                if counters.read_skips + row["read_skips"] > self.skip_limit:
-                    raise StepFailed(f"{self.name}: more than {self.skip_limit} skips")
-                part = filled.filter((F.col("_batch") == batch) & good).drop("_batch", "bad")
-                self.process(part).write.parquet(f"{path}/data/batch={batch}")
-                self.before_commit(batch)
-                record = {k: row[k] for k in ("read", "written", "filtered", "read_skips", "commits")} | {"batch": batch}
-                ledger.commit(f"{batch:012d}", record)
-                counters.add(record)
-            return "COMPLETED", counters
-        finally:
-            filled.unpersist()
+                    return "STOPPED"
+                part = filled.filter(F.col("_batch").between(rows[0]["_batch"], rows[-1]["_batch"]) & good).drop("bad", "_skip", "_retries", "_rolled", "_end")
+                if done:
+                    part = part.filter(~F.col("_batch").isin([b for b in done if rows[0]["_batch"] <= b <= rows[-1]["_batch"]]))
+                self._write(part, [row["_batch"] for row in rows], path)
+                for row in rows:
+                    if self.in_flight == "ROLLBACK" and stop():
+                        return "STOPPED"
+                    record = {k: row[k] for k in _COUNTS} | {"batch": row["_batch"]}
+                    self._commit(ledger, record, streams)
+                    counters.add(record)
+                    if self.completed(record):
+                        return "STOPPED"
+            if len(rows) < self.wave:
+                break
+        if end is None:
+            return "COMPLETED"
+        if end["kind"] in ("STOP", "UNKNOWN"):
+            return {"STOP": "STOPPED", "UNKNOWN": "UNKNOWN"}[end["kind"]]
+        raise StepFailed(f"{self.name}: chunk {failing} failed" if end["kind"] == "FAIL" else f"{self.name}: more than {self.skip_limit} skips")
+
+    def _write(self, part: DataFrame, batches: list[int], path: str) -> None:
+        """All batches with one job where ``process`` leaves the column ``_batch`` in place, else with one for each."""
+        out = self.process(part)
+        if "_batch" in out.columns:
+            out.withColumnRenamed("_batch", "batch").write.mode("append").partitionBy("batch").parquet(f"{path}/data")
+            return
+        for batch in batches:
+            self.process(part.filter(F.col("_batch") == batch).drop("_batch")).write.mode("append").parquet(f"{path}/data/batch={batch}")
+
+    def _commit(self, ledger: Ledger, record: dict, streams: _Streams) -> None:
+        around = lambda family, work: self.listeners[family].around(work, record["batch"]) if family in self.listeners else work(record["batch"])
+
+        def commit(batch: int) -> None:
+            self.before_commit(batch)
+            state = streams.states(record)
+            ledger.commit(f"{batch:012d}", record | ({"state": state} if state else {}))
+
+        def phases(_: int) -> None:
+            around("read", lambda batch: None)
+            around("process", lambda batch: None)
+            around("write", commit)
+
+        around("chunk", phases)
 
 
 def run_stream(spark: SparkSession, source: str, schema: str, path: str, process: Callable[[DataFrame], DataFrame], files_per_batch: int = 1) -> list[dict]:
@@ -159,3 +339,29 @@ def run_stream(spark: SparkSession, source: str, schema: str, path: str, process
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return ledger.records()
+
+
+def listener_event_order(spark, sf):
+    """What listeners of a step over all orders are told, in order: two of chunks, one of each phase."""
+    told, path = [], folder(spark)
+
+    def pair(name: str) -> tuple[Callable, Callable]:
+        return (lambda batch: told.append((batch, f"before-{name}"))), (lambda batch: told.append((batch, f"after-{name}")))
+
+    listeners = {"chunk": Listeners(pair("1"), pair("2"))} | {f: Listeners(pair(f)) for f in ("read", "process", "write")}
+    step = ChunkStep("orders", ["o_orderkey"], F.lit(False), F.lit(True), lambda df: df, per_commit=1, listeners=listeners)
+    step.run(spark, table(spark, sf, "orders").select("o_orderkey"), path)
+    seen: dict[int, int] = {}
+    rows = []
+    for batch, phase in told:
+        seen[batch] = seen.get(batch, 0) + 1
+        rows.append((batch, seen[batch], phase))
+    return spark.createDataFrame(rows, "chunk_id long, seq long, phase string")
+
+
+QUERIES = {"listener_event_order": listener_event_order}
+
+ORACLES = {
+    "listener_event_order": f"""SELECT chunk_id, CAST(seq AS BIGINT) AS seq, p[seq] AS phase FROM (SELECT DISTINCT (row_number() OVER (ORDER BY o_orderkey) - 1) // {SIZE} AS chunk_id FROM orders),
+        (SELECT ['before-1', 'before-2', 'before-read', 'after-read', 'before-process', 'after-process', 'before-write', 'after-write', 'after-2', 'after-1'] AS p), range(1, 11) r(seq)""",
+}

@@ -1,3 +1,5 @@
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,7 +8,10 @@ from batchloom.operators.chunking import chunk_counters, commits, fill_chunks
 from batchloom.operators.fault import Backoff, classified, until_skip_limit
 from batchloom.operators.ordering import number_rows, running_totals
 from batchloom.operators.processors import classify, filter_items, validate_items
-from batchloom.streaming.steps import ChunkStep, Ledger, StepFailed, run_stream
+from batchloom.functions.state import Codec
+from batchloom.operators.fault import FaultPolicy, fault_counters, resolve
+from batchloom.streaming.listeners import Listeners
+from batchloom.streaming.steps import ChunkStep, Conflict, ItemStream, Ledger, OutcomeUnknown, StepFailed, run_stream
 
 
 def table(spark, flags):
@@ -107,11 +112,134 @@ def test_step_stops_and_fails(spark, tmp_path):
 def test_a_record_is_never_replaced(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path))
     ledger.commit("0", {"a": 1})
-    with pytest.raises(RuntimeError, match="another attempt"):
+    with pytest.raises(Conflict, match="another attempt"):
         ledger.commit("0", {"a": 2})
     assert ledger.records() == [{"a": 1}]
 
 
+def test_of_two_commits_at_once_one_wins(spark, tmp_path, monkeypatch):
+    """Both attempts see no record before they write theirs."""
+    ledgers = [Ledger(spark, str(tmp_path)) for _ in range(2)]
+    monkeypatch.setattr(Ledger, "exists", lambda self, name: "/." in name)
+    barrier, won = threading.Barrier(2), []
+
+    def commit(k):
+        for n in range(20):
+            barrier.wait()
+            try:
+                ledgers[k].commit(f"{n:03d}", {"by": k})
+                won.append((n, k))
+            except Conflict:
+                pass
+
+    threads = [threading.Thread(target=commit, args=(k,)) for k in range(2)]
+    [x.start() for x in threads]
+    [x.join() for x in threads]
+    monkeypatch.undo()
+    assert sorted(n for n, _ in won) == list(range(20)) and [r["by"] for r in ledgers[0].records()] == [k for _, k in sorted(won)]
+    assert len(ledgers[0].names(str(tmp_path))) == 20  # nothing is left beside the records
+
+
+def test_an_unknown_outcome_ends_the_step(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Ledger, "_publish", lambda *a: 1 / 0)
+    with pytest.raises(OutcomeUnknown):
+        Ledger(spark, str(tmp_path / "l")).commit("0", {})
+    assert step().run(spark, table(spark, [False]), str(tmp_path / "job"))[0] == "UNKNOWN"
+
+
+POLICY = FaultPolicy((("process", "TIMEOUT", "RETRY"), ("process", "PARSE", "SKIP"), ("write", "CONFLICT", "RETRY_THEN_SKIP"), ("read", "TIMEOUT", "RETRY")), 2, frozenset({("process", "PARSE")}))
+
+
+def faulty(spark, kinds):
+    """Items with a fault each: the phase, category, and how many tries it lasts."""
+    return spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "id long, phase string, category string, lasts long").repartition(5)
+
+
+FAULTS = {p: (lambda retries, p=p: F.when((F.col("phase") == p) & (F.col("lasts") > retries), F.col("category"))) for p in ("read", "process", "write")}
+NONE, SLOW, STUCK, TORN, BUSY, DEAD = (None, None, 0), ("process", "TIMEOUT", 2), ("process", "TIMEOUT", 3), ("process", "PARSE", 1), ("write", "CONFLICT", 9), ("write", "CONFLICT", 1)
+
+
+def fault_step(limit, **more):
+    return ChunkStep("import", ["id"], F.lit(False), F.lit(True), lambda df: df.select("id", "_batch"), limit, 2, 1, policy=POLICY, faults=FAULTS, **more)
+
+
+def test_faults_are_retried_and_skipped(spark, tmp_path):
+    items = faulty(spark, [NONE, SLOW, TORN, BUSY, DEAD, NONE, ("read", "TIMEOUT", 1)])
+    found = {r["id"]: (r["_skip"], r["_retries"], r["_rolled"], r["_end"]) for r in resolve(items, FAULTS, POLICY).collect()}
+    assert found == {0: (None, 0, 0, None), 1: (None, 2, 2, None), 2: ("process", 0, 0, None), 3: ("write", 2, 3, None), 4: (None, 1, 1, None), 5: (None, 0, 0, None), 6: (None, 1, 1, None)}
+    status, c = fault_step(2).run(spark, items, str(tmp_path / "a"))
+    assert status == "COMPLETED" and (c.read, c.written, c.process_skips, c.write_skips, c.rolled_back_chunks, c.rollback_count, c.no_rollback_count, c.commits) == (7, 5, 1, 1, 7, 6, 1, 4)
+    assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "a/data")).collect()) == [0, 1, 4, 5, 6]
+    assert resolve(spark.range(0).select("id", F.lit("x").alias("phase"), F.lit("x").alias("category"), F.lit(1).alias("lasts")), FAULTS, POLICY).withColumn("bad", F.lit(False)).agg(*fault_counters()).count() == 1
+
+
+def test_skips_of_all_phases_share_a_limit_and_a_fault_ends_the_step(spark, tmp_path):
+    items = faulty(spark, [NONE, TORN, NONE, BUSY, NONE])
+    with pytest.raises(StepFailed, match="more than 1 skips"):
+        fault_step(1).run(spark, items, str(tmp_path / "a"))
+    assert [r["batch"] for r in Ledger(spark, str(tmp_path / "a/ledger")).records()] == [0]
+    with pytest.raises(StepFailed, match="chunk 1 failed"):
+        fault_step(9).run(spark, faulty(spark, [NONE, NONE, STUCK, NONE]), str(tmp_path / "b"))
+    # The fault is gone: the next attempt goes on behind what was committed.
+    status, c = fault_step(9).run(spark, faulty(spark, [NONE] * 4), str(tmp_path / "b"))
+    assert (status, c.read, c.commits) == ("COMPLETED", 4, 2) and spark.read.parquet(str(tmp_path / "b/data")).count() == 4
+    for category, status in (("CANCELLED", "STOPPED"), ("UNKNOWN_COMMIT", "UNKNOWN")):
+        assert fault_step(9).run(spark, faulty(spark, [NONE, NONE, ("write", category, 1)]), str(tmp_path / category))[0] == status
+    for bad in (dict(rules=(("read", "A", "SKIP"), ("read", "A", "FAIL"))), dict(rules=(("no", "A", "SKIP"),)), dict(safe=frozenset({("write", "A")})), dict(retry_limit=99)):
+        with pytest.raises(ValueError):
+            FaultPolicy(**bad)
+
+
+def test_stops_and_hooks_around_a_commit(spark, tmp_path):
+    items, told = faulty(spark, [NONE] * 8), []
+    asked = iter([False, False, True])
+    pair = (lambda b: told.append(f"+{b}")), (lambda b: told.append(f"-{b}"))
+    status, c = fault_step(0, listeners={"chunk": Listeners(pair)}, in_flight="ROLLBACK").run(spark, items, str(tmp_path / "a"), stop=lambda: next(asked))
+    assert (status, c.commits, told) == ("STOPPED", 1, ["+0", "-0"])
+    status, c = fault_step(0, completed=lambda record: record["batch"] == 2).run(spark, items, str(tmp_path / "a"))
+    assert (status, c.commits) == ("STOPPED", 3)
+    status, c = fault_step(0, wave=1).run(spark, items, str(tmp_path / "a"))
+    assert (status, c.commits) == ("COMPLETED", 4) and spark.read.parquet(str(tmp_path / "a/data")).count() == 8
+
+
+class Position(ItemStream):
+    def __init__(self, name, events, fail=False):
+        super().__init__(name, Codec("position", 1))
+        self.events, self.fail, self.read = events, fail, 0
+
+    def open(self, state):
+        self.events.append(("open", self.name, state))
+        self.read = (state or {"read": 0})["read"]
+
+    def update(self, record):
+        self.read += record["read"]
+        return {"read": self.read}
+
+    def close(self):
+        self.events.append(("close", self.name))
+        if self.fail:
+            raise OSError("close")
+
+
+def test_streams_are_restored_and_closed_in_reverse(spark, tmp_path):
+    items, events = faulty(spark, [NONE] * 4), []
+
+    def lose(batch):
+        if batch == 1:
+            raise ConnectionError
+
+    with pytest.raises(ConnectionError):  # a failing close does not hide it
+        fault_step(0, streams=[Position("a", events), Position("b", events, fail=True)], before_commit=lose).run(spark, items, str(tmp_path / "a"))
+    assert events == [("open", "a", None), ("open", "b", None), ("close", "b"), ("close", "a")]
+    events.clear()
+    with pytest.raises(OSError):
+        fault_step(0, streams=[Position("a", events), Position("b", events, fail=True)]).run(spark, items, str(tmp_path / "a"))
+    assert events == [("open", "a", {"read": 2}), ("open", "b", {"read": 2}), ("close", "b"), ("close", "a")]
+    events.clear()
+    fault_step(0, streams=[Position("a", events)]).run(spark, items, str(tmp_path / "a"))
+    assert events[0] == ("open", "a", {"read": 4})
+
+
 def test_stream_commits_each_file_once(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     spark.range(10).coalesce(1).write.parquet(source)

@@ -1,8 +1,11 @@
+import threading
+
 import pytest
 
 from batchloom.cli import CONFIRM, CONFLICT, GUARD, NOT_FOUND, SUCCESS, USAGE, resolve, run
 from batchloom.plans.flow import FlowGraph
 from batchloom.plans.store import Conflict, JobLauncher, JobRepository, Rejected
+from batchloom.streaming.steps import Ledger
 
 DAY = {"day": ("string", "2024-01-01")}
 
@@ -52,6 +55,60 @@ def test_requests_are_idempotent(store):
     assert store.get("execution", started["id"])["stop_requested"]
 
 
+def test_a_request_acts_once(store, spark):
+    """Two at once, and one whose process dies between acting and recording."""
+    started = store.move(store.launch("import", DAY), "STARTED")
+    acted, outcomes = [], []
+
+    class Counting(JobRepository):
+        def _do_stop(self, target):
+            acted.append(target)
+            if target == "dies":
+                raise KeyboardInterrupt
+            return super()._do_stop(target)
+
+    def ask():
+        try:
+            outcomes.append(Counting(spark, store.root, store.clock, "here").request("STOP", "7", started["id"])["outcome"])
+        except Rejected as e:
+            outcomes.append(e.code)
+
+    threads = [threading.Thread(target=ask) for _ in range(4)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert acted == [started["id"]] and outcomes.count("APPLIED") == 1 and set(outcomes) <= {"APPLIED", "REPLAYED", "IN_PROGRESS"}
+    dying = Counting(spark, store.root, store.clock, "here")
+    with pytest.raises(KeyboardInterrupt):
+        dying.request("STOP", "8", "dies")
+    with pytest.raises(Rejected, match="IN_PROGRESS"):
+        dying.request("STOP", "8", "dies")
+    assert acted.count("dies") == 1 and store.settle("STOP", "8", "REJECTED", "NOT_FOUND")["outcome"] == "REJECTED"
+    assert store.request("STOP", "8", "dies")["outcome"] == "REPLAYED"
+
+
+def test_owners_are_claimed(store, spark):
+    left = store.move(store.launch("import", DAY), "STARTED")
+    there, third = (JobRepository(spark, store.root, store.clock, p) for p in ("there", "third"))
+    assert (store.control(left), there.control(left)) == ("GO", "LOST")
+    there.claim(left)
+    with pytest.raises(Conflict):
+        third.claim(left)
+    assert (store.control(left), there.control(left)) == ("LOST", "GO")
+    store.request("STOP", "1", left["id"])
+    assert there.control(left) == "STOP"
+
+
+def test_a_launch_reads_its_own_instance_only(store, monkeypatch):
+    for day in range(12):
+        store.move(store.move(store.launch("import", {"day": ("i64", day)}), "STARTED"), "COMPLETED")
+    reads, read = [], Ledger.read
+    monkeypatch.setattr(Ledger, "read", lambda self, name: reads.append(name) or read(self, name))
+    store.launch("import", {"day": ("i64", 99)})
+    with pytest.raises(Rejected, match="INSTANCE_COMPLETED"):
+        store.launch("import", {"day": ("i64", 3)})
+    assert len(reads) <= 2
+
+
 def test_recovery_needs_idle_strangers(store, spark):
     left = store.move(store.launch("import", DAY), "STARTED")
     other = JobRepository(spark, store.root, store.clock, "there")
