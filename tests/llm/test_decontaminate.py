@@ -1,4 +1,7 @@
 import random
+import tracemalloc
+
+import pytest
 
 from batchloom.llm import decontaminate
 from batchloom.llm.decontaminate import SEGMENT, Index, contamination, drop_contaminated
@@ -24,7 +27,8 @@ def planted():
     phrase = lambda t: " ".join(t.split()[:6])
     docs = [(0, prose(200), []), (1, prose(50) + " " + text[3] + " " + prose(70), [3]), (2, text[4].replace(" ", "###\n"), [4]), (3, prose(30) + edit(text[5]) + prose(900), [5]),
             (4, half(text[6]), [6]), (5, prose(80) + " " + phrase(text[7]) + " " + prose(80), []), (6, text[1] + text[2], [1, 2]), (7, None, []), (8, "", []), (9, text[93], [93]),
-            (10, prose(60_000) + " " + text[8], [8]), (None, text[0], [0]), (1, prose(5) + " " + text[3], [3]), (11, "too short", [])]
+            (10, prose(60_000) + " " + text[8], [8]), (None, text[0], [0]), (1, prose(5) + " " + text[3], [3]),
+            (11, prose(30) + "\n- Too SHORT!\n" + prose(30), [91]), (12, prose(30) + " too short " + prose(30), []), (13, "too short\n" + text[2], [2, 91])]
     return items, docs
 
 
@@ -43,6 +47,34 @@ def test_planted_passages(spark, tmp_path, monkeypatch):
     assert drop_contaminated(table, bench).count() == clean.count()
 
 
+def test_items_that_share_a_prompt_in_bounded_memory():
+    """A text that repeats the beginning of thousands of items; nothing is lost in the parts that it is searched in."""
+    rng = random.Random(11)
+    prompt = " ".join(words(rng, 30))
+    items = [(i, f"{prompt} {' '.join(words(rng, 20))}") for i in range(2000)]
+    index, table = Index.build(items), decontaminate._fold_table()
+    text = " ".join([prompt] * 120) + " " + items[1234][1][len(prompt) - 40 :]
+    tracemalloc.start()
+    found = decontaminate._hits([text, "", None], index, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(found[0]) == set(range(2000)) and found[0][1234] == 0 and found[1:] == [{}, {}]
+    assert peak < 400e6
+
+
+@pytest.mark.parametrize("block", [100, 333])
+def test_long_texts_in_parts(monkeypatch, block):
+    """Texts longer than a block give what they give as one."""
+    rng = random.Random(block)
+    items = [(i, "".join(rng.choices("abcdefgh ", k=200))) for i in range(3)] + [(9, "brief one")]
+    index, table = Index.build(items), decontaminate._fold_table()
+    texts = ["".join(rng.choices("uvwxyz .\n", k=rng.randrange(400))) + rng.choice(items)[1][rng.randrange(60) :][:110] + "\nBrief one!\n" * rng.randrange(2) + "".join(rng.choices("uvw ", k=rng.randrange(900))) for _ in range(40)]
+    whole = decontaminate._hits(texts, index, table)
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "POSTINGS", 50)
+    assert decontaminate._hits(texts, index, table) == whole and sum(map(bool, whole)) > 20
+
+
 def test_empty_tables(spark, tmp_path):
     items, docs = planted()
     none = stored(spark, tmp_path, [], "item_id long, text string", "bench")
