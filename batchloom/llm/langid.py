@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.batches import pieces_of
 
-#: Bound of the training sample: labelled texts for each language, snippets of each, bytes of a snippet, and languages (the most frequent).
-PER_LANGUAGE, SNIPPETS, SNIPPET, LANGUAGES = 800, 6, 96, 64
+#: Bound of the training sample: labelled texts for each language, snippets of each, and bytes of a snippet.
+PER_LANGUAGE, SNIPPETS, SNIPPET = 800, 6, 96
 #: State of each direction, training steps, snippets a step, and step size.
 STATE, STEPS, BATCH, RATE = 8, 260, 256, 0.02
-#: Bytes that one network run reads in either direction, and runs side by side.
-WINDOW, LANES = 128, 2048
+#: Bytes that one run of the network labels, those before and after them that it reads first, and runs side by side.
+WINDOW, MARGIN, LANES = 512, 64, 512
+#: Score below which a text is taken to be in no learned language, where such texts go.
+FLOOR = 0.5
 
-_LETTER = re.compile(r"[^\W\d_]")
+_PLAIN = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of Unicode category L."""
+    return _PLAIN.search(text) is not None or any(map(str.isalpha, text))
 
 
 @dataclass
@@ -42,8 +49,8 @@ class Network:
         h = STATE
         return cls(languages, rng.normal(0, 0.3, (2, 256, 3 * h)).astype(np.float32), rng.normal(0, 0.3, (2, h, 3 * h)).astype(np.float32), rng.normal(0, 0.3, (2 * h + 1, len(languages))).astype(np.float32))
 
-    def states(self, x: np.ndarray, d: int, keep: bool = False):
-        """States after each byte of ``x`` (time, lanes), read forwards (d = 0) or backwards."""
+    def states(self, x: np.ndarray, d: int, keep: bool = False, inside: np.ndarray | None = None):
+        """States after each byte of ``x`` (time, lanes), read forwards (d = 0) or backwards; 0 where not ``inside``."""
         h, (steps, lanes) = STATE, x.shape
         states = np.empty((steps, lanes, h), np.float32)
         state = np.zeros((lanes, h), np.float32)
@@ -61,19 +68,23 @@ class Network:
             if keep:
                 kept[t] = (state, gate, fresh, turned[:, 2 * h :])
             state = state + gate[:, :h] * (fresh - state)
+            if inside is not None:
+                state *= inside[t][:, None]
             states[t] = state
         return (states, kept) if keep else states
 
-    def label(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages at each position of ``x``."""
+    def label(self, x: np.ndarray, inside: np.ndarray | None = None, margin: int = 0) -> np.ndarray:
+        """Probabilities of the languages at each position of ``x`` but the first and last ``margin``."""
         h = STATE
         steps, lanes = x.shape
-        logits = self.states(x, 0).reshape(-1, h) @ self.out[:h]
-        logits += self.states(x, 1).reshape(-1, h) @ self.out[h : 2 * h]
+        read = slice(margin, steps - margin)
+        logits = self.states(x, 0, inside=inside)[read].reshape(-1, h) @ self.out[:h]
+        logits += self.states(x, 1, inside=inside)[read].reshape(-1, h) @ self.out[h : 2 * h]
         logits += self.out[2 * h]
+        logits -= logits.max(axis=1, keepdims=True)
         np.exp(logits, out=logits)
         logits /= logits.sum(axis=1, keepdims=True)
-        return logits.reshape(steps, lanes, -1)
+        return logits.reshape(steps - 2 * margin, lanes, -1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float]:
         """Of the mean cross entropy at all positions, by backpropagation through time."""
@@ -126,39 +137,47 @@ class Network:
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities over all positions of each whole text."""
+        """Mean probabilities over all positions of each whole text.
+
+        A text is cut into runs of WINDOW bytes. In either direction a run's
+        states are those that the MARGIN bytes beyond it leave, and zero before
+        the text begins, so they follow those of a single pass over the text.
+        """
         sums = np.zeros((len(texts), len(self.languages)))
         sizes = np.array([len(t) for t in texts])
         runs = -(-sizes // WINDOW)
         owner = np.repeat(np.arange(len(texts)), runs)
-        filled = np.zeros(int(runs.sum()) * WINDOW, np.uint8)
-        starts = (np.cumsum(runs) - runs) * WINDOW
+        # Texts lie apart by two margins of zeros at least, each from a multiple of WINDOW on.
+        spaced = runs + 1 + 2 * MARGIN // WINDOW
+        starts = (np.cumsum(spaced) - spaced) * WINDOW + MARGIN
+        filled = np.zeros(int(spaced.sum()) * WINDOW + 2 * MARGIN, np.uint8)
         for text, at in zip(texts, starts):
             filled[at : at + len(text)] = np.frombuffer(text, np.uint8)
-        filled = filled.reshape(-1, WINDOW)
-        inside = sizes[owner] - (np.arange(len(owner)) * WINDOW - starts[owner])
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+        first = starts[owner] + nth * WINDOW - MARGIN
+        steps = np.arange(WINDOW + 2 * MARGIN)[:, None]
         for at in range(0, len(owner), LANES):
-            x = np.ascontiguousarray(filled[at : at + LANES].T)
-            p = self.label(x)
-            used = np.arange(WINDOW)[:, None] < inside[None, at : at + LANES]
-            p *= used[:, :, None]
-            np.add.at(sums, owner[at : at + LANES], p.sum(axis=0))
+            own, begin = owner[at : at + LANES], first[at : at + LANES]
+            place = steps + (begin - starts[own])
+            inside = ((place >= 0) & (place < sizes[own])).astype(np.float32)
+            p = self.label(filled[steps + begin], inside, MARGIN)
+            p *= inside[MARGIN : MARGIN + WINDOW, :, None]
+            np.add.at(sums, own, p.sum(axis=0))
         return sums / np.maximum(sizes, 1)[:, None]
 
 
 def fit(docs: DataFrame) -> Network | None:
     """A network trained on a bounded sample of ``docs(doc_id, text, lang)``; None if no row has a language.
 
-    The sample takes about PER_LANGUAGE texts of each language by a hash of
-    their doc_id, and SNIPPETS snippets at hashed places of each.
+    The sample takes about PER_LANGUAGE texts of each language, however many
+    languages there are, by a hash of their doc_id, and SNIPPETS snippets of
+    SNIPPET bytes at hashed places of each.
     """
     labelled = docs.filter("lang is not null and text is not null and text <> '' and doc_id is not null")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, PER_LANGUAGE / r["count"])).otherwise(share)
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])[F.col("lang")]
     hashed = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000
     place = lambda i: F.lit(1) + F.pmod(F.xxhash64("doc_id", i), F.greatest(F.char_length("text") - SNIPPET, F.lit(1))).cast("int")
     snippets = F.transform(F.sequence(F.lit(1), F.lit(SNIPPETS)), lambda i: F.col("text").substr(place(i), F.lit(SNIPPET)))
@@ -172,20 +191,23 @@ def fit(docs: DataFrame) -> Network | None:
     return network
 
 
+def _labelled(network: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """The language and score of each text."""
+    known = [i for i, t in enumerate(texts) if t and has_letter(t)] if network else []
+    lang, score = ["und"] * len(texts), [0.0] * len(texts)
+    for at in range(0, len(known), 512):
+        part = known[at : at + 512]
+        for i, p in zip(part, network.pooled([texts[i].encode("utf-8", "replace").lower() for i in part])):
+            lang[i], score[i] = network.languages[int(p.argmax())], min(1.0, float(p.max()))
+    return lang, score
+
+
 def _predict(network: Network | None):
     def run(batches):
-        for batch in pieces_of(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if network else []
-            lang, score = ["und"] * len(texts), [0.0] * len(texts)
-            for at in range(0, len(known), 512):
-                part = known[at : at + 512]
-                p = network.pooled([texts[i].encode("utf-8", "replace").lower() for i in part])
-                for i, row in zip(part, p):
-                    lang[i], score[i] = network.languages[int(row.argmax())], min(1.0, float(row.max()))
-            arrays = [batch.column(n) for n in batch.schema.names if n != "text"]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(lang), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+        for batch in pieces_of(batches, "_text"):
+            lang, score = _labelled(network, batch.column("_text").to_pylist())
+            names = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(lang), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return run
 
@@ -193,30 +215,32 @@ def _predict(network: Network | None):
 def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """``docs`` without its text, and ``lang_pred`` and ``score`` of each row.
 
-    Every byte of the whole text (A-Z lower-cased) is read in both directions,
-    in runs of WINDOW bytes, and labelled; the text's probabilities are the
-    mean over its positions. Null texts and texts without a letter are ``und``
-    with score 0, as are all where nothing could be learned.
+    Every byte of the whole text (A-Z lower-cased) is read in both directions
+    and labelled; the text's probabilities are the mean over its positions. Of
+    languages that are equally probable the first by name is predicted. Null
+    texts and texts without a letter (Unicode category L) are ``und`` with
+    score 0, as are all where nothing could be learned. Columns ``lang_pred``
+    and ``score`` of ``docs`` give way.
     """
-    kept = [f for f in docs.schema.fields if f.name not in (text, "lang_pred", "score")]
-    source = docs.select(*[f.name for f in kept], F.col(text).cast("string").alias("text"))
+    kept = [f for f in docs.schema.fields if f.name not in (text, "_text", "lang_pred", "score")]
+    source = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.col(text).cast("string").alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
     return source.mapInArrow(_predict(network), schema)
 
 
-def drop_unknown(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text gets a language, all columns; ``und`` goes."""
+def drop_unknown(docs: DataFrame, network: Network | None, text: str = "text", floor: float = FLOOR) -> DataFrame:
+    """The rows of ``docs`` in a learned language, all columns.
+
+    A text stays if the network gives one language a score of ``floor`` or
+    more. Null texts, empty ones and those without a letter go; so does every
+    row where nothing could be learned. Repeated rows stay or go together; an
+    empty table stays empty.
+    """
 
     def run(batches):
         for batch in pieces_of(batches, text):
-            texts = batch.column(text).to_pylist()
-            known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
-            keep = [False] * len(texts)
-            for at in range(0, len(known), 512):
-                part = known[at : at + 512]
-                for i, p in zip(part, network.pooled([texts[i].encode("utf-8", "replace").lower() for i in part]) if network else ()):
-                    keep[i] = bool(p.max() > 0)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            lang, score = _labelled(network, batch.column(text).to_pylist())
+            yield batch.filter(pa.array([k != "und" and s >= floor for k, s in zip(lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -124,7 +124,44 @@ def test_nothing_to_learn_from(spark, tmp_path):
     assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)]
 
 
-def test_stage_keeps_what_has_letters(spark, tmp_path):
-    docs = stored(spark, tmp_path, [(i, t, "aa", "s", "p") for i, t in enumerate(["abc", None, "12", "é"])], LANG)
+def test_stage_keeps_what_is_in_a_language(spark, tmp_path):
+    docs = stored(spark, tmp_path, [(i, t, "aa", "s", "p") for i, t in enumerate(["abc", None, "12", "é", "½ ²", ""])], LANG)
     kept = langid.drop_unknown(docs, langid.fit(docs))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3] and kept.columns == docs.columns
+    assert langid.drop_unknown(docs, langid.fit(docs), floor=1.1).count() == 0 == langid.drop_unknown(docs, None).count()
+
+
+def test_letters():
+    assert all(map(langid.has_letter, ["a", "1é", "ª", "中", "\U00010400"]))
+    assert not any(map(langid.has_letter, ["", "½", "²", "1_2", "Ⅷ", "\u0301", "①"]))
+
+
+def random_network(languages, seed=5):
+    network = Network.fresh(languages, seed)
+    network.gates *= 2
+    network.out *= 3
+    return network
+
+
+def test_runs_follow_a_single_pass(monkeypatch):
+    """Texts of up to a run give just what one pass gives; longer ones what it gives but for what the margin forgets."""
+    network = random_network(["a", "b", "c"])
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (1, 2, 63, 64, 100, 511, 512, 513, 1300, 5000, 3)] + [b""]
+    want = np.array([network.label(np.frombuffer(t, np.uint8)[:, None]).mean(axis=(0, 1)) if t else np.zeros(3) for t in texts])
+    for window, margin, lanes in ((512, 64, 512), (64, 64, 3), (32, 40, 7)):
+        monkeypatch.setattr(langid, "WINDOW", window)
+        monkeypatch.setattr(langid, "MARGIN", margin)
+        monkeypatch.setattr(langid, "LANES", lanes)
+        found = network.pooled(texts)
+        assert np.abs(found - want).max() < 2e-3
+        short = [i for i, t in enumerate(texts) if len(t) <= window]
+        assert np.abs(found[short] - want[short]).max() < 1e-5
+
+
+def test_ties_and_clashing_names(spark, tmp_path):
+    network = Network.fresh(["bb", "aa"])
+    network.out[:] = 0
+    docs = stored(spark, tmp_path, [(1, "abc", "l", "body text", "p"), (2, "x", "l", None, "p")], LANG)
+    found = sorted(langid.predict(docs, network, text="source").collect(), key=lambda r: r.doc_id)
+    assert [(r.lang_pred, round(r.score, 6), r.text) for r in found] == [("bb", 0.5, "abc"), ("und", 0.0, "x")]
