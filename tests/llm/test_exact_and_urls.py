@@ -1,9 +1,13 @@
 import hashlib
 import random
 import re
+from urllib.parse import urljoin
+
+import duckdb
+import pytest
 
 from batchloom.llm.exact_dedup import drop_exact_copies, exact_groups
-from batchloom.llm.url_filter import judge
+from batchloom.llm.url_filter import ORACLE, RULES, judge
 
 
 def stored(spark, tmp_path, rows, schema, name="t"):
@@ -80,3 +84,63 @@ def test_every_link_of_a_page_counts(spark, tmp_path):
 
 def test_urls_empty_table(spark, tmp_path):
     assert judge(stored(spark, tmp_path, [], PAGES)).count() == 0
+
+
+def judged_by_force(rows):
+    """Links resolved by the standard library, components by repeated merging, rules by a plain loop."""
+    def place(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        return (m[1].lower(), m[2]) if m else ("", "")
+
+    def rule(url):
+        host, path = place(url)
+        fits = [(len(h) + len(p), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    node = lambda url: (place(url)[0], re.sub(r"(?s)^.*?://[^/?#]*|#.*$", "", url))
+    group, blocked = {}, set()
+    for _, url, links, base in rows:
+        for link in links if url and "://" in url else ():
+            there = urljoin(urljoin(url, base) if base else url, link)
+            if "://" not in there or link.startswith("#"):
+                continue
+            for u in (url, there):
+                group.setdefault(node(u), {node(u)})
+                if rule(u)[1] == "block":
+                    blocked.add(node(u))
+            one, two = group[node(url)], group[node(there)]
+            if one is not two:
+                one |= two
+                for n in two:
+                    group[n] = one
+    out = []
+    for i, url, _, _ in rows:
+        name, verdict = rule(url)
+        out.append((i, *place(url), name, verdict or ("block" if url and group.get(node(url), set()) & blocked else "allow")))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_links_by_force_and_by_sql(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    hosts = ["a.org", "b.org", "C.org", "ok.com", "x.net", "www.example.com", "m.example.com"]
+    path = lambda: "/".join(rng.choice(["es", "fr", "en", "p"]) for _ in range(rng.randrange(1, 3)))
+    link = lambda: rng.choice([f"http://{rng.choice(hosts)}/{path()}", f"//{rng.choice(hosts)}/{path()}", f"/{path()}", path(), f"../{path()}", f"./{path()}/../{path()}", "..", f"?k={rng.randrange(3)}&amp;l=1", "#top", "mailto:a@b.org"])
+    rows, pages = [], []
+    for i in range(260):
+        url = rng.choice([f"{rng.choice(['http', 'https'])}://{rng.choice(hosts)}/{path()}{rng.choice(['', '/', '?k=1', '#f'])}"] * 30 + [None, "odd", ""])
+        links = [link() for _ in range(rng.choice([0, 0, 0, 0, 1, 1, 2]))]
+        base = rng.choice([None] * 9 + ["/es/", "http://b.org/q/"])
+        tags = [rng.choice([f'<link rel="canonical" href="{x}">', f"<LINK href='{x}' rel=canonical />", f'<link rel="alternate canonical" href="{x}"/>', f'<meta http-equiv="refresh" content="0; url={x}">', f"<meta content='3;URL={x}' http-equiv=refresh>"]) for x in links]
+        noise = ['<link rel="stylesheet" href="http://x.net/es/">', '<link rel="canonicals" href="http://x.net/es/">', '<meta name="refresh" content="0; url=http://x.net/es/">', "<p>canonical refresh</p>"]
+        html = (f'<base href="{base}">' if base else "") + "".join(tags) + rng.choice(noise)
+        rows.append((i, url, [x.replace("&amp;", "&") for x in links], base))
+        pages.append((i, url, rng.choice([html] * 30 + [None]) if not links else html, "h", "n"))
+    table = stored(spark, tmp_path, pages, PAGES)
+    found = sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judge(table).collect()), key=str)
+    want = judged_by_force(rows)
+    assert found == want and sum(r[3] is None and r[4] == "block" for r in want) > 10
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/t/*.parquet')")
+    names = [c[0] for c in db.execute(ORACLE).description]
+    assert sorted((tuple(dict(zip(names, r))[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in db.execute(ORACLE).fetchall()), key=str) == want
