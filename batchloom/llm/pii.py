@@ -10,8 +10,10 @@ from batchloom.llm.skew import attach, row_numbers
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Rounds of scoring; distinct instances that a pattern needs; score from which a pattern or an instance is believed.
-ROUNDS, SUPPORT, CONFIDENT = 4, 5, 0.8
+#: Distinct instances that a pattern needs; score from which a pattern or an instance is believed; steps in which instances are scored.
+SUPPORT, CONFIDENT, STEPS = 5, 0.8, 1000
+
+_SPACE = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
 
 _LOCAL = "A-Za-z0-9._%+-"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -26,7 +28,7 @@ _SEEDS = {
 }
 #: What an unseen identifier may look like: numbers in groups, and names at hosts.
 _CANDIDATE = (r"(?<![A-Za-z0-9_@.+(-])\(?[0-9](?:[ ().-]{0,2}[0-9]){5,18}+(?![A-Za-z0-9@])"
-              r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+(?:@| ?[\[({]at[\])}] ?)[A-Za-z0-9-]++(?:(?:\.| ?[\[({]dot[\])}] ?)[A-Za-z0-9-]++)*+")
+              r"|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:@| ?[\[({]at[\])}] ?)[A-Za-z0-9-]++(?:(?:\.| ?[\[({]dot[\])}] ?)[A-Za-z0-9-]++)*+")
 
 
 def _digits(value: Column) -> Column:
@@ -49,25 +51,30 @@ def _holds(kind: Column, value: Column) -> Column:
 
 
 def _spans(docs: DataFrame, kind: str, mark: str | None, pattern: str) -> DataFrame:
-    """``row, kind, start, end, value, left`` of each match; code points, end exclusive.
+    """``row, kind, start, end, value, last, second`` of each match; code points, end exclusive.
 
     Matches and the gaps between them add up to the positions, in a running sum
-    over the spans of one text.
+    over the spans of one text. ``last`` and ``second`` are the last two words
+    of the gap before it.
     """
     found = docs.filter(F.col("text").contains(mark) if mark else F.col("text").rlike("[0-9@]"))
     parts = F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("value"), F.split("text", pattern, -1).alias("gap"))
     spans = found.select("row", F.posexplode(parts).alias("i", "part")).select(
-        "row", "i", F.col("part.value").alias("value"), F.char_length("part.gap").alias("before"), F.expr("right(part.gap, 60)").alias("left")).filter("value is not null")
+        "row", "i", F.col("part.value").alias("value"), F.char_length("part.gap").alias("before"), F.col("part.gap").alias("gap")).filter("value is not null")
+    spans = spans.withColumn("gap", F.rtrim(F.translate("gap", _SPACE, " " * len(_SPACE)))).withColumn("last", F.substring_index("gap", " ", -1))
+    rest = F.rtrim(F.col("gap").substr(F.lit(1), F.char_length("gap") - F.char_length("last")))
+    spans = spans.withColumn("second", F.substring_index(rest, " ", -1)).drop("gap")
     so_far = Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     ends = spans.withColumn("end", F.sum(F.col("before") + F.char_length("value")).over(so_far))
-    return ends.select("row", F.lit(kind).alias("kind"), (F.col("end") - F.char_length("value")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value", "left")
+    return ends.select("row", F.lit(kind).alias("kind"), (F.col("end") - F.char_length("value")).cast("long").alias("start"), F.col("end").cast("long").alias("end"), "value", "last", "second")
 
 
 def _contexts(spans: DataFrame) -> DataFrame:
-    """Each span with the patterns it stands in: its last word before, and its last two."""
-    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower("left"), "[0-9]+", "0"), r"\s+", " ")), " ")
-    word = lambda n: F.when(F.size(words) >= n, F.concat_ws(" ", F.lit(str(n)), F.slice(words, -n, n)))
-    return spans.withColumn("pattern", F.explode(F.array_compact(F.array(word(1), word(2))))).filter("pattern not in ('1 ', '2  ')")
+    """Each span with the patterns it stands in: its last word before, and its last two, digits told apart by their runs only."""
+    word = lambda name: F.regexp_replace(F.lower(name), "[0-9]+", "0")
+    one = F.when(F.col("last") != "", F.concat(F.lit("1 "), word("last")))
+    two = F.when(F.col("second") != "", F.concat(F.lit("2 "), word("second"), F.lit(" "), word("last")))
+    return spans.withColumn("pattern", F.explode(F.array_compact(F.array(one, two)))).drop("last", "second")
 
 
 def _shape(kind: Column, value: Column) -> Column:
@@ -78,6 +85,35 @@ def _shape(kind: Column, value: Column) -> Column:
             .otherwise(value.rlike(r"^[0-9]{1,3}([.-][0-9]{1,3}){3}$")))
 
 
+def believe(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pattern, as, score, all`` of the patterns that are believed in the end.
+
+    ``edges`` are ``pattern, kind, value, n``: how often an instance, of a kind
+    or an unknown one (empty), stands in a pattern. Instances' scores are
+    rounded down to a step of 1 / STEPS; as they can only rise from round to
+    round, there is an end.
+    """
+    totals = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
+    uses = scratch.keep(edges.filter("kind = ''").groupBy("value").agg(F.count("*").alias("uses")), "uses")
+    scored = edges.withColumn("as", F.explode(F.when(F.col("kind") != "", F.array("kind")).otherwise(F.array(*map(F.lit, KINDS)))))
+    believed = None
+    while True:
+        if believed is None:
+            worth = scored.withColumn("worth", (F.col("kind") == F.col("as")).cast("double"))
+        else:
+            worth = attach(scored, believed, ["value", "as"], "uses", F.col("pattern"), "left")
+            worth = worth.withColumn("worth", F.when(F.col("kind") == F.col("as"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
+        sums = worth.groupBy("pattern", "as").agg(F.sum(F.col("n") * F.col("worth")).alias("sum"), F.sum((F.col("worth") >= CONFIDENT).cast("long")).alias("support"))
+        patterns = sums.filter(F.col("support") >= SUPPORT).join(totals, "pattern").withColumn("score", F.col("sum") / F.col("all")).filter(F.col("score") >= CONFIDENT)
+        patterns = scratch.keep(patterns.select("pattern", "as", "score", "all"), "patterns")
+        reached = attach(edges.filter("kind = ''").select("pattern", "value"), patterns, ["pattern"], "all", F.col("value"))
+        reached = reached.filter(_shape(F.col("as"), F.col("value"))).groupBy("value", "as").agg((F.floor(F.max("score") * STEPS) / STEPS).cast("double").alias("score"))
+        previous, believed = believed, scratch.keep(reached.join(uses, "value"), "believed")
+        known = believed if previous is None else believed.join(previous.select("value", "as", "score"), ["value", "as", "score"], "left_anti")
+        if known.isEmpty():
+            return patterns
+
+
 def discover(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The rows of stored ``docs`` (``row, doc_id``) and the spans of personal data in them.
 
@@ -90,8 +126,10 @@ def discover(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
     instance's score, which is the best of its patterns in the round before.
     A pattern is believed if it scores CONFIDENT over at least SUPPORT distinct
     instances that do; what believed patterns reach is believed in the next
-    round, and may make further patterns so. Candidates believed in the last
-    round, of a shape that their kind can have, are the spans that are no seeds.
+    round, and may make further patterns so, until nothing changes. Candidates
+    believed then, of a shape that their kind can have, are the spans that are
+    no seeds. A pattern's words lie between its span and the one before it of
+    the same kind, or the start of the text.
 
     Null texts count as empty. Repeated rows each have their spans; other
     columns are not read; an empty table gives no rows.
@@ -113,31 +151,12 @@ def discover(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tup
     free = ranked.filter(~is_seed & (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))).drop("rank", "reach", "next")
     spans = scratch.keep(_contexts(seeds.drop("seed").unionByName(free)), "contexts")
     edges = scratch.keep(spans.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")), "edges")
-    wanted = F.explode(F.array(*map(F.lit, KINDS)))
-    believed = None
-    for _ in range(ROUNDS):
-        scored = edges.withColumn("as", F.when(F.col("kind") != "", F.array("kind")).otherwise(F.array(*map(F.lit, KINDS))))
-        scored = scored.select("pattern", "kind", "value", "n", F.explode("as").alias("as"))
-        if believed is None:
-            scored = scored.withColumn("worth", (F.col("kind") == F.col("as")).cast("double"))
-        else:
-            scored = attach(scored, believed, ["value", "as"], "uses", F.col("pattern"), "left")
-            scored = scored.withColumn("worth", F.when(F.col("kind") == F.col("as"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        totals = edges.groupBy("pattern").agg(F.sum("n").alias("all"))
-        sums = scored.groupBy("pattern", "as").agg(F.sum(F.col("n") * F.col("worth")).alias("sum"), F.sum((F.col("worth") >= CONFIDENT).cast("long")).alias("support"))
-        patterns = sums.filter(F.col("support") >= SUPPORT).join(totals, "pattern").withColumn("score", F.col("sum") / F.col("all")).filter(F.col("score") >= CONFIDENT)
-        patterns = scratch.keep(patterns.select("pattern", "as", "score", "all"), "patterns")
-        reached = attach(edges.filter("kind = ''").select("pattern", "value"), patterns, ["pattern"], "all", F.col("value"))
-        reached = reached.filter(_shape(F.col("as"), F.col("value"))).groupBy("value", "as").agg(F.max("score").alias("score"))
-        uses = edges.filter("kind = ''").groupBy("value").agg(F.count("*").alias("uses"))
-        previous, believed = believed, scratch.keep(reached.join(uses, "value"), "believed")
-        if previous is not None and previous.count() == believed.count():
-            break
+    patterns = believe(edges, scratch)
     best = patterns.groupBy("pattern", "all").agg(F.max(F.struct("score", "as")).alias("best"))
     reached = attach(spans.filter("kind = ''"), scratch.keep(best, "best"), ["pattern"], "all", F.col("row"))
     reached = reached.withColumn("as", F.col("best.as")).filter(_shape(F.col("as"), F.col("value")))
     extra = reached.groupBy("row", "start", "end", "value").agg(F.max("best").alias("best")).select("row", F.col("best.as").alias("kind"), "start", "end", "value", F.lit(False).alias("seed"))
-    return source.select("row", "doc_id"), seeds.drop("left").unionByName(extra)
+    return source.select("row", "doc_id"), seeds.drop("last", "second").unionByName(extra)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

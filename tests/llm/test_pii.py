@@ -1,7 +1,8 @@
 import random
 import re
 
-from batchloom.llm.pii import KINDS, discover
+from batchloom.llm.pii import KINDS, believe, discover
+from batchloom.llm.scratch import Scratch
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 DOCS = "doc_id long, text string, row string, kind string, value string"
@@ -58,6 +59,53 @@ def test_contexts_discover_unseen_identifiers(spark, tmp_path):
     assert not any(found[i] for i, _ in other)
 
 
+def test_chains_of_contexts_and_long_words(spark, tmp_path):
+    """Each round's finds make the next context believed; contexts are whole words, however long, and so are addresses."""
+    rng = random.Random(3)
+    long = "w" * 300
+    number = lambda: f"{rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}"
+    base, before = [number() for _ in range(10)], []
+    texts = [f"dial0 +1 {number()}" for _ in range(300)] + [f"dial0 {n}" for n in base]
+    for k in "abcdefg":  # what is new in one context is what the next one needs to be believed
+        new = [number() for _ in range(2)]
+        texts += [f"dial{k} {n}" for n in base + before + new]
+        before = new
+    texts += [f"{long} write a{i}@example.org" for i in range(20)] + [f"{long} write {'x' * 90}{i} [at] example [dot] org" for i in range(3)]
+    found = spans(stored(spark, tmp_path, [*enumerate(texts)]))
+    missed = [t for i, t in enumerate(texts) if not found[i]]
+    assert not missed
+
+
+def test_scores_by_force(spark, tmp_path):
+    rng = random.Random(12)
+    values = [(f"{rng.randrange(100, 999)} 555 {rng.randrange(1000, 9999)}", rng.choice(["phone", "", "", ""])) for _ in range(60)] + [(f"a{i} [at] b", rng.choice(["", "email"])) for i in range(20)]
+    edges = {}
+    for p in range(14):
+        for value, kind in rng.sample(values, rng.randrange(3, 16)):
+            if rng.random() < 0.8 or kind == "":
+                edges[f"p{p}", kind, value] = rng.randrange(1, 4)
+    digits = lambda v: len(re.sub("[^0-9]", "", v))
+    shape = lambda k, v: ("@" in v or "[at" in v) if k == "email" else "[at" not in v and k == "phone" and 7 <= digits(v) <= 15
+    score, before = {}, None
+    while score != before:
+        before, patterns = score, {}
+        for p in {e[0] for e in edges}:
+            own = {e: n for e, n in edges.items() if e[0] == p}
+            for k in KINDS:
+                worth = {e: float(e[1] == k) if e[1] else score.get((e[2], k), 0.0) for e in own if e[1] in ("", k)}
+                mean = sum(own[e] * w for e, w in worth.items()) / sum(own.values())
+                if sum(w >= 0.8 for w in worth.values()) >= 5 and mean >= 0.8:
+                    patterns[p, k] = round(mean, 9)
+        score = {}
+        for (p, k), mean in patterns.items():
+            for q, kind, value in edges:
+                if q == p and kind == "" and shape(k, value):
+                    score[value, k] = max(score.get((value, k), 0.0), int(mean * 1000 + 1e-6) / 1000)
+    table = spark.createDataFrame([(*e, n) for e, n in edges.items()], "pattern string, kind string, value string, n long")
+    found = believe(table, Scratch(spark, "test"))
+    assert {(r["pattern"], r["as"]): round(r["score"], 9) for r in found.collect()} == patterns
+
+
 def test_empty_table(spark, tmp_path):
     rows, found = discover(stored(spark, tmp_path, []))
     assert rows.count() == found.count() == 0
