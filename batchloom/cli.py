@@ -6,13 +6,15 @@ Prints one JSON object with ``version``, ``command`` and ``data`` or ``error``.
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import os
 import sys
 
+from batchloom.functions.digest import instance_key
 from batchloom.plans.ledger import MAX_PAGE_ROWS, cursor, open_cursor
 from batchloom.plans.operations import COMMANDS
-from batchloom.plans.store import Conflict, JobRepository, Rejected
+from batchloom.plans.store import Conflict, JobLauncher, JobRepository, Rejected, redacted
 
 #: Exit codes.
 SUCCESS, USAGE, CONFIGURATION, GUARD, NOT_FOUND, CONFLICT, UNKNOWN, UNAVAILABLE, CONFIRM, DEADLINE, OUTPUT, INTERNAL = *range(11), 70
@@ -39,15 +41,51 @@ def _page(store: JobRepository, query: str, kind: str, filters: dict, size: int,
         df = df.filter(df[column] == value)
     if after:
         df = df.filter(df["id"] > open_cursor(after, query, filters, size)[0])
-    rows = [r.asDict() for r in df.orderBy("id").limit(size).collect()]
+    rows = [redacted(r.asDict()) for r in df.orderBy("id").limit(size).collect()]
     return {"rows": rows, "next": cursor(query, filters, size, [rows[-1]["id"]]) if len(rows) == size else None}
 
 
+def _jobs(name: str | None) -> dict:
+    """The jobs that a module has under ``module:attribute``: by name, what runs one, given a launcher and parameters."""
+    module, _, attribute = (name or "").partition(":")
+    if not module or not attribute:
+        raise ValueError("name the jobs with --jobs module:attribute")
+    try:
+        return getattr(importlib.import_module(module), attribute)
+    except (ImportError, AttributeError) as e:
+        raise ValueError(str(e)) from None
+
+
+_KINDS = {"string": str, "i64": int, "u64": int, "bool": lambda v: {"true": True, "false": False}[v]}
+
+
+def _parameters(given: list[str]) -> dict:
+    """``name=type:value`` each."""
+    out = {}
+    for one in given:
+        name, equals, typed = one.partition("=")
+        kind, colon, value = typed.partition(":")
+        if not equals or not colon or kind not in _KINDS or name in out:
+            raise ValueError("a parameter is given once, as name=type:value")
+        try:
+            out[name] = (kind, _KINDS[kind](value))
+        except KeyError:
+            raise ValueError(f"{name} is no {kind}") from None
+    return out
+
+
+def _launched(store: JobRepository, execution: str) -> tuple[str, dict]:
+    """The job and parameters of an attempt's instance."""
+    instance = store.get("instance", store.get("execution", execution)["instance_id"])
+    return instance["job_name"], {k: tuple(v) for k, v in json.loads(instance["parameters"]).items()}
+
+
 def run(argv: list[str], spark=None) -> tuple[int, dict]:
     parser = argparse.ArgumentParser(prog="batchloom", exit_on_error=False)
     parser.add_argument("words", nargs="+")
-    for name in ("root", "config", "job", "instance", "execution", "operation-id", "actor", "digest", "cursor", "page-size", "expected", "minimum-age"):
+    for name in ("root", "config", "job", "instance", "execution", "operation-id", "actor", "digest", "cursor", "page-size", "expected", "minimum-age", "jobs"):
         parser.add_argument(f"--{name}")
+    parser.add_argument("--param", action="append", default=[])
     parser.add_argument("--confirm", action="store_true")
     parser.add_argument("--dry-run", action="store_true")
     try:
@@ -86,7 +124,7 @@ def run(argv: list[str], spark=None) -> tuple[int, dict]:
         elif name == "instance list":
             data = page("instance", job_name=args.job)
         elif name == "instance show":
-            data = store.get("instance", args.instance)
+            data = redacted(store.get("instance", args.instance))
         elif name == "execution list":
             data = page("execution", instance_id=args.instance)
         elif name == "execution show":
@@ -100,7 +138,15 @@ def run(argv: list[str], spark=None) -> tuple[int, dict]:
         elif name == "execution recover":
             data = store.get("execution", args.execution) if args.dry_run else act("RECOVER", args.execution, expected=int(args.expected))
         elif name in ("launch", "execution restart"):
-            return USAGE, {"error": "jobs are code: launch and restart them with JobLauncher"}
+            job, parameters = (args.job, _parameters(args.param)) if name == "launch" else _launched(store, args.execution)
+            known_jobs = _jobs(args.jobs)
+            if job not in known_jobs:
+                return NOT_FOUND, {"error": f"unknown job: {job}"}
+            if args.dry_run:
+                return SUCCESS, {"data": {"job": job, "instance": instance_key(job, parameters), "attempts": len(store.attempts(instance_key(job, parameters)))}}
+            ended = known_jobs[job](JobLauncher(store), parameters)
+            ended = ended[1] if isinstance(ended, tuple) else ended
+            return {"UNKNOWN": UNKNOWN, "FAILED": INTERNAL}.get(ended["status"], SUCCESS), {"data": ended}
         elif name == "retention plan":
             digest, plan = store.purge_plan(args.job, int(args.minimum_age or 30 * 86400))
             data = {"digest": digest, "candidates": plan.count()}
@@ -114,7 +160,7 @@ def run(argv: list[str], spark=None) -> tuple[int, dict]:
         elif name == "schema status":
             data = {"schema_version": 1, "tables": ["decision", "execution", "instance", "request"]}
         else:
-            data = {kind: [r.asDict() for r in store.table(kind).orderBy("id").limit(MAX_PAGE_ROWS).collect()] for kind in ("instance", "execution", "decision", "request")}
+            data = {kind: [redacted(r.asDict()) for r in store.table(kind).orderBy("id").limit(MAX_PAGE_ROWS).collect()] for kind in ("instance", "execution", "decision", "request")}
             if len(json.dumps(data)) > MAX_BUNDLE_BYTES:
                 return OUTPUT, {"error": "the bundle is too large"}
     except Rejected as e:

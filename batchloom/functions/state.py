@@ -85,3 +85,20 @@ class Codec:
         changed = data != envelope.payload or at != envelope.schema_version
         kept = replace(envelope, schema_version=at, payload=data, checksum=hashlib.sha256(data).hexdigest()) if changed else envelope
         return value, kept
+
+
+@dataclass(frozen=True)
+class ExternalReference:
+    """A state that is kept elsewhere, named by what it holds."""
+
+    sha256: str
+    size: int
+
+    @classmethod
+    def of(cls, data: bytes) -> ExternalReference:
+        return cls(hashlib.sha256(data).hexdigest(), len(data))
+
+    def verified(self, data: bytes) -> bytes:
+        if ExternalReference.of(data) != self:
+            raise StateError("the external state is not the one that was referred to")
+        return data

@@ -7,11 +7,13 @@ or decisions have to be judged at once, the same rules are column functions.
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.functions.digest import manifest
@@ -173,17 +175,54 @@ class CompiledPlan:
 SEVERITY = ("COMPLETED", "STOPPED", "FAILED", "UNKNOWN")
 
 
-def run_split(branches: list[tuple[str, Callable[[], tuple[str, str]]]], workers: int, pool: int) -> tuple[str, str]:
-    """Branches side by side, each one Spark jobs' worth; all are joined, whatever happens to one.
+#: Branches of a split, and steps of a branch.
+MAX_BRANCHES, MAX_BRANCH_STEPS = 8, 8
 
-    The worst status of all, and the exit of the first branch, as declared, that has it.
+
+def run_split(branches: list[tuple[str, Callable | list[Callable]]], workers: int, pool: int, policy: str = "DRAIN", spark: SparkSession | None = None) -> tuple[str, str]:
+    """Branches side by side, each of one to eight steps that give a status and an exit; all are joined, whatever happens to one.
+
+    A branch ends with its first step that is not COMPLETED; a step that raises
+    has FAILED. Under DRAIN the other branches go on to their end; under CANCEL
+    a branch that fails, or whose outcome is unknown, stops them: their running
+    Spark jobs are cancelled and no further step begins. The result is the
+    worst status of all, and the exit of the first branch, as declared, that
+    has it.
     """
-    if not 2 <= len(branches) <= 8:
-        raise PlanError("a split has two to eight branches")
+    steps = [(name, work if isinstance(work, list) else [work]) for name, work in branches]
+    if not 2 <= len(branches) <= MAX_BRANCHES or any(not 1 <= len(w) <= MAX_BRANCH_STEPS for _, w in steps) or len({n for n, _ in steps}) < len(steps):
+        raise PlanError("a split has two to eight branches of one to eight steps, and names them apart")
     if workers + 1 > pool:
         raise PlanError("the pool is too small for the split")
+    if policy not in ("DRAIN", "CANCEL"):
+        raise PlanError("no such policy")
+    run_id, ended = uuid.uuid4().hex, threading.Event()
+
+    def cancel(by: str) -> None:
+        ended.set()
+        for name, _ in steps if spark is not None else ():
+            if name != by:
+                spark.sparkContext.cancelJobGroup(f"{run_id}-{name}")
+
+    def run(name: str, work: list[Callable]) -> tuple[str, str]:
+        if spark is not None:
+            spark.sparkContext.setJobGroup(f"{run_id}-{name}", name, interruptOnCancel=True)
+        status, code = "COMPLETED", "COMPLETED"
+        for step in work:
+            if ended.is_set():
+                return "STOPPED", "STOPPED"
+            try:
+                status, code = step()
+            except Exception as e:
+                status, code = ("STOPPED", "STOPPED") if ended.is_set() else ("FAILED", type(e).__name__)
+            if status != "COMPLETED":
+                break
+        if policy == "CANCEL" and status in ("FAILED", "UNKNOWN"):
+            cancel(name)
+        return status, code
+
     with ThreadPoolExecutor(workers) as threads:
-        done = [f.result() for f in [threads.submit(run) for _, run in branches]]
+        done = [f.result() for f in [threads.submit(run, name, work) for name, work in steps]]
     worst = max((s for s, _ in done), key=SEVERITY.index)
     return worst, next(e for s, e in done if s == worst)
 
@@ -201,7 +240,9 @@ def pattern_regex(pattern: Column) -> Column:
 
 
 def select_targets(exits: DataFrame, edges: DataFrame) -> DataFrame:
-    """``code, pattern, target`` of the most specific edge that fits each code. ``edges`` is a graph's: bounded, and broadcast."""
+    """``code, pattern, target`` of the most specific edge that fits each code. ``edges`` is a graph's: at most MAX_EDGES, and broadcast."""
+    if edges.limit(MAX_EDGES + 1).count() > MAX_EDGES:
+        raise PlanError("too many edges")
     fits = exits.join(F.broadcast(edges), F.expr("code rlike regex"))
     best = F.max_by(F.struct("pattern", "target"), F.struct(specificity(F.col("pattern")), "pattern")).alias("best")
     return fits.groupBy("code").agg(best).select("code", "best.pattern", "best.target")

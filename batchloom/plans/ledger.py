@@ -35,10 +35,13 @@ def instances(spark, sf) -> DataFrame:
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("job_name"), (F.col("c_custkey") % 17 == 0).alias("held"))
 
 
-def executions(spark, sf) -> DataFrame:
-    """Orders as attempts of their customer's instance."""
+def executions(spark, sf, of: DataFrame | None = None) -> DataFrame:
+    """Orders as attempts of their customer's instance; only those of the instances ``of`` (``instance_id``), where given, are numbered."""
     attempt = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("instance_id"), attempt.alias("attempt"), F.expr(_STATUS).alias("status"), F.col("o_orderdate").alias("updated_at"), (F.col("o_orderkey") % 5 + 1).alias("version"))
+    orders = table(spark, sf, "orders")
+    if of is not None:
+        orders = orders.join(of.select(F.col("instance_id").alias("o_custkey")), "o_custkey", "left_semi")
+    return orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("instance_id"), attempt.alias("attempt"), F.expr(_STATUS).alias("status"), F.col("o_orderdate").alias("updated_at"), (F.col("o_orderkey") % 5 + 1).alias("version"))
 
 
 def partitions(spark, sf) -> DataFrame:
@@ -91,17 +94,18 @@ def exp_instances_page(spark, sf):
 
 
 def exp_executions_page(spark, sf):
-    joined = executions(spark, sf).join(instances(spark, sf).filter("job_name = 'BUILDING'").select(F.col("id").alias("instance_id"), "job_name"), "instance_id")
-    return page(joined.select("id", "instance_id", "attempt", "status"), [F.desc("attempt"), F.desc("id")], F.expr("struct(attempt, id) < struct(9L, 9000L)"), F.col("id") <= 14000, 40)
+    building = instances(spark, sf).filter("job_name = 'BUILDING'").select(F.col("id").alias("instance_id"))
+    return page(executions(spark, sf, building).select("id", "instance_id", "attempt", "status"), [F.desc("attempt"), F.desc("id")], F.expr("struct(attempt, id) < struct(9L, 9000L)"), F.col("id") <= 14000, 40)
 
 
 def exp_execution(spark, sf):
-    joined = executions(spark, sf).filter("id = 77").join(instances(spark, sf).select(F.col("id").alias("instance_id"), "job_name"), "instance_id")
+    mine = table(spark, sf, "orders").filter("o_orderkey = 77").select(F.col("o_custkey").alias("instance_id"))
+    joined = executions(spark, sf, mine).filter("id = 77").join(instances(spark, sf).select(F.col("id").alias("instance_id"), "job_name"), "instance_id")
     return joined.select("id", "job_name", "attempt", "status", "version")
 
 
 def exp_steps_page(spark, sf):
-    steps = partitions(spark, sf).filter("pid between 100 and 400").select("pid", "key", "status")
+    steps = partitions(spark, sf).select("pid", "key", "status")
     return page(steps, [F.asc("pid"), F.asc("key")], F.expr("struct(pid, key) > struct(200L, '')"), None, 60)
 
 
@@ -120,7 +124,7 @@ def exp_recovery(spark, sf):
 
 
 def exp_flow_decisions(spark, sf):
-    decisions = table(spark, sf, "events").filter("user_id % 10 = 3").select(F.col("event_id").alias("id"), F.expr("event_id div 10").alias("sequence"), F.col("event_type").alias("node"))
+    decisions = table(spark, sf, "events").filter("user_id = 3").select(F.col("event_id").alias("id"), F.expr("event_id div 10").alias("sequence"), F.col("event_type").alias("node"))
     return page(decisions, [F.asc("sequence"), F.asc("id")], F.expr("struct(sequence, id) > struct(100L, 1003L)"), None, 50)
 
 
@@ -173,13 +177,28 @@ def led_latest_step(spark, sf):
     return joined.groupBy("instance_id", "step").agg(F.max_by("id", F.struct("attempt", "id")).alias("id"))
 
 
+def provenance(reused: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``reused`` decisions that an earlier one of their instance stands behind.
+
+    It has the same node, outcome, target and terminal kind and the same input
+    digest, null like null. Only the first of such decisions matters, so each
+    key comes down to one row before it is compared.
+    """
+    keys = ["instance_id", "node", "outcome", "target", "terminal", "digest"]
+    first = decisions.groupBy(*[F.col(k).alias(f"s_{k}") for k in keys]).agg(F.min("seq").alias("s_seq"))
+    same = F.col("seq") > F.col("s_seq")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"s_{k}"))
+    return reused.join(first, same, "left_semi")
+
+
 def led_decision_provenance(spark, sf):
-    """Decisions that an earlier one stands behind: same user and digest, a null digest equal to a null one."""
-    digest = F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 6)
-    decisions = table(spark, sf, "events").select("event_id", "user_id", "event_type", digest.alias("digest"))
-    source = decisions.filter("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.col("digest").alias("d"))
-    here = decisions.filter("event_type = 'view'")
-    return here.join(source, (here["user_id"] == source["u"]) & here["digest"].eqNullSafe(source["d"]), "left_semi").select("event_id", "user_id")
+    """Views as reused decisions, purchases as those made; a user is an instance, and the id tells the rest."""
+    at = F.col("event_id")
+    made = table(spark, sf, "events").select(at.alias("seq"), F.col("user_id").alias("instance_id"), "event_type", (at % 2).alias("outcome"), (at % 3).alias("target"), F.when(at % 3 == 0, "COMPLETE").alias("terminal"), F.when(at % 4 != 0, at % 6).alias("digest"))
+    made = made.withColumn("node", F.lit("load"))
+    found = provenance(made.filter("event_type = 'view'"), made.filter("event_type = 'purchase'"))
+    return found.select(F.col("seq").alias("event_id"), F.col("instance_id").alias("user_id"))
 
 
 def led_invariant_unresolved(spark, sf):
@@ -299,10 +318,10 @@ ORACLES = {
     "exp_instances_page": f"SELECT id, job_name FROM {SQL_I} WHERE id < 1200 AND id <= 1400 ORDER BY id DESC LIMIT 50",
     "exp_executions_page": f"SELECT e.id, instance_id, attempt, status FROM {SQL_E} e JOIN {SQL_I} i ON i.id = instance_id WHERE job_name = 'BUILDING' AND (attempt, e.id) < (9, 9000) AND e.id <= 14000 ORDER BY attempt DESC, e.id DESC LIMIT 40",
     "exp_execution": f"SELECT e.id, job_name, attempt, status, version FROM {SQL_E} e JOIN {SQL_I} i ON i.id = instance_id WHERE e.id = 77",
-    "exp_steps_page": f"SELECT pid, key, status FROM {SQL_P} WHERE pid BETWEEN 100 AND 400 AND (pid, key) > (200, '') ORDER BY pid, key LIMIT 60",
+    "exp_steps_page": f"SELECT pid, key, status FROM {SQL_P} WHERE (pid, key) > (200, '') ORDER BY pid, key LIMIT 60",
     "exp_unresolved": f"SELECT id, status FROM {SQL_E} WHERE status IN {_OPEN} AND updated_at < TIMESTAMP '{CLOCK}' - INTERVAL 30 DAYS AND id > 500 ORDER BY id LIMIT 100",
     "exp_recovery": f"SELECT id, version FROM {SQL_E} WHERE status = 'ABANDONED' AND (id, version) > (1000, 2) ORDER BY id, version LIMIT 50",
-    "exp_flow_decisions": "SELECT event_id AS id, event_id // 10 AS sequence, event_type AS node FROM events WHERE user_id % 10 = 3 AND (event_id // 10, event_id) > (100, 1003) ORDER BY 2, 1 LIMIT 50",
+    "exp_flow_decisions": "SELECT event_id AS id, event_id // 10 AS sequence, event_type AS node FROM events WHERE user_id = 3 AND (event_id // 10, event_id) > (100, 1003) ORDER BY 2, 1 LIMIT 50",
     "exp_partitions": f"SELECT pid, key, status FROM {SQL_P} WHERE pid IN (40, 41) ORDER BY pid, key LIMIT 100",
     "exp_operator_requests": "SELECT event_id AS id, user_id AS target FROM events WHERE event_type = 'signup' AND event_id < 8000 ORDER BY id DESC LIMIT 50",
     "exp_page_bytes": f"SELECT id, cum_bytes FROM (SELECT id, CAST(sum(octet_length(encode(job_name)) + 8) OVER (ORDER BY id) AS BIGINT) AS cum_bytes FROM (SELECT * FROM {SQL_I} ORDER BY id LIMIT 500)) WHERE cum_bytes <= 4096",
@@ -311,8 +330,10 @@ ORACLES = {
     "led_next_attempt": "SELECT c_custkey AS instance_id, CAST(coalesce(n, 0) + 1 AS BIGINT) AS next_attempt FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey",
     "led_launch_eligibility": f"SELECT instance_id, CASE WHEN s IN ('STOPPED', 'FAILED') THEN 'LAUNCH' WHEN s = 'COMPLETED' THEN 'REJECT_COMPLETED' WHEN s = 'ABANDONED' THEN 'REJECT_ABANDONED' ELSE 'REJECT_ACTIVE' END AS verdict FROM (SELECT instance_id, arg_max(status, attempt) AS s FROM {SQL_E} GROUP BY 1)",
     "led_latest_step": f"SELECT instance_id, step, id FROM (SELECT instance_id, l_linenumber AS step, e.id, row_number() OVER (PARTITION BY instance_id, l_linenumber ORDER BY attempt DESC, e.id DESC) AS r FROM lineitem JOIN {SQL_E} e ON e.id = l_orderkey) WHERE r = 1",
-    "led_decision_provenance": """WITH d AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 4 <> 0 THEN event_id % 6 END AS digest FROM events)
-        SELECT event_id, user_id FROM d WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM d s WHERE s.event_type = 'purchase' AND s.user_id = d.user_id AND s.digest IS NOT DISTINCT FROM d.digest)""",
+    "led_decision_provenance": """WITH d AS (SELECT event_id, user_id, event_type, event_id % 2 AS outcome, event_id % 3 AS target, CASE WHEN event_id % 3 = 0 THEN 'COMPLETE' END AS terminal,
+        CASE WHEN event_id % 4 <> 0 THEN event_id % 6 END AS digest FROM events)
+        SELECT event_id, user_id FROM d WHERE event_type = 'view' AND EXISTS (SELECT 1 FROM d s WHERE s.event_type = 'purchase' AND s.event_id < d.event_id AND s.user_id = d.user_id AND s.outcome = d.outcome
+        AND s.target = d.target AND s.terminal IS NOT DISTINCT FROM d.terminal AND s.digest IS NOT DISTINCT FROM d.digest)""",
     "led_invariant_unresolved": f"SELECT instance_id, count(*) AS unresolved FROM {SQL_E} WHERE status IN {_OPEN} GROUP BY 1 HAVING count(*) > 1",
     "led_cas_conflicts": f"SELECT id, id % 3 + 1 AS expected, version AS stored FROM {SQL_E} WHERE id % 3 + 1 <> version",
     "state_latest": "SELECT user_id AS step, event_type AS namespace, max(event_id) AS version, arg_max(props, event_id) AS payload FROM events GROUP BY 1, 2",

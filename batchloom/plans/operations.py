@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.plans.ledger import _OPEN, CLOCK, SQL_E, SQL_I, SQL_P, UNRESOLVED, executions, instances, partitions
-from batchloom.session import table
+from batchloom.plans.store import CAPABILITIES, JobLauncher, JobRepository
+from batchloom.session import folder, table
 
 #: Bounds of recovery and retention.
 RECOVERY_MINUTES, MIN_PURGE_AGE_HOURS, MAX_PURGE_BATCH = 15, 1, 1000
@@ -20,9 +21,6 @@ COMMANDS = [
     ("retention plan", "READ", False, False), ("retention apply", "DESTRUCTIVE", True, False), ("retention hold", "DESTRUCTIVE", False, False), ("retention release", "DESTRUCTIVE", False, False),
     ("config show", "READ", False, False), ("schema status", "READ", False, False), ("diagnostics bundle", "READ", False, False),
 ]
-#: Capabilities a repository may declare.
-CAPABILITIES = ("operator requests", "durable stop requests", "execution ownership evidence", "instance holds", "retention purge", "durable step partitions")
-
 
 def _now() -> Column:
     return F.expr(f"CAST('{CLOCK}' AS TIMESTAMP_NTZ)")
@@ -96,9 +94,9 @@ def retention_counts(spark, sf):
 def op_idempotency(spark, sf):
     """Requests by first arrival: the first applies, the same again is a replay, another digest under its id a conflict."""
     requests = table(spark, sf, "events").select("event_id", F.col("event_type").alias("action"), (F.col("event_id") % 500).alias("operation_id"), (F.expr("event_id div 2000") % 2).alias("digest"))
-    first = Window.partitionBy("action", "operation_id").orderBy("event_id")
-    outcome = F.when(F.row_number().over(first) == 1, "APPLIED").when(F.col("digest") == F.first("digest").over(first), "REPLAYED").otherwise("CONFLICT")
-    return requests.withColumn("outcome", outcome).select("event_id", "action", "operation_id", "outcome")
+    first = requests.groupBy("action", "operation_id").agg(F.min(F.struct("event_id", "digest")).alias("first"))
+    outcome = F.when(F.col("event_id") == F.col("first.event_id"), "APPLIED").when(F.col("digest") == F.col("first.digest"), "REPLAYED").otherwise("CONFLICT")
+    return requests.join(first, ["action", "operation_id"]).select("event_id", "action", "operation_id", outcome.alias("outcome"))
 
 
 def op_command_class(spark, sf):
@@ -120,17 +118,28 @@ def cfg_precedence(spark, sf):
 
 
 def cap_missing(spark, sf):
-    """Required capabilities that a repository does not declare."""
-    required = spark.createDataFrame([(c,) for c in CAPABILITIES], "capability string")
-    declared = spark.createDataFrame([(c,) for c in CAPABILITIES if "hold" not in c and "purge" not in c], "capability string")
-    return required.join(F.broadcast(declared), "capability", "left_anti")
+    """Capabilities that a repository without holds and purging lacks, as it says itself."""
+
+    class Plain(JobRepository):
+        _do_hold = _do_release = purge = None
+
+    missing = Plain(spark, folder(spark)).missing(frozenset(CAPABILITIES))
+    return spark.createDataFrame([(c,) for c in missing], "capability string")
 
 
 OUTCOMES = [("Completed", "COMPLETED", "COMPLETED"), ("CompletedWith", "COMPLETED", "PARTIAL"), ("Stopped", "STOPPED", "STOPPED"), ("Unknown", "UNKNOWN", "UNKNOWN"), ("Error", "FAILED", "FAILED")]
 
 
 def tasklet_status(spark, sf):
-    return spark.createDataFrame(OUTCOMES, "outcome string, status string, exit string")
+    """What a launcher records for each way in which a tasklet can end."""
+
+    def fail(stop):
+        raise RuntimeError
+
+    launcher = JobLauncher(JobRepository(spark, folder(spark)))
+    works = {"Completed": lambda stop: "COMPLETED", "CompletedWith": lambda stop: "PARTIAL", "Stopped": lambda stop: "STOPPED", "Unknown": lambda stop: "UNKNOWN", "Error": fail}
+    ended = [(name, launcher.run(name, {}, work)) for name, work in works.items()]
+    return spark.createDataFrame([(name, e["status"], e["exit"]) for name, e in ended], "outcome string, status string, exit string")
 
 
 _FUNCTIONS = (rec_snapshot, rec_candidates, ret_survey, ret_apply_remaining, ret_stale_plan, ret_holds, retention_counts, op_idempotency, op_command_class, cfg_precedence, cap_missing, tasklet_status)

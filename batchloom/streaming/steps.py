@@ -67,6 +67,26 @@ class Ledger:
         finally:
             stream.close()
 
+    def bytes(self, name: str) -> bytes:
+        stream = self.fs.open(self._path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
+    def publish(self, name: str, data: bytes) -> None:
+        """A file whose name says what it holds: it does not matter who of several puts it there."""
+        self.fs.mkdirs(self._path(self.path))
+        aside = f"{self.path}/.{uuid.uuid4().hex}"
+        try:
+            self._publish(aside, name, data)
+        except Exception:
+            if not self.exists(name):
+                raise
+        finally:
+            if self.exists(aside):
+                self.delete(aside)
+
     def _write(self, name: str, data: bytes) -> None:
         stream = self.fs.create(self._path(name), False)
         stream.write(bytearray(data))
@@ -206,6 +226,8 @@ class ChunkStep:
     of it. ``in_flight`` says what a stop does to the batches of a wave that is
     written: FINISH commits them, ROLLBACK leaves them to the next attempt.
     ``completed`` is told of each record after its commit and may ask to stop.
+    Writes that raise one of ``retryable`` are tried again as often as
+    ``retries`` (durable, so that a restart goes on counting) allows.
     """
 
     name: str
@@ -223,6 +245,8 @@ class ChunkStep:
     listeners: dict[str, Listeners] = field(default_factory=dict)
     streams: list[ItemStream] = field(default_factory=list)
     in_flight: str = "FINISH"
+    retries: object = None
+    retryable: tuple[type[Exception], ...] = ()
     completed: Callable[[dict], bool] = field(default=lambda record: False)
 
     def resolved(self, items: DataFrame) -> DataFrame:
@@ -278,7 +302,7 @@ class ChunkStep:
                 part = filled.filter(F.col("_batch").between(rows[0]["_batch"], rows[-1]["_batch"]) & good).drop("bad", "_skip", "_retries", "_rolled", "_end")
                 if done:
                     part = part.filter(~F.col("_batch").isin([b for b in done if rows[0]["_batch"] <= b <= rows[-1]["_batch"]]))
-                self._write(part, [row["_batch"] for row in rows], path)
+                self._write_again(ledger, part, [row["_batch"] for row in rows], path)
                 for row in rows:
                     if self.in_flight == "ROLLBACK" and stop():
                         return "STOPPED"
@@ -295,6 +319,18 @@ class ChunkStep:
             return {"STOP": "STOPPED", "UNKNOWN": "UNKNOWN"}[end["kind"]]
         raise StepFailed(f"{self.name}: chunk {failing} failed" if end["kind"] == "FAIL" else f"{self.name}: more than {self.skip_limit} skips")
 
+    def _write_again(self, ledger: Ledger, part: DataFrame, batches: list[int], path: str) -> None:
+        def work() -> None:
+            for batch in batches:
+                if ledger.exists(f"{path}/data/batch={batch}"):
+                    ledger.delete(f"{path}/data/batch={batch}")
+            self._write(part, batches, path)
+
+        if self.retries is None:
+            self._write(part, batches, path)
+        else:
+            self.retries.run(self.retries.key("", self.name, "write", str(batches[0]).encode(), 0), work, self.retryable)
+
     def _write(self, part: DataFrame, batches: list[int], path: str) -> None:
         """All batches with one job where ``process`` leaves the column ``_batch`` in place, else with one for each."""
         out = self.process(part)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +19,15 @@ MAX_SERIES, MAX_PER_EXECUTION, MAX_EVENTS, MAX_QUEUE = 200, 200, 4096, 65536
 def fold_series(events: DataFrame, family: str, series: str, order: str, limit: int = MAX_SERIES) -> DataFrame:
     """``family, series, n``: the series seen first keep their name, all beyond the bound count as one.
 
-    Series are counted before they are ranked, so a rank looks at one row per
-    series, and the table of first-seen series is at most ``limit`` a family.
+    Series are counted before they are ranked, and each task sends on no more
+    than ``limit`` of a family to be ranked with those of others.
     """
     counted = events.groupBy(family, series).agg(F.count("*").alias("n"), F.min(order).alias("first"))
     rank = F.row_number().over(Window.partitionBy(family).orderBy("first"))
-    folded = counted.withColumn("series", F.when(rank < limit, F.col(series).cast("string")).otherwise("__other__"))
-    return folded.groupBy(F.col(family).alias("family"), "series").agg(F.sum("n").alias("n"))
+    named = counted.withColumn("_rank", rank).filter(F.col("_rank") < limit).select(family, series, "n")
+    rest = counted.groupBy(family).agg(F.sum("n").alias("all")).join(named.groupBy(family).agg(F.sum("n").alias("of_named")), family, "left")
+    other = rest.select(F.col(family).alias("family"), F.lit("__other__").alias("series"), (F.col("all") - F.coalesce("of_named", F.lit(0))).alias("n")).filter("n > 0")
+    return named.select(F.col(family).alias("family"), F.col(series).cast("string").alias("series"), "n").unionByName(other)
 
 
 def last_events(events: DataFrame, key: str, order: list[str], each: int, total: int = MAX_EVENTS) -> DataFrame:
@@ -45,6 +52,52 @@ def export_queue_drop(spark, sf, bound: int = 64):
     return flushes.agg(F.sum(F.col("n") - dropped).alias("accepted"), F.sum(dropped).alias("dropped"), F.count_if(dropped > 0).alias("reports_due"))
 
 
+class Exporter:
+    """A bounded queue of records before a sink; what comes while it is full is dropped and counted, never waited for.
+
+    ``flush`` hands on all that is queued at its start, in batches, and says
+    how much was written, dropped since the last flush, and left because the
+    sink failed or the deadline passed; a failing sink loses nothing that is
+    queued. A window with drops is reported once.
+    """
+
+    def __init__(self, sink: Callable[[list[dict]], None], bound: int = MAX_QUEUE, batch: int = 512, clock: Callable[[], float] = time.monotonic):
+        if not 1 <= bound <= MAX_QUEUE:
+            raise ValueError("the queue holds 1 to 65,536 records")
+        self.sink, self.bound, self.batch, self.clock = sink, bound, batch, clock
+        self.queue: deque[dict] = deque()
+        self.lock, self.flushing = threading.Lock(), threading.Lock()
+        self.dropped = self.reports = 0
+
+    def offer(self, record: dict) -> bool:
+        with self.lock:
+            if len(self.queue) >= self.bound:
+                self.dropped += 1
+                return False
+            self.queue.append(record)
+            return True
+
+    def flush(self, deadline: float = 30.0) -> dict:
+        end, written, failure = self.clock() + deadline, 0, None
+        with self.flushing:
+            with self.lock:
+                left, dropped, self.dropped = len(self.queue), self.dropped, 0
+                self.reports += dropped > 0
+            while left and failure is None and self.clock() < end:
+                with self.lock:
+                    part = [self.queue[i] for i in range(min(left, self.batch))]
+                try:
+                    self.sink(part)
+                except Exception as e:
+                    failure = type(e).__name__
+                    break
+                with self.lock:
+                    for _ in part:
+                        self.queue.popleft()
+                left, written = left - len(part), written + len(part)
+        return {"written": written, "dropped": dropped, "left": left, "failure": failure}
+
+
 #: Growth vectors: samples of a warm-up and of the measured window.
 VECTORS = {
     "constant-leak": ([100, 200, 300, 400, 500], [1000 + 100 * i for i in range(12)]),

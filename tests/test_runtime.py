@@ -1,11 +1,16 @@
 import threading
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from batchloom.functions.state import Codec, Envelope, StateError, encode
-from batchloom.plans.flow import PlanError
+from batchloom.operators.ordering import number_rows, released
+from batchloom.plans.flow import PlanError, run_split
 from batchloom.plans.partitioned import Retries, run_partitioned
 from batchloom.streaming.listeners import ListenerError, Listeners, Shutdown
+from batchloom.streaming.steps import ChunkStep
+from batchloom.streaming.telemetry import Exporter
 
 
 def test_state_upgrades_and_checks():
@@ -85,3 +90,83 @@ def test_shutdown_drains_and_escalates(spark):
     assert shutdown.request() == "ESCALATED"
     with pytest.raises(ValueError):
         Shutdown(spark, 0)
+
+
+def test_split_policies(spark):
+    def fail():
+        raise OSError
+
+    ran = []
+    step = lambda n: lambda: ran.append(n) or ("COMPLETED", f"E{n}")
+    assert run_split([("a", [fail, step(1)]), ("b", [step(2), step(3)])], 2, 3) == ("FAILED", "OSError") and sorted(ran) == [2, 3]
+    ran.clear()
+    blocked = threading.Event()
+
+    def wait():
+        blocked.set()
+        list(spark.range(2).repartition(2).toDF("n").mapInArrow(_sleep, "n long").toLocalIterator())
+        return "COMPLETED", "COMPLETED"
+
+    def fail_then():
+        blocked.wait(20)
+        time.sleep(1)
+        raise OSError
+
+    began = time.monotonic()
+    assert run_split([("a", [wait, step(1)]), ("b", [fail_then]), ("c", step(4))], 3, 4, "CANCEL", spark) == ("FAILED", "OSError")
+    assert ran == [4] and time.monotonic() - began < 40
+    for bad in (dict(branches=[("a", fail)]), dict(branches=[("a", fail), ("a", fail)]), dict(branches=[("a", [fail] * 9), ("b", fail)]), dict(policy="OTHER"), dict(pool=2)):
+        with pytest.raises(PlanError):
+            run_split(**{"branches": [("a", fail), ("b", fail)], "workers": 2, "pool": 3} | bad)
+
+
+def _sleep(batches):
+    time.sleep(60)
+    yield from batches
+
+
+def test_exporter_drops_and_flushes():
+    wrote, down = [], []
+
+    def sink(records):
+        if down:
+            raise OSError
+        wrote.extend(records)
+
+    exporter = Exporter(sink, 5, batch=2)
+    assert [exporter.offer({"n": n}) for n in range(7)] == [True] * 5 + [False] * 2
+    down.append(1)
+    assert exporter.flush() == {"written": 0, "dropped": 2, "left": 5, "failure": "OSError"}
+    down.clear()
+    assert exporter.flush() == {"written": 5, "dropped": 0, "left": 0, "failure": None} and exporter.reports == 1
+    assert [r["n"] for r in wrote] == list(range(5)) and exporter.flush()["written"] == 0
+    exporter.offer({})
+    assert exporter.flush(deadline=0)["left"] == 1
+    with pytest.raises(ValueError):
+        Exporter(sink, 0)
+
+
+def test_writes_are_tried_again(spark, tmp_path):
+    tries = []
+
+    def process(df):
+        tries.append(1)
+        if len(tries) < 3:
+            raise TimeoutError
+        return df
+
+    def step(limit, name):
+        return ChunkStep("import", ["id"], F.lit(False), F.lit(True), process, size=2, per_commit=1, retries=Retries(spark, str(tmp_path / name), limit, sleep=lambda s: None), retryable=(TimeoutError,))
+
+    with pytest.raises(TimeoutError):
+        step(1, "r").run(spark, spark.range(5), str(tmp_path / "job"))
+    assert step(2, "r").run(spark, spark.range(5), str(tmp_path / "job"))[1].commits == 3 and len(tries) == 3
+    assert spark.read.parquet(str(tmp_path / "job/data")).count() == 5
+
+
+def test_ranges_are_released(spark):
+    count = lambda: spark.sparkContext._jsc.getPersistentRDDs().size()
+    before = count()
+    with released():
+        assert number_rows(spark.range(9), ["id"]).count() == 9 and count() > before
+    assert count() == before

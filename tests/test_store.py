@@ -1,10 +1,13 @@
+import json
+import os
 import threading
 
 import pytest
 
-from batchloom.cli import CONFIRM, CONFLICT, GUARD, NOT_FOUND, SUCCESS, USAGE, resolve, run
+from batchloom.cli import CONFIRM, CONFLICT, GUARD, NOT_FOUND, SUCCESS, UNKNOWN, USAGE, resolve, run
+from batchloom.functions.state import StateError
 from batchloom.plans.flow import FlowGraph
-from batchloom.plans.store import Conflict, JobLauncher, JobRepository, Rejected
+from batchloom.plans.store import CAPABILITIES, Conflict, JobLauncher, JobRepository, Rejected, StateStore, TaskletPool
 from batchloom.streaming.steps import Ledger
 
 DAY = {"day": ("string", "2024-01-01")}
@@ -184,3 +187,65 @@ def test_precedence():
     found = resolve({"root": "a"}, {"BATCHLOOM_ROOT": "b", "BATCHLOOM_PAGE_SIZE": "7"}, {"root": "c"})
     assert found == {"root": ("a", "option"), "page_size": ("7", "env")}
     assert resolve({}, {}, {})["page_size"] == ("100", "default")
+
+
+JOBS = {"import": lambda launcher, parameters: launcher.run("import", parameters, lambda stop: FAILING.pop() if FAILING else "COMPLETED"),
+        "flow": lambda launcher, parameters: launcher.run_flow("flow", parameters, FlowGraph("load", ["load"]).sequence("load", "COMPLETE").compile(), {"load": lambda: "COMPLETED"})}
+FAILING: list[str] = []
+
+
+def test_launch_and_restart_by_command(store, spark, monkeypatch):
+    monkeypatch.syspath_prepend(os.path.dirname(__file__))
+    root = ["--root", store.root, "--jobs", "test_store:JOBS"]
+    import test_store as here
+
+    here.FAILING.append("STOPPED")
+    day = ["--job", "import", "--param", "day=string:2024-01-01", "--param", "n=i64:7", "--param", "full=bool:true"]
+    assert run(["launch", *root, *day, "--dry-run"], spark)[1]["data"]["attempts"] == 0
+    code, out = run(["launch", *root, *day], spark)
+    assert (code, out["data"]["status"]) == (SUCCESS, "STOPPED")
+    code, out = run(["execution", "restart", *root, "--execution", out["data"]["id"]], spark)
+    assert (code, out["data"]["status"], out["data"]["attempt"]) == (SUCCESS, "COMPLETED", 2)
+    assert run(["execution", "restart", *root, "--execution", out["data"]["id"]], spark) == (GUARD, {"error": "INSTANCE_COMPLETED"})
+    here.FAILING.append("UNKNOWN")
+    assert run(["launch", *root, "--job", "import", "--param", "day=string:x"], spark)[0] == UNKNOWN
+    assert run(["launch", *root, "--job", "flow"], spark)[1]["data"]["status"] == "COMPLETED"
+    assert run(["launch", *root, "--job", "none"], spark)[0] == NOT_FOUND
+    for bad in (["--param", "day"], ["--param", "n=i64:x"], ["--param", "f=bool:yes"], ["--param", "a=other:1"]):
+        assert run(["launch", *root, "--job", "import", *bad], spark)[0] == USAGE
+    assert run(["launch", "--root", store.root, "--job", "import"], spark)[0] == USAGE
+    for words in (["diagnostics", "bundle"], ["instance", "list"]):
+        shown = json.dumps(run([*words, "--root", store.root], spark)[1])
+        assert "2024-01-01" not in shown and "<redacted>" in shown and "i64" in shown
+
+
+def test_capabilities(store):
+    class Plain(JobRepository):
+        purge = None
+
+    assert store.missing(frozenset(CAPABILITIES)) == [] and store.missing(frozenset({"teleport"})) == ["teleport"]
+    with pytest.raises(Rejected, match="CAPABILITY_MISSING"):
+        Plain(store.spark, store.root).require(frozenset({"retention purge"}))
+
+
+def test_external_states_are_checked(store, spark, tmp_path):
+    states = StateStore(spark, str(tmp_path / "states"))
+    data = bytes(range(256)) * 9
+    reference = states.put(data)
+    assert states.put(data) == reference and states.get(reference) == data and len(os.listdir(tmp_path / "states")) == 1
+    (tmp_path / "states" / reference.sha256).write_bytes(data[:-1])
+    with pytest.raises(StateError, match="not the one"):
+        states.get(reference)
+    with pytest.raises(StateError, match="gone"):
+        states.get(StateStore(spark, str(tmp_path / "other")).put(b"x"))
+
+
+def test_blocking_tasklets_are_bounded():
+    pool, go = TaskletPool(2), threading.Event()
+    running = [pool.submit(go.wait) for _ in range(2)]
+    with pytest.raises(Rejected, match="TASKLET_CAPACITY"):
+        pool.submit(go.wait)
+    go.set()
+    assert all(r.result() for r in running)
+    assert pool.submit(lambda: 3).result() == 3
+    pool.close()
