@@ -17,7 +17,8 @@ from batchloom.llm.words import mix, pack, steps, unpack, words
 #: Lines match from this Jaccard similarity of their sets of words on, in hundredths.
 PERCENT = 75
 #: Rarity is told by counts in so many hashed slots over all lines; a table of one byte each.
-SLOTS = 1 << 22
+SLOT_BITS = 22
+SLOTS = 1 << SLOT_BITS
 #: Parts in which the table is counted, and tasks whose counts one task sums.
 PARTS, FAN = 64, 64
 #: Characters of documents that a task works on at a time, and of the corpus for one bucket of the index.
@@ -37,7 +38,7 @@ _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slot(x: np.ndarray) -> np.ndarray:
-    return (mix(x) >> np.uint64(64 - 22)).astype(np.int64)
+    return (mix(x) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _level(uses: np.ndarray) -> np.ndarray:
@@ -98,14 +99,14 @@ def _texts(batches):
 
 def _uses(batches):
     """How often this task's words use each slot, in PARTS rows, and as part -1 the bytes it read."""
-    counts, total = np.zeros(SLOTS, np.int64), 0
+    counts, total = np.zeros(SLOTS, np.uint32), 0
     for _, texts in _texts(batches):
         data = b"\n".join(texts)
         np.add.at(counts, _slot(words(data)[1]), 1)
         total += len(data)
     parts = np.split(counts, PARTS)
     task = TaskContext.get().partitionId()
-    yield pa.RecordBatch.from_arrays([pa.array([task] * (PARTS + 1), pa.int64()), pa.array([*range(PARTS), -1], pa.int32()), pa.array([*map(_sparse, parts), _sparse(np.array([total]))], pa.binary())], names=["task", "part", "uses"])
+    yield pa.RecordBatch.from_arrays([pa.array([task] * (PARTS + 1), pa.int64()), pa.array([*range(PARTS), -1], pa.int32()), pa.array([*map(_sparse, parts), _sparse(np.array([total], np.int64))], pa.binary())], names=["task", "part", "uses"])
 
 
 def _sparse(counts: np.ndarray) -> bytes:
@@ -113,12 +114,18 @@ def _sparse(counts: np.ndarray) -> bytes:
     return pack(used.astype(np.uint32), counts[used].astype(np.uint64))
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    counts = np.zeros(SLOTS // PARTS, np.int64)
-    for data in table.column("uses"):
-        at, n = unpack(data.as_py(), np.uint32, np.uint64)
-        counts[at] += n.astype(np.int64)
-    return pa.table({"task": table.column("group")[:1], "part": table.column("part")[:1], "uses": pa.array([_sparse(counts)], pa.binary())})
+def _sum(last: bool):
+    """Sums of the counts of a part; as the levels of its slots, and their sum, if these are the last."""
+
+    def run(table: pa.Table) -> pa.Table:
+        counts = np.zeros(SLOTS // PARTS, np.int64)
+        for data in table.column("uses"):
+            at, n = unpack(data.as_py(), np.uint32, np.uint64)
+            counts[at] += n.astype(np.int64)
+        uses = pack(_level(counts), counts.sum(keepdims=True)) if last else _sparse(counts)
+        return pa.table({"task": table.column("group")[:1], "part": table.column("part")[:1], "uses": pa.array([uses], pa.binary())})
+
+    return run
 
 
 def rarity(source: DataFrame, scratch: Scratch):
@@ -129,24 +136,26 @@ def rarity(source: DataFrame, scratch: Scratch):
     """
     tasks = source.rdd.getNumPartitions()
     counts = source.mapInArrow(_uses, "task long, part int, uses binary")
-    while True:
-        summed = counts.withColumn("group", F.expr(f"task div {FAN}")).groupBy("part", "group").applyInArrow(_sum, "task long, part int, uses binary")
-        tasks = -(-tasks // FAN)
-        if tasks <= 1:
-            break
-        counts = scratch.keep(summed, "uses")
-    found, total = np.zeros(SLOTS, np.int64), 0
-    for r in summed.collect():
-        at, n = unpack(bytes(r["uses"]), np.uint32, np.uint64)
+    while tasks > FAN:
+        counts, tasks = scratch.keep(_summed(counts, False), "uses"), -(-tasks // FAN)
+    levels, uses, total = np.zeros(SLOTS, np.uint8), 0, 0
+    for r in _summed(counts, True).collect():
+        level, n = unpack(bytes(r["uses"]), np.uint8, np.int64)
         if r["part"] < 0:
-            total = int(n.sum())
+            total = int(n[0])
         else:
-            found[r["part"] * (SLOTS // PARTS) + at] = n
-    return source.sparkSession.sparkContext.broadcast(_level(found)), int(_level(found.sum() * COMMON)), total
+            levels[r["part"] * len(level) : (r["part"] + 1) * len(level)] = level
+            uses += int(n[0])
+    return source.sparkSession.sparkContext.broadcast(levels), int(_level(uses * COMMON)), total
+
 
+def _summed(counts: DataFrame, last: bool) -> DataFrame:
+    grouped = counts.withColumn("group", F.expr(f"task div {FAN}")).groupBy("part", "group")
+    return grouped.applyInArrow(_sum(last), "task long, part int, uses binary")
 
-#: Of an entry: cell of a word, set, two words of a bitmap, row, line, size, place in the prefix, and number of the line in its block.
-_ENTRY = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
+
+#: Of an entry: cell of a word, set, three words of a bitmap, row, line, size, place in the prefix, and number of the line in its block.
+_ENTRY = (np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
 
 
 def _entries(levels, common: int, buckets: int):
@@ -169,10 +178,11 @@ def _entries(levels, common: int, buckets: int):
             is_first[np.minimum.reduceat(order, np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])))] = True
             gone = ~is_first
             yield _batch([-1], [pack(x.row[gone], x.line[gone])], rows[0])
-            bit = mix(x.words * _M2) >> np.uint64(57)
+            bit = mix(x.words * _M2)
+            third = ((bit >> np.uint64(32)) * np.uint64(3)) >> np.uint64(32)
             level = table[_slot(x.words)]
             one = np.where(level < common, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0))
-            low, high = np.bitwise_or.reduceat(np.where(bit < 64, one, np.uint64(0)), x.at), np.bitwise_or.reduceat(np.where(bit >= 64, one, np.uint64(0)), x.at)
+            bits = [np.bitwise_or.reduceat(np.where(third == b, one, np.uint64(0)), x.at) for b in range(3)]
             of = x.of
             place = np.arange(len(of)) - x.at[of]
             prefix = x.size - (PERCENT * x.size + 99) // 100 + 1
@@ -199,7 +209,7 @@ def _entries(levels, common: int, buckets: int):
             blobs = []
             for s in map(slice, first.tolist(), [*first[1:].tolist(), len(bucket)]):
                 o = of[s]
-                blobs.append(pack(steps(cell[s]), key[o], low[o], high[o], x.row[o].astype(np.uint64), x.line[o].astype(np.uint32), x.size[o].astype(np.uint32), place[s], o.astype(np.uint32)))
+                blobs.append(pack(steps(cell[s]), key[o], *(b[o] for b in bits), x.row[o].astype(np.uint64), x.line[o].astype(np.uint32), x.size[o].astype(np.uint32), place[s], o.astype(np.uint32)))
             yield _batch(bucket[first].astype(np.int32), blobs, rows[0])
 
     return run
@@ -225,10 +235,14 @@ def _similar(c: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     need = (PERCENT * both + 99 + PERCENT) // (100 + PERCENT)
     ok = np.minimum(c["left"][i], c["left"][j]) >= need
     at, i, j, both, need = at[ok], i[ok], j[ok], both[ok], need[ok]
-    apart = np.bitwise_count(c["b0"][i] ^ c["b0"][j])
+    apart = np.bitwise_count(c["b0"][i] ^ c["b0"][j]).astype(np.int64)
     ok = both - apart >= 2 * need
     at, i, j, both, need, apart = at[ok], i[ok], j[ok], both[ok], need[ok], apart[ok]
-    return at[both - apart - np.bitwise_count(c["b1"][i] ^ c["b1"][j]) >= 2 * need]
+    for name in ("b1", "b2"):
+        apart = apart + np.bitwise_count(c[name][i] ^ c[name][j])
+        ok = both - apart >= 2 * need
+        at, i, j, both, need, apart = at[ok], i[ok], j[ok], both[ok], need[ok], apart[ok]
+    return at
 
 
 def _dense(c: dict, js: np.ndarray, lo: int, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,10 +312,10 @@ def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
     order = order[np.append(False, same) | np.append(same, False)]
     cell = cell[order]
     rank = np.cumsum(np.append(0, cell[1:] != cell[:-1])) if len(cell) else np.empty(0, np.int64)
-    key, b0, b1, row, line, size, place, number = (np.concatenate(a)[order] for a in list(zip(*blobs))[1:])
+    key, b0, b1, b2, row, line, size, place, number = (np.concatenate(a)[order] for a in list(zip(*blobs))[1:])
     del blobs
     again = np.lexsort((number, of_blob[order], rank)) if len(rank) and int(rank[-1]).bit_length() + len(frame).bit_length() > 31 else np.argsort((rank << 32 + len(frame).bit_length()) | (of_blob[order] << 32) | number)
-    rank, key, b0, b1, row, line, size, place = (a[again] for a in (rank, key, b0, b1, row.astype(np.int64), line.astype(np.int64), size, place))
+    rank, key, b0, b1, b2, row, line, size, place = (a[again] for a in (rank, key, b0, b1, b2, row.astype(np.int64), line.astype(np.int64), size, place))
     # Of the lines of one set in a cell the first stays.
     both = mix(key + rank.astype(np.uint64) * _M2)
     order = np.argsort(both)
@@ -312,7 +326,7 @@ def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
     gone = ~is_first & (place == 1)  # by its first word, and where that is hot, in the cell of its own side
     parts = [_rows(EQUAL, bucket, row[gone], line[gone])]
     kept = np.flatnonzero(is_first)
-    c = {"cell": rank[kept].astype(np.uint64), "row": row[kept], "line": line[kept], "place": (place[kept] >> 1).astype(np.int64), "size": size[kept].astype(np.int64), "b0": b0[kept], "b1": b1[kept]}
+    c = {"cell": rank[kept].astype(np.uint64), "row": row[kept], "line": line[kept], "place": (place[kept] >> 1).astype(np.int64), "size": size[kept].astype(np.int64), "b0": b0[kept], "b1": b1[kept], "b2": b2[kept]}
     later, earlier, more = _earlier(c, np.arange(len(kept)), FIRST)
     parts.append(_rows(PAIR, bucket, c["row"][later], c["line"][later], c["row"][earlier], c["line"][earlier]))
     if len(more):
@@ -323,7 +337,7 @@ def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(parts)
 
 
-_HELD = {"cell": np.uint64, "row": np.int64, "line": np.int64, "place": np.int64, "size": np.int64, "b0": np.uint64, "b1": np.uint64}
+_HELD = {"cell": np.uint64, "row": np.int64, "line": np.int64, "place": np.int64, "size": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64}
 
 
 def _rest(key, late: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -458,7 +472,12 @@ def removals(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 
 def drop_repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All rows and columns of stored ``docs``, texts without their :func:`repeated_lines`."""
+    """All rows and columns of stored ``docs``, texts without their :func:`repeated_lines`.
+
+    No row goes: a text of which every line is removed becomes empty, as that
+    of each repeated row but the first does, and a null text stays null. Of
+    lines that match, the first in the table stays. An empty table stays empty.
+    """
     gone = repeated_lines(docs, text).groupBy(F.col("row").alias("_row")).agg(F.collect_list("line").alias("_gone"))
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.coalesce(F.array_contains("_gone", i.cast("long")), F.lit(False))), "\n")
     return row_numbers(docs, "_row").join(gone, "_row", "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_row", "_gone")
