@@ -32,7 +32,7 @@ from batchloom.llm.skew import row_numbers
 from batchloom.llm.words import mix, pack, steps, unpack
 
 #: Bytes of text in a block (a longer text forms several), and of the corpus for one bucket of n-grams.
-BLOCK_CHARS, BUCKET_CHARS = 4_000_000, 6_000_000
+BLOCK_CHARS, BUCKET_CHARS = 3_000_000, 6_000_000
 #: Tokens of one lane of the walk; longer texts take several, each entered in the state its last words left.
 LANE = 2048
 #: Bits by which keys of bigrams and trigrams exceed the logarithm of their number: one in 2**SPARE meets another's key.
