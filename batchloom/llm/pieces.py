@@ -12,6 +12,7 @@ their ends, and products of these matrices are associative.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -30,6 +31,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Texts of this many characters and more are cut into chunks.
 GIANT, CHUNK = 65_536, 16_384
+#: Matrices that one task combines.
+FAN = 16
 #: Words and pairs of pieces that a worker remembers; beyond, it starts anew.
 REMEMBER = 120_000
 #: Bytes of texts whose words are looked up together.
@@ -459,18 +462,59 @@ def _transfers(vocabulary: Vocabulary):
     return run
 
 
-def _scan(frame):
-    """Entry and exit state of every chunk: prefix products from the left, then from the one end back."""
+def _matrices(frame) -> list[np.ndarray]:
+    return [np.frombuffer(m, np.float32).reshape(s) for m, s in zip(frame["matrix"], frame["shape"])]
+
+
+def _combined(frame):
+    """The product of the matrices of neighbouring chunks, or groups of them, as one."""
     frame = frame.sort_values("k")
-    matrices = [np.frombuffer(m, np.float32).reshape(s) for m, s in zip(frame["matrix"], frame["shape"])]
-    prefixes = [matrices[0]]
+    whole = functools.reduce(product, _matrices(frame))
+    return frame[["row", "g"]].iloc[:1].rename(columns={"g": "k"}).assign(shape=[list(whole.shape)], matrix=[whole.tobytes()])
+
+
+def _top(frames):
+    """The states that a whole text begins and ends in."""
+    for frame in frames:
+        yield frame[["row", "k"]].assign(entry=0, exit=[int(np.argmax(m[0])) for m in _matrices(frame)])
+
+
+def _split(frame):
+    """Entry and exit state of every part of a group, from those of the group: forwards from its entry, then back from its exit."""
+    frame = frame.sort_values("k")
+    matrices = _matrices(frame)
+    entry, exit = int(frame["entry"].iloc[0]), int(frame["exit"].iloc[0])
+    prefixes = [matrices[0][entry]]
     for matrix in matrices[1:]:
-        prefixes.append(product(prefixes[-1], matrix))
+        prefixes.append((prefixes[-1][:, None] + matrix).max(axis=0))
     exits = [0] * len(matrices)
-    exits[-1] = int(np.argmax(prefixes[-1][0]))
+    exits[-1] = exit
     for k in range(len(matrices) - 1, 0, -1):
-        exits[k - 1] = int(np.argmax(prefixes[k - 1][0] + matrices[k][:, exits[k]]))
-    return frame[["row", "k"]].assign(entry=[0, *exits[:-1]], exit=exits)
+        exits[k - 1] = int(np.argmax(prefixes[k - 1] + matrices[k][:, exits[k]]))
+    return frame[["row", "k"]].assign(entry=[entry, *exits[:-1]], exit=exits)
+
+
+def _states(matrices: DataFrame, scratch: Scratch) -> DataFrame:
+    """``row, k, entry, exit`` of every chunk, by products in a tree.
+
+    Upwards, FAN neighbours at a time are combined until one matrix is left of
+    each text; downwards, each group hands its states on to its parts. Every
+    group is on its own, so no task sees more than FAN matrices, and the number
+    of rounds is logarithmic in the chunks of the longest text.
+    """
+    levels = [scratch.keep(matrices, "matrices")]
+    left = (levels[0].agg(F.max("k").alias("k")).first()["k"] or 0) + 1
+    group = F.expr(f"k div {FAN}")
+    while left > 1:
+        up = levels[-1].withColumn("g", group).groupBy("row", "g").applyInPandas(_combined, "row long, k long, shape array<int>, matrix binary")
+        levels.append(scratch.keep(up, "products"))
+        left = -(-left // FAN)
+    schema = "row long, k long, entry int, exit int"
+    states = scratch.keep(levels.pop().mapInPandas(_top, schema), "states")
+    for level in reversed(levels):
+        above = states.select("row", F.col("k").alias("g"), "entry", "exit")
+        states = scratch.keep(level.withColumn("g", group).join(above, ["row", "g"]).groupBy("row", "g").applyInPandas(_split, schema), "states")
+    return states
 
 
 def _traces(vocabulary: Vocabulary):
@@ -500,10 +544,9 @@ def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
 
     Texts of fewer than ``giant`` characters are paths through the lattices of
     their words. Longer ones become chunks that are spread over the cluster:
-    each yields its max-plus transfer matrix, prefix products give every chunk
-    the piece that lies across each of its ends, and each chunk is traced back
-    on its own. What is gathered for one text is a small matrix per chunk, and
-    a text is at most one cell of a table. Ids equal those of the public
+    each yields its max-plus transfer matrix, products in a tree give every
+    chunk the piece that lies across each of its ends, and each chunk is traced
+    back on its own. A text is at most one cell of a table. Ids equal those of the public
     library for the same model file.
 
     Null and empty texts have no ids and decode to an empty text, which counts
@@ -523,8 +566,7 @@ def encode_decode(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", m
     cut = long.select("row", "text").mapInArrow(_cut(longest, chunk), "row long, k long, lo int, hi int, near string")
     chunks = scratch.keep(cut.repartition("row", "k"), "chunks")
     matrices = chunks.select("row", "k", "near", "lo", "hi").mapInArrow(_transfers(vocabulary), "row long, k long, shape array<int>, matrix binary")
-    ends = scratch.keep(matrices.groupBy("row").applyInPandas(_scan, "row long, k long, entry int, exit int"), "states")
-    traced = chunks.join(ends, ["row", "k"]).mapInArrow(_traces(vocabulary), "row long, k long, ids array<int>")
+    traced = chunks.join(_states(matrices, scratch), ["row", "k"]).mapInArrow(_traces(vocabulary), "row long, k long, ids array<int>")
     whole = traced.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
     whole = whole.select("row", F.flatten(F.col("parts.ids")).alias("ids")).mapInArrow(_decoder(vocabulary), "row long, ids array<int>, decoded string")
     whole = whole.join(long, "row").select("doc_id", "ids", "decoded", (F.col("decoded") == F.col("text")).alias("round_trip"))

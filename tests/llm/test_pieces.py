@@ -1,10 +1,11 @@
+import functools
 import random
 
 import pytest
 import sentencepiece
 from pyspark.sql import types as T
 
-from batchloom.llm.pieces import MODEL, Lattice, Vocabulary, encode_decode
+from batchloom.llm.pieces import MODEL, SPACE, Lattice, Vocabulary, encode_decode, product
 
 VOCABULARY = Vocabulary.load()
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -37,6 +38,20 @@ def test_chunks_equal_the_library(spark, tmp_path, chunk):
     assert all(r.round_trip for r in found)
 
 
+def test_products_are_associative():
+    """However the chunks of a text are grouped, their product is the matrix of the whole."""
+    lattice = Lattice(VOCABULARY)
+    random.seed(6)
+    for _ in range(20):
+        text = SPACE + "".join(random.choice("ab▁the") for _ in range(60))
+        cuts = [0, *sorted(random.sample(range(1, 60), 4)), len(text)]
+        parts = [lattice.transfer(text, lo, hi) for lo, hi in zip(cuts, cuts[1:])]
+        left = functools.reduce(product, parts)
+        right = functools.reduce(lambda b, a: product(a, b), reversed(parts))
+        assert (left == right).all() and (left == product(product(parts[0], parts[1]), product(parts[2], product(parts[3], parts[4])))).all()
+        assert (left == lattice.transfer(text, 0, len(text))).all()
+
+
 def test_empty_table(spark, tmp_path):
     assert encode_decode(stored(spark, tmp_path, [])).schema["ids"].dataType == T.ArrayType(T.IntegerType())
     assert encode_decode(stored(spark, tmp_path / "x", [])).count() == 0
