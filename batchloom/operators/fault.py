@@ -16,8 +16,8 @@ from batchloom.session import table
 PHASES = ("read", "process", "write", "transaction", "checkpoint", "listener", "backoff")
 ACTIONS = ("FAIL", "RETRY", "SKIP", "RETRY_THEN_SKIP")
 MAX_DELAY_MS = 24 * 3600 * 1000
-#: Retries of a phase that one expression can hold.
-MAX_RETRIES = 16
+#: Retries of a phase that one expression can hold, and rules of a table.
+MAX_RETRIES, MAX_RULES = 16, 4096
 
 
 @dataclass(frozen=True)
@@ -36,8 +36,11 @@ class Backoff:
 def classified(faults: DataFrame, rules: DataFrame) -> DataFrame:
     """``faults`` with the ``action`` of the one rule for their phase and category, or FAIL.
 
-    Rules are a small configuration table; two rules for one pair fail.
+    Rules are a configuration table of at most MAX_RULES rows, which is checked
+    before they are broadcast; two rules for one pair fail.
     """
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError("too many rules")
     twice = F.count("*") > 1
     checked = rules.groupBy("phase", "category").agg(F.when(twice, F.raise_error(F.lit("two rules for one fault"))).otherwise(F.first("action")).alias("action"))
     return faults.join(F.broadcast(checked), ["phase", "category"], "left").withColumn("action", F.coalesce("action", F.lit("FAIL")))

@@ -97,15 +97,19 @@ class Ledger:
         scheme = str(self.fs.getUri().getScheme())
         if scheme in ("file", "hdfs", "viewfs"):
             self._write(aside, data)
-            if scheme == "file":
-                place = lambda name: self.jvm.java.nio.file.Paths.get(self.fs.makeQualified(self._path(name)).toUri())
-                self.jvm.java.nio.file.Files.createLink(place(target), place(aside))
-            else:
-                none = self.spark.sparkContext._gateway.new_array(getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
-                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._path(aside), self._path(target), none)
+            (self._link if scheme == "file" else self._rename)(aside, target)
         else:
             self._write(target, data)
 
+    def _link(self, aside: str, target: str) -> None:
+        place = lambda name: self.jvm.java.nio.file.Paths.get(self.fs.makeQualified(self._path(name)).toUri())
+        self.jvm.java.nio.file.Files.createLink(place(target), place(aside))
+
+    def _rename(self, aside: str, target: str) -> None:
+        """Without the option to overwrite; only this call of the file system's refuses a target that is there."""
+        options = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._path(aside), self._path(target), options)
+
     def commit(self, name: str, record: dict) -> None:
         """A record is there whole or not at all, and never replaced: of two commits at once one is a :class:`Conflict`."""
         target, token = f"{self.path}/{name}.json", uuid.uuid4().hex

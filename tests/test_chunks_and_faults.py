@@ -140,6 +140,21 @@ def test_of_two_commits_at_once_one_wins(spark, tmp_path, monkeypatch):
     assert len(ledgers[0].names(str(tmp_path))) == 20  # nothing is left beside the records
 
 
+@pytest.mark.parametrize("way", ["_link", "_rename", "put"])
+def test_ways_to_publish_replace_nothing(spark, tmp_path, monkeypatch, way):
+    ledger = Ledger(spark, str(tmp_path / way))
+    if way == "_rename":
+        monkeypatch.setattr(Ledger, "_link", Ledger._rename)
+    if way == "put":
+        monkeypatch.setattr(Ledger, "_publish", lambda self, aside, target, data: self._write(target, data))
+    ledger.commit("0", {"a": 1})
+    monkeypatch.setattr(Ledger, "exists", lambda self, name: "/." in name and (tmp_path / way / name.rsplit("/", 1)[1]).exists())
+    with pytest.raises(Conflict):
+        ledger.commit("0", {"a": 2})
+    monkeypatch.undo()
+    assert ledger.records() == [{"a": 1}] and ledger.names(ledger.path) == ["0.json"]
+
+
 def test_an_unknown_outcome_ends_the_step(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(Ledger, "_publish", lambda *a: 1 / 0)
     with pytest.raises(OutcomeUnknown):
