@@ -18,8 +18,8 @@ PER_LANGUAGE, SNIPPETS, SNIPPET = 800, 6, 96
 STATE, STEPS, BATCH, RATE = 8, 260, 256, 0.02
 #: Bytes that one run of the network labels, those before and after them that it reads first, and runs side by side.
 WINDOW, MARGIN, LANES = 512, 64, 512
-#: Score below which a text is taken to be in no learned language, where such texts go.
-FLOOR = 0.5
+#: Times that of chance which a score has to reach, else a text is taken to be in no learned language, where such texts go.
+FLOOR = 1.02
 
 _PLAIN = re.compile("[A-Za-z]")
 
@@ -74,7 +74,7 @@ class Network:
         return (states, kept) if keep else states
 
     def label(self, x: np.ndarray, inside: np.ndarray | None = None, margin: int = 0) -> np.ndarray:
-        """Probabilities of the languages at each position of ``x`` but the first and last ``margin``."""
+        """Logarithms of the languages' probabilities at each position of ``x`` but the first and last ``margin``."""
         h = STATE
         steps, lanes = x.shape
         read = slice(margin, steps - margin)
@@ -82,8 +82,7 @@ class Network:
         logits += self.states(x, 1, inside=inside)[read].reshape(-1, h) @ self.out[h : 2 * h]
         logits += self.out[2 * h]
         logits -= logits.max(axis=1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(axis=1, keepdims=True)
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
         return logits.reshape(steps - 2 * margin, lanes, -1)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[list[np.ndarray], float]:
@@ -137,8 +136,10 @@ class Network:
                 w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        """Mean probabilities over all positions of each whole text.
+        """Probabilities of each whole text: the geometric means of those at all its positions, made to add up to 1.
 
+        So positions that say nothing, such as a phrase that texts of all
+        languages repeat, leave the decision to those that do.
         A text is cut into runs of WINDOW bytes. In either direction a run's
         states are those that the MARGIN bytes beyond it leave, and zero before
         the text begins, so they follow those of a single pass over the text.
@@ -163,7 +164,9 @@ class Network:
             p = self.label(filled[steps + begin], inside, MARGIN)
             p *= inside[MARGIN : MARGIN + WINDOW, :, None]
             np.add.at(sums, own, p.sum(axis=0))
-        return sums / np.maximum(sizes, 1)[:, None]
+        sums /= np.maximum(sizes, 1)[:, None]
+        sums = np.exp(sums - sums.max(axis=1, keepdims=True))
+        return sums / sums.sum(axis=1, keepdims=True)
 
 
 def fit(docs: DataFrame) -> Network | None:
@@ -216,7 +219,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
     """``docs`` without its text, and ``lang_pred`` and ``score`` of each row.
 
     Every byte of the whole text (A-Z lower-cased) is read in both directions
-    and labelled; the text's probabilities are the mean over its positions. Of
+    and labelled; the text's probabilities are pooled over its positions. Of
     languages that are equally probable the first by name is predicted. Null
     texts and texts without a letter (Unicode category L) are ``und`` with
     score 0, as are all where nothing could be learned. Columns ``lang_pred``
@@ -231,8 +234,8 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
 def drop_unknown(docs: DataFrame, network: Network | None, text: str = "text", floor: float = FLOOR) -> DataFrame:
     """The rows of ``docs`` in a learned language, all columns.
 
-    A text stays if the network gives one language a score of ``floor`` or
-    more. Null texts, empty ones and those without a letter go; so does every
+    A text stays if the network finds one language ``floor`` times as probable
+    as chance would, where it knows more than one. Null texts, empty ones and those without a letter go; so does every
     row where nothing could be learned. Repeated rows stay or go together; an
     empty table stays empty.
     """
@@ -240,7 +243,8 @@ def drop_unknown(docs: DataFrame, network: Network | None, text: str = "text", f
     def run(batches):
         for batch in pieces_of(batches, text):
             lang, score = _labelled(network, batch.column(text).to_pylist())
-            yield batch.filter(pa.array([k != "und" and s >= floor for k, s in zip(lang, score)], pa.bool_()))
+            least = floor / len(network.languages) if network and len(network.languages) > 1 else 0.0
+            yield batch.filter(pa.array([k != "und" and s >= least for k, s in zip(lang, score)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -128,7 +128,20 @@ def test_stage_keeps_what_is_in_a_language(spark, tmp_path):
     docs = stored(spark, tmp_path, [(i, t, "aa", "s", "p") for i, t in enumerate(["abc", None, "12", "é", "½ ²", ""])], LANG)
     kept = langid.drop_unknown(docs, langid.fit(docs))
     assert sorted(r.doc_id for r in kept.collect()) == [0, 3] and kept.columns == docs.columns
-    assert langid.drop_unknown(docs, langid.fit(docs), floor=1.1).count() == 0 == langid.drop_unknown(docs, None).count()
+    assert langid.drop_unknown(docs, None).count() == 0
+
+
+def test_stage_goes_by_the_network(spark, tmp_path):
+    """A text on which the network is no better than chance goes, though it has letters."""
+    network = Network.fresh(["aa", "bb"])
+    network.out[:] = 0
+    network.gates[:] = 0
+    network.turn[:] = 0
+    network.gates[:, ord("x"), 16:] = 3.0  # after an x the states are positive, after anything else 0
+    network.out[:8, 1] = 1.0
+    docs = stored(spark, tmp_path, [(1, "xx", "l", "s", "p"), (2, "abc", "l", "s", "p")], LANG)
+    assert [r.doc_id for r in langid.drop_unknown(docs, network).collect()] == [1]
+    assert sorted(r.doc_id for r in langid.drop_unknown(docs, network, floor=1.0).collect()) == [1, 2]
 
 
 def test_letters():
@@ -148,7 +161,8 @@ def test_runs_follow_a_single_pass(monkeypatch):
     network = random_network(["a", "b", "c"])
     rng = np.random.default_rng(2)
     texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (1, 2, 63, 64, 100, 511, 512, 513, 1300, 5000, 3)] + [b""]
-    want = np.array([network.label(np.frombuffer(t, np.uint8)[:, None]).mean(axis=(0, 1)) if t else np.zeros(3) for t in texts])
+    pool = lambda m: np.exp(m) / np.exp(m).sum()
+    want = np.array([pool(network.label(np.frombuffer(t, np.uint8)[:, None]).mean(axis=(0, 1)) if t else np.zeros(3)) for t in texts])
     for window, margin, lanes in ((512, 64, 512), (64, 64, 3), (32, 40, 7)):
         monkeypatch.setattr(langid, "WINDOW", window)
         monkeypatch.setattr(langid, "MARGIN", margin)
