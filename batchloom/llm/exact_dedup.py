@@ -73,7 +73,12 @@ def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def drop_exact_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of stored ``docs`` that :func:`exact_groups` keeps, all columns."""
+    """The rows of stored ``docs`` that :func:`exact_groups` keeps, all columns.
+
+    Null texts are equal to empty ones and to such as have only white space,
+    so one of them stays; of repeated rows one stays; an empty table stays
+    empty.
+    """
     kept = exact_groups(docs, text, doc_id).filter("kept").select(F.col("row").alias("_row"))
     return row_numbers(docs, "_row").join(kept, "_row", "left_semi").drop("_row")
 

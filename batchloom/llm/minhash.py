@@ -356,7 +356,12 @@ def _across(rest: DataFrame, classes: DataFrame, sets: DataFrame, scratch: Scrat
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Stored ``docs`` with one row left of each component of :func:`near_groups`, all columns."""
+    """Stored ``docs`` with one row left of each component of :func:`near_groups`, all columns.
+
+    The row with the least doc_id stays, null as the largest, and of several
+    with that doc_id the first in the table. Null texts and texts without words
+    all stay; an empty table stays empty.
+    """
     kept = near_groups(docs, text, doc_id).filter("first").select(F.col("row").alias("_row"))
     return row_numbers(docs, "_row").join(kept, "_row", "left_semi").drop("_row")
 

@@ -4,10 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_WORKING: ContextVar[list | None] = ContextVar("working", default=None)
+
+
+@contextmanager
+def working():
+    """What operators leave in the shared folder within this block goes at its end, so their results have to be written by then."""
+    outer = _WORKING.set([])
+    try:
+        yield
+    finally:
+        for scratch in _WORKING.get():
+            scratch.close()
+        _WORKING.reset(outer)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +49,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _WORKING.get() is not None:
+            _WORKING.get().append(self)
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         self.n += 1
@@ -45,8 +62,13 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Give the space of tables back that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._batchloom_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(table._batchloom_path)
+
+    def close(self) -> None:
+        """Give all of it back."""
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

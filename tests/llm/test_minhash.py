@@ -70,13 +70,24 @@ def test_empty_table(spark, tmp_path):
     assert near_groups(stored(spark, tmp_path, [])).count() == 0
 
 
-def test_estimate_lets_true_links_pass():
+def test_pairs_at_the_threshold_are_candidates():
+    """Of pairs that are just similar enough, all pass the estimate and share a band, as the formula says."""
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        x = rng.integers(0, 2**63, 700, dtype=np.uint64)
-        a, b = np.unique(x[:600]), np.unique(x[100:])  # similarity 5/7
-        low = [(minhash.minima(s) >> np.uint64(32)) & np.uint64(3) for s in (a, b)]
-        assert (low[0] == low[1]).sum() > minhash.least_matches() - 20
+    power = minhash._M ** np.arange(1, minhash.ROWS + 1, dtype=np.uint64)
+    passed = met = 0
+    for _ in range(1500):
+        both = int(rng.integers(30, 300)) // 3 * 3
+        apart = both // 3  # both / (both + apart) = 0.75
+        own = int(rng.integers(0, apart + 1))
+        x = rng.integers(0, 2**63, both + apart, dtype=np.uint64)
+        one, other = np.unique(x[: both + own]), np.unique(np.concatenate([x[:both], x[both + own :]]))
+        least = [minhash.minima(s) for s in (one, other)]
+        low = [(m >> np.uint64(32)) & np.uint64(2**minhash.BITS - 1) for m in least]
+        passed += int((low[0] == low[1]).sum()) >= minhash.least_matches()
+        bands = [(m.reshape(minhash.BANDS, minhash.ROWS) * power).sum(axis=1) for m in least]
+        met += bool((bands[0] == bands[1]).any())
+    assert passed == met == 1500
+
 
 
 @pytest.mark.parametrize("text", [b"", b"a", b"a b c d e f"])
