@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm import decontaminate, exact_dedup, langid, minhash, pieces
-from batchloom.llm.scratch import Scratch
+from batchloom.llm.scratch import Scratch, working
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that get a language: those without a letter, or without a text, go."""
+    """Documents in a learned language: those that the network gives to none, without a letter or without a text go."""
     network = langid.fit(docs.select("doc_id", "text", "lang"))
     return langid.drop_unknown(docs, network)
 
@@ -57,7 +57,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with working():  # a stage's own tables go once its result is written
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs
 
 
