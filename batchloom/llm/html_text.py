@@ -263,24 +263,27 @@ def _neighbours(batches):
         yield pa.RecordBatch.from_pylist([*(told(w, False) for w in waiting), edge(None, True)], _NEAR)
 
 
-def _across(batches):
-    """For the first and last runs of all partitions, in order, the pages before and after that theirs are compared with."""
-    edges = [e for batch in batches for e in batch.to_pylist()]
-    before, after = [], [None] * len(edges)
-    for k, e in enumerate(edges):
-        found = e["edge"]["prev"]
-        if found is None and e["r"] == 0 and k and edges[k - 1]["edge"]["host"] == e["edge"]["host"]:
-            last = edges[k - 1]["edge"]["leader"]
-            found = before[k - 1] if copies(e["edge"]["leader"], last) else last
-        before.append(found)
-    for k in range(len(edges) - 1, -1, -1):
-        found, e = edges[k]["edge"]["next"], edges[k]["edge"]
-        if found is None and e["last"] and k + 1 < len(edges) and edges[k + 1]["edge"]["host"] == e["host"]:
-            first = edges[k + 1]["edge"]["leader"]
-            found = after[k + 1] if copies(e["leader"], first) else first
-        after[k] = found
-    schema = pa.schema([("p", pa.int32()), ("r", pa.int64()), ("before", _PAGE), ("after", _PAGE)])
-    yield pa.RecordBatch.from_pylist([{"p": e["p"], "r": e["r"], "before": b, "after": a} for e, b, a in zip(edges, before, after)], schema)
+def _across(side: str):
+    """For the first and last runs of all partitions the page ``before`` or ``after`` that theirs are compared with.
+
+    They come in order, or for ``after`` in reverse, so no more than the run
+    before has to be kept in mind.
+    """
+
+    def run(batches):
+        host = leader = found = None
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):
+            out = []
+            for e in batch.to_pylist():
+                edge = e["edge"]
+                near, outermost = (edge["prev"], e["r"] == 0) if side == "before" else (edge["next"], edge["last"])
+                if near is None and outermost and host == edge["host"] and leader is not None:
+                    near = found if copies(edge["leader"], leader) else leader
+                host, leader, found = edge["host"], edge["leader"], near
+                out.append({"p": e["p"], "r": e["r"], side: near})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("p", pa.int32()), ("r", pa.int64()), (side, _PAGE)]))
+
+    return run
 
 
 def _deleted(batches):
@@ -331,10 +334,11 @@ def main_text(pages: DataFrame, url: str = "url", html: str = "html", page_id: s
     distinct = scratch.keep(first.select("host", "digest", "rows", "first.*"), "distinct")
     ordered = distinct.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
     near = scratch.keep(ordered.select("host", "path", "digest", "rows", "hashes", "open", "sizes").mapInArrow(_neighbours, _NEAR_SQL), "near")
-    edges = near.filter("edge is not null").select("p", "r", "edge").repartition(1).sortWithinPartitions("p", "r")
-    across = scratch.keep(edges.mapInArrow(_across, f"p int, r long, before {_PAGE_SQL}, after {_PAGE_SQL}"), "across")
+    edges = scratch.keep(near.filter("edge is not null").select("p", "r", "edge"), "edges").repartition(1)
+    told = {side: edges.sortWithinPartitions(*order).mapInArrow(_across(side), f"p int, r long, {side} {_PAGE_SQL}") for side, order in (("before", ("p", "r")), ("after", (F.desc("p"), F.desc("r"))))}
+    across = scratch.keep(told["before"].join(told["after"].hint("merge"), ["p", "r"]), "across")
     schema = "host string, digest string, rows long, gone array<int>"
-    open_ = near.filter("page is not null").join(F.broadcast(across), ["p", "r"]).select("host", "digest", "rows", "page", "before", "after").mapInArrow(_deleted, schema)
+    open_ = near.filter("page is not null").join(across.hint("merge"), ["p", "r"]).select("host", "digest", "rows", "page", "before", "after").mapInArrow(_deleted, schema)
     found = near.filter("gone is not null").select("host", "digest", "rows", "gone").unionByName(open_).filter(F.size("gone") > 0)
     lost = attach(outline.filter(F.size("open") > 0).select("row", "host", "digest"), scratch.keep(found, "gone"), ["host", "digest"], "rows", F.col("row"))
     gone = scratch.keep(lost.select("row", "gone"), "lost")
