@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text in a piece, but for single texts that are longer.
 PIECE = 4_000_000
@@ -20,3 +23,15 @@ def pieces_of(batches, column: str, most: int = PIECE):
                 hi += 1
             yield batch.slice(lo, hi - lo)
             lo = hi
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Queries that are run within this block hand workers at most so many rows at once; the session's own number comes back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
