@@ -8,7 +8,11 @@ fails the restart.
 
 from __future__ import annotations
 
+import functools
 import json
+import os
+import re
+import shutil
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -37,37 +41,67 @@ class OutcomeUnknown(RuntimeError):
     """It can't be told whether a record was committed; nothing may be tried again before someone looks."""
 
 
+@functools.cache
+def _default_scheme(spark: SparkSession) -> str:
+    return str(spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).getScheme())
+
+
 class Ledger:
-    """Commit records of one step under ``path``, in any file system Spark can write."""
+    """Commit records of one step under ``path``, in any file system Spark can write.
+
+    Files of the driver's own file system are reached without the JVM, whose
+    every call takes longer than they do.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.jvm = spark.sparkContext._jvm
-        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
-        self.fs = self._path(path).getFileSystem(self.conf)
+        scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+        self.local = (scheme[1] if scheme else _default_scheme(spark)) == "file"
+
+    @functools.cached_property
+    def jvm(self):
+        return self.spark.sparkContext._jvm
+
+    @functools.cached_property
+    def conf(self):
+        return self.spark.sparkContext._jsc.hadoopConfiguration()
+
+    @functools.cached_property
+    def fs(self):
+        return self._path(self.path).getFileSystem(self.conf)
 
     def _path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(name)
 
+    @staticmethod
+    def _own(name: str) -> str:
+        return re.sub(r"^file:(//(?=/))?", "", name)
+
     def exists(self, name: str) -> bool:
-        return self.fs.exists(self._path(name))
+        return os.path.exists(self._own(name)) if self.local else self.fs.exists(self._path(name))
 
     def delete(self, name: str) -> None:
-        self.fs.delete(self._path(name), True)
+        if not self.local:
+            self.fs.delete(self._path(name), True)
+        elif os.path.isdir(self._own(name)):
+            shutil.rmtree(self._own(name))
+        elif self.exists(name):
+            os.remove(self._own(name))
 
     def names(self, folder: str) -> list[str]:
+        if self.local:
+            return sorted(os.listdir(self._own(folder))) if os.path.isdir(self._own(folder)) else []
         if not self.exists(folder):
             return []
         return sorted(str(s.getPath().getName()) for s in self.fs.listStatus(self._path(folder)))
 
     def read(self, name: str) -> dict:
-        stream = self.fs.open(self._path(name))
-        try:
-            return json.loads(self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return json.loads(self.bytes(name))
 
     def bytes(self, name: str) -> bytes:
+        if self.local:
+            with open(self._own(name), "rb") as file:
+                return file.read()
         stream = self.fs.open(self._path(name))
         try:
             return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
@@ -76,7 +110,6 @@ class Ledger:
 
     def publish(self, name: str, data: bytes) -> None:
         """A file whose name says what it holds: it does not matter who of several puts it there."""
-        self.fs.mkdirs(self._path(self.path))
         aside = f"{self.path}/.{uuid.uuid4().hex}"
         try:
             self._publish(aside, name, data)
@@ -88,22 +121,30 @@ class Ledger:
                 self.delete(aside)
 
     def _write(self, name: str, data: bytes) -> None:
+        if self.local:
+            os.makedirs(self._own(self.path), exist_ok=True)
+            with open(self._own(name), "xb") as file:
+                file.write(data)
+                file.flush()
+                os.fsync(file.fileno())
+            return
         stream = self.fs.create(self._path(name), False)
         stream.write(bytearray(data))
         stream.close()
 
     def _publish(self, aside: str, target: str, data: bytes) -> None:
         """Make ``target`` whole in one step that fails if it is there: a link, a rename that replaces nothing, or an exclusive put."""
-        scheme = str(self.fs.getUri().getScheme())
-        if scheme in ("file", "hdfs", "viewfs"):
+        if self.local:
+            self._write(aside, data)
+            self._link(aside, target)
+        elif str(self.fs.getUri().getScheme()) in ("hdfs", "viewfs"):
             self._write(aside, data)
-            (self._link if scheme == "file" else self._rename)(aside, target)
+            self._rename(aside, target)
         else:
             self._write(target, data)
 
     def _link(self, aside: str, target: str) -> None:
-        place = lambda name: self.jvm.java.nio.file.Paths.get(self.fs.makeQualified(self._path(name)).toUri())
-        self.jvm.java.nio.file.Files.createLink(place(target), place(aside))
+        os.link(self._own(aside), self._own(target))
 
     def _rename(self, aside: str, target: str) -> None:
         """Without the option to overwrite; only this call of the file system's refuses a target that is there."""
@@ -118,7 +159,6 @@ class Ledger:
             raise Conflict(f"{name} was committed by another attempt")
         failed = None
         try:
-            self.fs.mkdirs(self._path(self.path))
             self._publish(aside, target, json.dumps(record | {"_token": token}, sort_keys=True).encode())
         except Exception as e:  # who won is read from the record itself
             failed = e
