@@ -34,9 +34,9 @@ GIANT, CHUNK = 65_536, 16_384
 #: Matrices that one task combines.
 FAN = 16
 #: Words and pairs of pieces that a worker remembers; beyond, it starts anew.
-REMEMBER = 120_000
+REMEMBER = 80_000
 #: Bytes of texts whose words are looked up together.
-AT_ONCE = 1_000_000
+AT_ONCE = 300_000
 
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*")
 _STARTS = re.compile(f"(?<!{SPACE}){SPACE}")
