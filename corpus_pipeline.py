@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.llm import decontaminate, exact_dedup, langid, minhash, pieces
+from batchloom.llm.batches import small_batches
 from batchloom.llm.scratch import Scratch, working
 
 
@@ -57,7 +58,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        with working():  # a stage's own tables go once its result is written
+        with working(), small_batches(spark):  # a stage's own tables go once its result is written
             docs = scratch.keep(stage(spark, docs, sf_dir), name)
     return docs
 
