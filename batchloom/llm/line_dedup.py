@@ -29,6 +29,8 @@ HOT, CELL = 1 << 15, 1 << 14
 FIRST = 2
 #: Lines just before a line in a cell that are looked at one by one, and lines of a cell that are then compared at once.
 NEAR, DENSE = 24, 256
+#: Distinct words from which a line's set is too large to be sent to each of its cells; its further candidates are held against it pair by pair.
+WIDE = 512
 #: Words with a larger share of all are in so many lines that the bitmaps, which tell lines apart, leave them out.
 COMMON = 1 / 8192
 #: Bits of the table, of fixed size, that tells most documents with wanted lines from the others; and bits in one row of it.
@@ -340,14 +342,62 @@ def _pairs(frame: pd.DataFrame) -> pd.DataFrame:
 _HELD = {"cell": np.uint64, "row": np.int64, "line": np.int64, "place": np.int64, "size": np.int64, "b0": np.uint64, "b1": np.uint64, "b2": np.uint64}
 
 
+#: Of a line that is compared within its cell; ``asks`` if further candidates stand before it. Pairs with a line of more than WIDE words are in part -1.
+_FURTHER = {"bucket": "int32", "part": "int32", "cell": "int64", "row": "int64", "line": "int64", "place": "int64", "size": "int64", "b0": "int64", "b1": "int64", "b2": "int64", "asks": "bool", "row0": "int64", "line0": "int64"}
+_FURTHER_SCHEMA = ", ".join(f"{n} {({'int32': 'int', 'int64': 'long', 'bool': 'boolean'})[t]}" for n, t in _FURTHER.items())
+
+
 def _rest(key, late: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    """All further candidates of the lines of a bucket whose first ones did not match."""
+    """The lines of a bucket whose first candidates did not match, and all further candidates: each once for each cell, not for each pair."""
     if late.empty or held.empty:
-        return pd.DataFrame({"row": [], "line": [], "row0": [], "line0": []}, dtype="int64")
+        return pd.DataFrame({n: pd.Series(dtype=t) for n, t in _FURTHER.items()})
+    bucket = int(late["bucket"].iloc[0])
     c = dict(zip(_HELD, unpack(held["data"].iloc[0], *_HELD.values())))
     wanted = pd.MultiIndex.from_arrays([c["row"], c["line"]]).isin(pd.MultiIndex.from_frame(late[["row", "line"]]))
-    later, earlier, _ = _earlier(c, np.flatnonzero(wanted), None, FIRST)
-    return pd.DataFrame({"row": c["row"][later], "line": c["line"][later], "row0": c["row"][earlier], "line0": c["line"][earlier]})
+    asks, used, parts = np.zeros(len(wanted), bool), np.zeros(len(wanted), bool), []
+    asked = np.flatnonzero(wanted)
+    for lo in range(0, len(asked), DENSE):
+        later, earlier, _ = _earlier(c, asked[lo : lo + DENSE], None, FIRST)
+        wide = np.maximum(c["size"][later], c["size"][earlier]) > WIDE
+        asks[later[~wide]] = used[later[~wide]] = used[earlier[~wide]] = True
+        j, i = later[wide], earlier[wide]
+        parts.append(_further(bucket, -1, c, j, False, c["row"][i], c["line"][i]))
+    at = np.flatnonzero(used)
+    new = np.append(True, c["cell"][at][1:] != c["cell"][at][:-1]) if len(at) else np.zeros(0, bool)
+    part = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) // CELL  # whole cells, so many lines that a task holds their sets
+    return pd.concat([*parts, _further(bucket, part, c, at, asks[at], -1, -1)])
+
+
+def _further(bucket: int, part, c: dict, at: np.ndarray, asks, row0, line0) -> pd.DataFrame:
+    found = {n: c[n][at].view(np.int64) for n in _HELD}
+    return pd.DataFrame({"bucket": bucket, "part": part, "asks": asks, "row0": row0, "line0": line0} | found, index=range(len(at)))[list(_FURTHER)].astype(_FURTHER)
+
+
+def _compared(frame: pd.DataFrame) -> pd.DataFrame:
+    """The lines that match, by their full sets, an earlier line of their cell."""
+    frame = frame.sort_values(["cell", "row", "line"])
+    c = {n: frame[n].to_numpy().view(t) for n, t in _HELD.items()}
+    number, of = np.unique(_wide(b"".join(frame["words"])), return_inverse=True)
+    sizes = frame["words"].str.len().to_numpy() // 6
+    start = np.cumsum(sizes) - sizes
+    mark, matched = np.zeros(len(number), bool), np.zeros(len(frame), bool)
+    asked = np.flatnonzero(frame["asks"].to_numpy())
+    for lo in range(0, len(asked), DENSE):
+        later, earlier, _ = _earlier(c, asked[lo : lo + DENSE], None)
+        order = np.argsort(later, kind="stable")
+        later, earlier = later[order], earlier[order]
+        for j, others in zip(later[np.flatnonzero(np.diff(later, prepend=-1))], np.split(earlier, np.flatnonzero(np.diff(later)) + 1)):
+            own = of[start[j] : start[j] + sizes[j]]
+            mark[own] = True
+            for i in np.split(others, range(DENSE, len(others), DENSE)):
+                n = sizes[i]
+                ends = np.cumsum(n)
+                both = np.add.reduceat(mark[of[np.repeat(start[i] - ends + n, n) + np.arange(ends[-1])]].astype(np.int64), ends - n)
+                if (100 * both >= PERCENT * (n + sizes[j] - both)).any():
+                    matched[j] = True
+                    break
+            mark[own] = False
+    return pd.DataFrame({"row": c["row"][matched], "line": c["line"][matched]})
 
 
 def _sets(batches):
@@ -406,8 +456,10 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     positional bounds and to one by bitmaps of their less common words (what two
     lines' bitmaps differ in is at most what their sets do), then to the full
     sets. Words so frequent that their lines would not fit one task are split
-    into cells of pairs of sides. A line is first held against its FIRST
-    earliest candidates in each bucket; where none matches, against all others.
+    into cells of pairs of sides. A line is first held against the FIRST
+    candidates before it in each cell; where none matches, against all others.
+    For that a cell's lines are brought together with their sets, one row for
+    each line; only pairs with a line of more than WIDE words get rows of their own.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lines")
@@ -426,8 +478,14 @@ def repeated_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     late = scratch.keep(late, "late")
     if not late.isEmpty():
         held = found.filter(F.col("kind") == HELD).select("bucket", "data")
-        rest = late.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_rest, "row long, line long, row0 long, line0 long")
-        matched = matched.unionByName(_verified(rest.distinct(), source, scratch))
+        rest = scratch.keep(late.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInPandas(_rest, _FURTHER_SCHEMA), "rest")
+        lines = rest.filter("part >= 0").drop("row0", "line0")
+        wanted = lines.groupBy("row").agg(F.collect_set("line").alias("later"), F.array().cast("array<bigint>").alias("earlier"))
+        schema = "row long, line long, later boolean, earlier boolean, words binary"
+        sets = _likely(source, wanted).join(wanted.hint("merge"), "row").mapInArrow(_sets, schema).select("row", "line", "words")
+        compared = lines.join(sets.hint("merge"), ["row", "line"]).groupBy("bucket", "part").applyInPandas(_compared, "row long, line long")
+        wide = rest.filter("part < 0").select("row", "line", "row0", "line0").distinct()
+        matched = matched.unionByName(compared).unionByName(_verified(wide, source, scratch))
     return gone.unionByName(matched).distinct()
 
 

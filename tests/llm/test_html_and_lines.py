@@ -224,3 +224,24 @@ def test_similar_lines_by_force(spark, tmp_path, monkeypatch, hot):
 
 def test_lines_empty_table(spark, tmp_path):
     assert removals(stored(spark, tmp_path, [], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("wide", [512, 8])
+def test_lines_just_below_the_threshold_make_no_row_for_each_pair(spark, tmp_path, monkeypatch, wide):
+    """Lines that share 20 of 24 words match none but the last, which is one of them but for a word."""
+    monkeypatch.setattr(line_dedup, "WIDE", wide, raising=False)
+    monkeypatch.setattr(line_dedup, "DENSE", 7)
+    shared = " ".join(f"s{k}" for k in range(20))
+    texts = [f"{shared} " + " ".join(f"n{i}x{k}" for k in range(4)) for i in range(80)]
+    filler = "\n".join(f"n{i}x{k} " * 100 for i in range(80) for k in range(4))  # what tells the lines apart is more used than what they share
+    rows = list(enumerate([*texts, texts[0].replace("s7", "other"), filler]))
+    asked, verified = [], line_dedup._verified
+
+    def counted(pairs, *rest):
+        asked.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(line_dedup, "_verified", counted)
+    found = removals(stored(spark, tmp_path, [(i, t, "r", "l", "m") for i, t in rows], DOCS, parts=1)).orderBy("row").collect()
+    assert [r.removed for r in found] == removed_by_force(rows) == [[]] * 80 + [[0], []]
+    assert wide == 8 or sum(asked) < 10 * len(rows)
