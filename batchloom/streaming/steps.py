@@ -14,11 +14,18 @@ import os
 import re
 import shutil
 import uuid
+from array import array
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from batchloom.functions.state import Codec, Envelope
 from batchloom.operators.chunking import SIZE, fill_chunks
@@ -53,8 +60,12 @@ class Ledger:
     every call takes longer than they do.
     """
 
+    #: Fixed value: records that are written aside at the same time.
+    WRITERS = 4
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._ahead: dict[str, tuple[dict, str, Future]] = {}
         scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
         self.local = (scheme[1] if scheme else _default_scheme(spark)) == "file"
 
@@ -122,20 +133,27 @@ class Ledger:
 
     def _write(self, name: str, data: bytes) -> None:
         if self.local:
-            os.makedirs(self._own(self.path), exist_ok=True)
-            with open(self._own(name), "xb") as file:
-                file.write(data)
-                file.flush()
-                os.fsync(file.fileno())
+            try:
+                self._write_own(self._own(name), data)
+            except FileNotFoundError:
+                os.makedirs(self._own(self.path), exist_ok=True)
+                self._write_own(self._own(name), data)
             return
         stream = self.fs.create(self._path(name), False)
         stream.write(bytearray(data))
         stream.close()
 
-    def _publish(self, aside: str, target: str, data: bytes) -> None:
-        """Make ``target`` whole in one step that fails if it is there: a link, a rename that replaces nothing, or an exclusive put."""
+    @staticmethod
+    def _write_own(name: str, data: bytes) -> None:
+        with open(name, "xb", buffering=0) as file:
+            file.write(data)
+            os.fsync(file.fileno())
+
+    def _publish(self, aside: str, target: str, data: bytes | None) -> None:
+        """Make ``target`` whole in one step that fails if it is there: a link, a rename that replaces nothing, or an exclusive put. Without ``data``, ``aside`` is there."""
         if self.local:
-            self._write(aside, data)
+            if data is not None:
+                self._write(aside, data)
             self._link(aside, target)
         elif str(self.fs.getUri().getScheme()) in ("hdfs", "viewfs"):
             self._write(aside, data)
@@ -151,15 +169,43 @@ class Ledger:
         options = self.spark.sparkContext._gateway.new_array(getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf).rename(self._path(aside), self._path(target), options)
 
+    @staticmethod
+    def _encoded(record: dict, token: str) -> bytes:
+        return json.dumps(record | {"_token": token}, sort_keys=True).encode()
+
+    @contextmanager
+    def ahead(self, records: dict[str, dict]):
+        """Within this block these records are written aside, and their commits, if they are of the same record, only publish them.
+
+        So they reach the disk while other work, as that of writing the data,
+        goes on. What is not committed is removed at the end. Elsewhere than in
+        the driver's own file system nothing is written ahead.
+        """
+        with ThreadPoolExecutor(self.WRITERS) as threads:
+            for name, record in records.items() if self.local else ():
+                token = uuid.uuid4().hex
+                self._ahead[name] = record, token, threads.submit(self._write, f"{self.path}/.{name}-{token}", self._encoded(record, token))
+            try:
+                yield
+            finally:
+                threads.shutdown(cancel_futures=True)
+                for name, (_, token, _) in self._ahead.items():
+                    if self.exists(aside := f"{self.path}/.{name}-{token}"):
+                        self.delete(aside)
+                self._ahead = {}
+
     def commit(self, name: str, record: dict) -> None:
         """A record is there whole or not at all, and never replaced: of two commits at once one is a :class:`Conflict`."""
-        target, token = f"{self.path}/{name}.json", uuid.uuid4().hex
-        aside = f"{self.path}/.{name}-{token}"
+        ahead = self._ahead[name] if name in self._ahead and self._ahead[name][0] == record else None
+        token = ahead[1] if ahead else uuid.uuid4().hex
+        target, aside = f"{self.path}/{name}.json", f"{self.path}/.{name}-{token}"
         if self.exists(target):
             raise Conflict(f"{name} was committed by another attempt")
         failed = None
         try:
-            self._publish(aside, target, json.dumps(record | {"_token": token}, sort_keys=True).encode())
+            if ahead:
+                ahead[2].result()
+            self._publish(aside, target, None if ahead else self._encoded(record, token))
         except Exception as e:  # who won is read from the record itself
             failed = e
         try:
@@ -253,6 +299,74 @@ class _Streams:
         return False
 
 
+class _Waves:
+    """The items of a step, stored by wave, so that a wave reads its own items and no others."""
+
+    def __init__(self, ledger: Ledger, items: DataFrame, path: str, wave: int):
+        self.spark, self.schema, self.path, self.wave = ledger.spark, items.schema, path, wave
+        items.withColumn("_wave", F.expr(f"_batch div {wave}")).write.partitionBy("_wave").parquet(path)
+        self.there = {int(n[6:]) for n in ledger.names(path) if n.startswith("_wave=")}
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path).select(*self.schema.names)
+
+    def between(self, first: int, last: int) -> DataFrame:
+        """Items of the batches from ``first`` to ``last``."""
+        names = [f"{self.path}/_wave={w}" for w in range(first // self.wave, last // self.wave + 1) if w in self.there]
+        return self.spark.read.schema(self.schema).parquet(*names).filter(F.col("_batch").between(first, last))
+
+
+#: Types that workers write as Spark does; tables with others are left to Spark's writer.
+_PLAIN = re.compile(r"boolean|tinyint|smallint|int|bigint|float|double|decimal\(.*\)|string|binary")
+
+
+def _is_plain(schema: StructType) -> bool:
+    names = {f.name.lower() for f in schema} - {"batch"}
+    return len(names) == len(schema) > 1 and schema["_batch"].dataType.simpleString() == "bigint" and all(_PLAIN.fullmatch(f.dataType.simpleString()) for f in schema)
+
+
+def _filed(aside: str) -> Callable:
+    """A task's rows, sorted by ``_batch``, as one file for each batch in a folder of the attempt's own; what it wrote."""
+    def run(batches):
+        mine = f"{aside}/{uuid.uuid4().hex}"
+        os.mkdir(mine)  # fails once the job is over and ``aside`` is gone
+        found, writer = [], None
+        for rows in batches:
+            runs = pc.run_end_encode(rows.column("_batch"))
+            rest, lo = rows.drop_columns(["_batch"]), 0
+            for batch, hi in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                if not found or found[-1] != batch:
+                    if writer is not None:
+                        writer.close()
+                    writer = pq.ParquetWriter(f"{mine}/{batch}", rest.schema, store_schema=False)
+                    found.append(batch)
+                writer.write_batch(rest.slice(lo, hi - lo))
+                lo = hi
+        if writer is not None:
+            writer.close()
+        yield pa.RecordBatch.from_pydict({"batch": pa.array(found, pa.int64()), "folder": pa.array([mine] * len(found), pa.string())})
+
+    return run
+
+
+def _write_files(out: DataFrame, data: str) -> None:
+    """The rows of ``out`` in folders by ``_batch``, as Spark's writer lays them out, in a file system that the driver and workers share.
+
+    Without Hadoop's native library, Spark's writer starts two processes for
+    each file, to set its mode. As with Spark's, files are moved to their place
+    by the driver, and only those of attempts that count.
+    """
+    aside = f"{data}/.write-{uuid.uuid4().hex}"
+    os.makedirs(aside)
+    try:
+        for row in out.sortWithinPartitions("_batch").mapInArrow(_filed(aside), "batch long, folder string").collect():
+            place = f"{data}/batch={row['batch']}"
+            os.makedirs(place, exist_ok=True)
+            os.rename(f"{row['folder']}/{row['batch']}", f"{place}/part-{os.path.basename(row['folder'])}.snappy.parquet")
+    finally:
+        shutil.rmtree(aside, ignore_errors=True)
+
+
 @dataclass
 class ChunkStep:
     """Read, process and write in chunks of ``size``, ``per_commit`` of them with one record, ``wave`` records with one job.
@@ -304,27 +418,33 @@ class ChunkStep:
         """Commit what is not committed yet: ``(status, counters)`` over all attempts."""
         ledger = Ledger(spark, f"{path}/ledger")
         done = {r["batch"]: r for r in ledger.records()}
-        there = ledger.names(f"{path}/data")
+        there = set(ledger.names(f"{path}/data"))
         for batch, record in done.items():
             if record["written"] and f"batch={batch}" not in there:
                 raise RuntimeError(f"the data of committed batch {batch} is missing")
         for name in there:
-            if name.startswith("batch=") and int(name[6:]) not in done:
+            if name.startswith(".write-") or (name.startswith("batch=") and int(name[6:]) not in done):
                 ledger.delete(f"{path}/data/{name}")
+        for name in ledger.names(path):
+            if name.startswith("waves-"):
+                ledger.delete(f"{path}/{name}")
         counters = Counters()
         for batch in sorted(done):
             counters.add(done[batch])
         last = done[max(done)].get("state") if done else None
         with released(), _Streams(self.streams, last) as streams:
-            filled = self.resolved(items).persist()
+            staged = f"{path}/waves-{uuid.uuid4().hex}"
             try:
-                return self._run(ledger, filled, path, stop, done, counters, streams), counters
+                with released():  # the ranges are not needed once their rows are stored
+                    waves = _Waves(ledger, self.resolved(items), staged, self.wave)
+                return self._run(ledger, waves, path, stop, done, counters, streams), counters
             except OutcomeUnknown:
                 return "UNKNOWN", counters
             finally:
-                filled.unpersist()
+                ledger.delete(staged)
 
-    def _run(self, ledger: Ledger, filled: DataFrame, path: str, stop, done: dict, counters: Counters, streams: _Streams) -> str:
+    def _run(self, ledger: Ledger, waves: _Waves, path: str, stop, done: dict, counters: Counters, streams: _Streams) -> str:
+        filled = waves.all()
         end = first_end(filled, self.order, self.skip_limit)
         good = ~F.col("bad") & F.col("_skip").isNull()
         kept = keep(self.kept)
@@ -343,18 +463,23 @@ class ChunkStep:
             if rows:
                 if stop():
                     return "STOPPED"
-                part = filled.filter(F.col("_batch").between(rows[0]["_batch"], rows[-1]["_batch"]) & good).drop("bad", "_skip", "_retries", "_rolled", "_end")
-                if done:
-                    part = part.filter(~F.col("_batch").isin([b for b in done if rows[0]["_batch"] <= b <= rows[-1]["_batch"]]))
-                self._write_again(ledger, part, [row["_batch"] for row in rows], path)
-                for row in rows:
-                    if self.in_flight == "ROLLBACK" and stop():
-                        return "STOPPED"
-                    record = {k: row[k] for k in _COUNTS} | {"batch": row["_batch"]}
-                    self._commit(ledger, record, streams)
-                    counters.add(record)
-                    if self.completed(record):
-                        return "STOPPED"
+                first, last = rows[0]["_batch"], rows[-1]["_batch"]
+                part = waves.between(first, last).filter(good).drop("bad", "_skip", "_retries", "_rolled", "_end")
+                if among := [b for b in range(first, last + 1) if b in done]:
+                    part = part.filter(~F.col("_batch").isin(among))
+                if len(rows) >= (cores := ledger.spark.sparkContext.defaultParallelism):  # a wave's items are next to each other, in one or two tasks
+                    part = part.repartition(cores, "_batch")
+                part = part.sortWithinPartitions("_batch", *self.order)
+                records = [{k: row[k] for k in _COUNTS} | {"batch": row["_batch"]} for row in rows]
+                with ledger.ahead({} if self.streams else {f"{r['batch']:012d}": r for r in records}):  # streams tell their state only at the commit
+                    self._write_again(ledger, part, [row["_batch"] for row in rows], path)
+                    for record in records:
+                        if self.in_flight == "ROLLBACK" and stop():
+                            return "STOPPED"
+                        self._commit(ledger, record, streams)
+                        counters.add(record)
+                        if self.completed(record):
+                            return "STOPPED"
             if len(rows) < self.wave:
                 break
         if end is None:
@@ -368,17 +493,20 @@ class ChunkStep:
             for batch in batches:
                 if ledger.exists(f"{path}/data/batch={batch}"):
                     ledger.delete(f"{path}/data/batch={batch}")
-            self._write(part, batches, path)
+            self._write(ledger, part, batches, path)
 
         if self.retries is None:
-            self._write(part, batches, path)
+            self._write(ledger, part, batches, path)
         else:
             self.retries.run(self.retries.key("", self.name, "write", str(batches[0]).encode(), 0), work, self.retryable)
 
-    def _write(self, part: DataFrame, batches: list[int], path: str) -> None:
+    def _write(self, ledger: Ledger, part: DataFrame, batches: list[int], path: str) -> None:
         """All batches with one job where ``process`` leaves the column ``_batch`` in place, else with one for each."""
         out = self.process(part)
         if "_batch" in out.columns:
+            if ledger.local and _is_plain(out.schema):
+                _write_files(out, ledger._own(f"{path}/data"))
+                return
             out.withColumnRenamed("_batch", "batch").write.mode("append").partitionBy("batch").parquet(f"{path}/data")
             return
         for batch in batches:
@@ -421,22 +549,53 @@ def run_stream(spark: SparkSession, source: str, schema: str, path: str, process
     return ledger.records()
 
 
+class _Told:
+    """What listeners are told, in order; kept in small parts, which go to ``path``."""
+
+    #: Fixed value: calls of a part.
+    MOST = 1_000_000
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.n, self.phases = spark, path, 0, {}
+        self.batches, self.codes = array("q"), array("q")
+
+    def of(self, phase: str) -> Callable[[int], None]:
+        code = self.phases.setdefault(phase, len(self.phases))
+
+        def tell(batch: int) -> None:
+            self.batches.append(batch)
+            self.codes.append(code)
+            if len(self.codes) >= self.MOST:
+                self.flush()
+
+        return tell
+
+    def flush(self) -> None:
+        names = pa.array(list(self.phases), pa.string())
+        part = pa.table({"n": pa.array(range(self.n, self.n + len(self.codes)), pa.int64()), "chunk_id": pa.array(self.batches, pa.int64()), "phase": names.take(pa.array(self.codes, pa.int64()))})
+        self.spark.createDataFrame(part).write.mode("append").parquet(self.path)
+        self.n += len(self.codes)
+        self.batches, self.codes = array("q"), array("q")
+
+    def rows(self) -> DataFrame:
+        """``n, chunk_id, phase``, where ``n`` tells the order of all calls."""
+        self.flush()
+        return self.spark.read.schema("n long, chunk_id long, phase string").parquet(self.path)
+
+
 def listener_event_order(spark, sf):
     """What listeners of a step over all orders are told, in order: two of chunks, one of each phase."""
-    told, path = [], folder(spark)
+    path = folder(spark)
+    told = _Told(spark, f"{path}/told")
 
     def pair(name: str) -> tuple[Callable, Callable]:
-        return (lambda batch: told.append((batch, f"before-{name}"))), (lambda batch: told.append((batch, f"after-{name}")))
+        return told.of(f"before-{name}"), told.of(f"after-{name}")
 
     listeners = {"chunk": Listeners(pair("1"), pair("2"))} | {f: Listeners(pair(f)) for f in ("read", "process", "write")}
     step = ChunkStep("orders", ["o_orderkey"], F.lit(False), F.lit(True), lambda df: df, per_commit=1, listeners=listeners)
     step.run(spark, table(spark, sf, "orders").select("o_orderkey"), path)
-    seen: dict[int, int] = {}
-    rows = []
-    for batch, phase in told:
-        seen[batch] = seen.get(batch, 0) + 1
-        rows.append((batch, seen[batch], phase))
-    return spark.createDataFrame(rows, "chunk_id long, seq long, phase string")
+    seq = F.row_number().over(Window.partitionBy("chunk_id").orderBy("n")).cast("long")
+    return told.rows().select("chunk_id", seq.alias("seq"), "phase")
 
 
 QUERIES = {"listener_event_order": listener_event_order}

@@ -11,7 +11,7 @@ from batchloom.operators.processors import classify, filter_items, validate_item
 from batchloom.functions.state import Codec
 from batchloom.operators.fault import FaultPolicy, fault_counters, resolve
 from batchloom.streaming.listeners import Listeners
-from batchloom.streaming.steps import ChunkStep, Conflict, ItemStream, Ledger, OutcomeUnknown, StepFailed, run_stream
+from batchloom.streaming.steps import ChunkStep, Conflict, Counters, ItemStream, Ledger, OutcomeUnknown, StepFailed, _Told, run_stream
 
 
 def table(spark, flags):
@@ -217,6 +217,73 @@ def test_stops_and_hooks_around_a_commit(spark, tmp_path):
     assert (status, c.commits) == ("COMPLETED", 4) and spark.read.parquet(str(tmp_path / "a/data")).count() == 8
 
 
+def test_a_wave_reads_its_own_items_and_is_dealt_over_all_cores(spark, tmp_path):
+    """Not the whole table again for each wave, in the one or two tasks that its neighbouring items came from."""
+    files, path = [], str(tmp_path / "a")
+
+    def process(df):
+        files.append({name.split("_wave=")[-1].split("/")[0] for name in df.inputFiles()})
+        return df.withColumn("task", F.spark_partition_id())
+
+    step = ChunkStep("import", ["id"], F.lit(False), F.lit(True), process, size=3, per_commit=1, wave=40)
+    assert step.run(spark, spark.range(300), path)[1].commits == 100
+    assert files == [{"0"}, {"1"}, {"2"}]
+    out = spark.read.parquet(f"{path}/data")
+    tasks = {r["w"]: r["n"] for r in out.groupBy(F.expr("batch div 40").alias("w")).agg(F.count_distinct("task").alias("n")).collect()}
+    assert tasks == {w: spark.sparkContext.defaultParallelism for w in range(3)}
+    assert all(r["ids"] == [3 * r["batch"] + k for k in range(3)] for r in out.groupBy("batch").agg(F.collect_list("id").alias("ids")).collect())
+    assert sorted(n.name for n in (tmp_path / "a").iterdir()) == ["data", "ledger"] and not list((tmp_path / "a/data").glob(".write-*"))
+
+
+@pytest.mark.parametrize("plain", [True, False])
+def test_data_is_written_whole_by_either_writer(spark, tmp_path, plain):
+    """Columns of simple types go through workers' files, all others through Spark's writer."""
+    items = spark.range(50).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("ü"), "id")).alias("s"), (F.col("id") / 7).cast("decimal(20,6)").alias("d"), F.lit(b"\0").alias("b"),
+                                   F.when(F.col("id") % 2 > 0, F.col("id") / 7).alias("f"), F.col("id").cast("tinyint").alias("t"))
+    if not plain:
+        items = items.withColumns({"at": F.timestamp_seconds("id"), "l": F.array("id"), "day": F.date_from_unix_date(F.col("id").cast("int"))})
+    path = str(tmp_path / "a")
+    assert ChunkStep("import", ["id"], F.lit(False), F.lit(True), lambda df: df, size=4, per_commit=1).run(spark, items, path)[0] == "COMPLETED"
+    out = spark.read.parquet(f"{path}/data")
+    assert out.drop("batch", "chunk_id").dtypes == items.dtypes and out.filter("batch <> chunk_id").count() == 0
+    out = out.select(*items.columns)
+    assert out.exceptAll(items).count() == 0 == items.exceptAll(out).count()
+
+
+def test_what_an_attempt_left_is_removed(spark, tmp_path):
+    items, path = table(spark, [False] * 9), tmp_path / "job"
+    for name in ("waves-0", "data/.write-0", "data/batch=1"):
+        (path / name).mkdir(parents=True)
+        (path / name / "x").write_text("")
+    assert step().run(spark, items, str(path))[0] == "COMPLETED"
+    assert sorted(n.name for n in path.iterdir()) == ["data", "ledger"] and not list(path.glob("data/.write-*")) and not (path / "data/batch=1/x").exists()
+    assert step().run(spark, items.limit(0), str(tmp_path / "none")) == ("COMPLETED", Counters())
+
+
+def test_records_written_ahead_are_no_commits(spark, tmp_path):
+    ledger, other = Ledger(spark, str(tmp_path)), Ledger(spark, str(tmp_path))
+    with pytest.raises(Conflict), ledger.ahead({str(n): {"n": n} for n in range(4)}):
+        assert other.records() == []
+        ledger.commit("0", {"n": 0})
+        ledger.commit("1", {"n": 1, "state": 1})  # another record than the one written ahead
+        assert other.records() == [{"n": 0}, {"n": 1, "state": 1}]
+        other.commit("2", {"n": 9})
+        ledger.commit("2", {"n": 2})
+    assert ledger.names(ledger.path) == ["0.json", "1.json", "2.json"] and ledger.records()[2] == {"n": 9}
+
+
+def test_what_listeners_are_told_leaves_the_driver_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_Told, "MOST", 4)
+    told = _Told(spark, str(tmp_path / "told"))
+    for batch in range(5):
+        for phase in ("before", "after"):
+            told.of(phase)(batch)
+        assert len(told.codes) < 4
+    rows = told.rows().orderBy("n").collect()
+    assert [tuple(r) for r in rows] == [(2 * b + k, b, ("before", "after")[k]) for b in range(5) for k in range(2)]
+    assert _Told(spark, str(tmp_path / "none")).rows().count() == 0
+
+
 class Position(ItemStream):
     def __init__(self, name, events, fail=False):
         super().__init__(name, Codec("position", 1))
